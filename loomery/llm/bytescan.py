@@ -15,7 +15,7 @@ SLICE_BYTES = 4 << 20
 
 def seeded(n: int, seed: int) -> np.ndarray:
     """n fixed 64-bit values from a seed."""
-    x = (np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) + U64(seed) * U64(0xD1B54A32D192ED03)
+    x = np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed * 0xD1B54A32D192ED03 % (1 << 64))
     return mix(mix(x))
 
 

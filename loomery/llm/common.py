@@ -62,3 +62,12 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
         raise RuntimeError(f"components of {name} did not settle in {rounds} rounds")
     star = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return star.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+#: Rows of a few numbers that may be broadcast: about 32 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (written out, of a few numbers a row) with a broadcast hint if its counted rows allow it; else a plain shuffled join follows."""
+    return F.broadcast(df) if df.count() <= rows else df

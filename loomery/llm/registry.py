@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from loomery.llm import license_scan, pii, source_mixing
+from loomery.llm import license_scan, near_join, pii, quality, source_mixing, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
+    "op4_ngram_jaccard": near_join.op4_ngram_jaccard,
+    "op5_quality": quality.op5_quality,
     "op7_source_mixing": source_mixing.op7_source_mixing,
     "op8_license_scan": license_scan.op8_license_scan,
 }
-SQL = {"op7_source_mixing": source_mixing.SQL}
+SQL = {"op4_ngram_jaccard": near_join.SQL, "op7_source_mixing": source_mixing.SQL}
