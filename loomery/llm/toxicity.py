@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences, and only the bag has a label.
 
-A sentence's score is the logistic of a bias and the weights of its words (hashed to `2**BITS` places). A document's
+A sentence's score is the logistic of a bias and the weights of its words and their stems (hashed to `2**BITS` places). A document's
 score is the noisy-or of its sentences: 1 minus the product of (1 - sentence score). Gradient steps on the documents'
 log loss move blame to the sentences that explain it, so that the model then also names the offending sentences.
 
@@ -27,7 +27,9 @@ from loomery.llm import bytescan
 from loomery.llm.common import table
 from loomery.llm.labelled import held_out, teachers
 
-BITS, SAMPLE, ROUNDS, RATE, DECAY, LEAST_DOCS, THRESHOLD = 18, 3000, 120, 0.5, 1e-3, 4, 0.7
+BITS, SAMPLE, ROUNDS, RATE, DECAY, LEAST_DOCS, APART, THRESHOLD = 18, 3000, 200, 0.5, 1e-3, 4, 5.5, 0.7
+#: Bytes of the stems by which words that share a beginning are known.
+STEMS = (4, 5)
 _NO_LETTER = np.ones(256, bool)
 _NO_LETTER[65:91] = _NO_LETTER[97:123] = _NO_LETTER[128:] = False
 _END = np.zeros(256, bool)
@@ -40,8 +42,13 @@ def sentences(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of words (runs of letters, A-Z as a-z) and the byte where each begins."""
+    """Places of words (runs of letters, A-Z as a-z) and of the stems of longer ones, and the byte where each begins."""
     starts, ends, _ = bytescan.runs(_NO_LETTER[data], at)
+    parts = [(starts, ends)]
+    for size in STEMS:
+        longer = ends - starts > size
+        parts.append((starts[longer], starts[longer] + size))
+    starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
     return (bytescan.run_hashes(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.int32), starts
 
 
@@ -69,15 +76,21 @@ class Model:
 
 
 def fit_bags(place: np.ndarray, word_bag: np.ndarray, bag_doc: np.ndarray, y: np.ndarray, odds: tuple[float, float], rounds: int = ROUNDS) -> Model:
-    """Gradient steps (scaled by past squares) on the weighted log loss of the noisy-or."""
+    """Gradient steps (scaled by past squares) on the weighted log loss of the noisy-or.
+
+    Only words whose share of documents differs between the classes by APART standard errors get a weight.
+    """
     n_docs, size = len(y), 1 << BITS
     pairs = np.unique(place.astype(np.int64) * n_docs + bag_doc[word_bag])
-    often = np.bincount(pairs // n_docs, minlength=size) >= LEAST_DOCS
-    use = often[place]
+    has = [np.bincount(pairs[y[pairs % n_docs] == c] // n_docs, minlength=size) for c in (0, 1)]
+    rate = [(h + 0.5) / ((y == c).sum() + 1) for c, h in enumerate(has)]
+    both = (has[0] + has[1] + 1) / (n_docs + 2)
+    far = (rate[1] - rate[0]) / np.sqrt(both * (1 - both) * (1 / max((y == 0).sum(), 1) + 1 / max((y == 1).sum(), 1)) + 1e-12)
+    use = ((np.abs(far) >= APART) & (has[0] + has[1] >= LEAST_DOCS))[place]
     kept, column = np.unique(place[use], return_inverse=True)
     row = word_bag[use]
     share = np.where(y == 1, odds[1] / max((y == 1).sum(), 1), odds[0] / max((y == 0).sum(), 1))
-    w, b = np.zeros(len(kept)), -6.0
+    w, b = np.clip(np.log(rate[1] / rate[0]), -2, 8)[kept], -6.0
     seen_w, seen_b = np.full(len(kept), 1e-8), 1e-8
     for _ in range(rounds):
         z = np.bincount(row, w[column], len(bag_doc)) + b
