@@ -98,12 +98,13 @@ class Mixer:
     def learn(self, x: np.ndarray) -> None:
         hit1, has = x == self.first, self.first >= 0
         err = np.where(has, (hit1.astype(np.int64) << 16) - self.p1, 0)
-        for k in np.flatnonzero(np.bincount(self.set, minlength=4)):
-            m = self.set == k
-            self.weights[k] += ((err * m) * self.inputs).sum(1) // (int(m.sum()) << 8)
+        many = np.maximum(np.bincount(self.set, minlength=4), 1) << 8
+        for i in range(3):  # sums of products below 2**53, which floats hold exactly
+            self.weights[:, i] += np.bincount(self.set, err * self.inputs[i], 4).astype(np.int64) // many
         for row, n, hit, use in ((0, self.n2, hit1, self.set >= 2), (1, self.n1, x == self.ids1[self.last], self.sure1[self.last] > 0), (2, self.n1, x == self.second, (self.second >= 0) & ~hit1)):
-            self.seen[row] += np.bincount(n[use], minlength=16)
-            self.hits[row] += np.bincount(n[use & hit], minlength=16)
+            both = np.bincount(n * 4 + use * 2 + hit, minlength=64).reshape(16, 4)
+            self.seen[row] += both[:, 2] + both[:, 3]
+            self.hits[row] += both[:, 3]
         for ids, sure, at in ((self.ids2, self.sure2, self.h), (self.ids1, self.sure1, self.last)):
             same, n = ids[at] == x, sure[at]
             swap = ~same & (n <= 1)

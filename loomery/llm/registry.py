@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomery.llm import license_scan, near_join, pii, quality, source_mixing, toxicity
+from loomery.llm import license_scan, near_join, pii, quality, source_mixing, token_store, toxicity
 
 QUERIES = {
+    "op1_token_store": token_store.op1_token_store,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
     "op4_ngram_jaccard": near_join.op4_ngram_jaccard,
