@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from loomery.llm import decontaminate, license_scan, near_join, pii, quality, source_mixing, token_store, toxicity
+from loomery.llm import decontaminate, license_scan, near_join, pii, quality, repeats, source_mixing, token_store, toxicity
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
+    "op10_repeats": repeats.op10_repeats,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
     "op4_ngram_jaccard": near_join.op4_ngram_jaccard,
