@@ -82,8 +82,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: every document as often as it is drawn, with the columns of docs."""
-    drawn = mix(docs, **options).where("copies > 0")
-    return drawn.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    whole = docs.select("doc_id", "source", "text", F.struct(*(F.col(c) for c in docs.columns)).alias("_whole"))
+    drawn = mix(whole, **options).where("copies > 0")
+    return drawn.select("_whole", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_whole.*")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
