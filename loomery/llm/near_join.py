@@ -4,16 +4,17 @@ Documents are sets of hashed 5-word shingles; two link when their Jaccard simila
 set from the start. The steps:
 
 1. Who can have a partner at all. A set of n that links with another shares at least 3n/4 shingles with it, so among
-   its smallest hashes ("zone", about n/3) a known number must also lie in the other's zone. Shingles of zones that
-   belong to two or more sets are found by grouped min and max (map-side combined), and only documents with enough
-   of them go on. Passages that many documents share do not reach that number.
+   its smallest hashes ("zone", about 5n/12) a known number must also lie in the other's zone. Zones of distinct sets
+   are dealt out by hash range in packed form; a shingle that two sets of one batch share is counted there and
+   sent once without owners, so that hot shingles cost one entry a batch. Only documents with enough shared shingles
+   go on. Passages that many documents share do not reach that number.
 2. Groups of similar documents. For a few min-hash keys, each document is compared with the first document of its
    key (one comparison a key, however large the group of copies); verified links join documents into groups.
 3. Token-group matrix. A group's row is the union of its members' tokens. Tokens that only one group has
    cannot link across groups; a document whose tokens of two or more groups are too few is finished (repeated once, as
    fewer documents make fewer such tokens). For the rest, the rarest tokens of a document (by number of groups, the
-   pigeonhole prefix) name the groups worth a look, the overlap of the document with the group's union bounds every
-   member's overlap, and only groups whose bound qualifies are opened: the document is compared with their members.
+   pigeonhole prefix) bound the overlap with any member of a group by the overlap with its union, and only groups
+   whose bound qualifies are opened: the document is compared with their members.
 4. Classes are the connected components of all verified links.
 
 Links inside a group are found only as far as they join documents, so copies are never expanded into all pairs.
@@ -46,7 +47,7 @@ def _need(n):
 
 def _sure(n):
     """Shared shingles that the zone of a set of n makes room for."""
-    return np.maximum(1, n // 12)
+    return np.maximum(1, n // 6)
 
 
 def _sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,12 +110,76 @@ def _shared(rows: DataFrame, token: str, owner: str) -> DataFrame:
     return rows.groupBy(token).agg(F.min(owner).alias("_a"), F.max(owner).alias("_b")).where("_a < _b").select(token)
 
 
-def _live(found: DataFrame) -> DataFrame:
+#: Zone shingles that one hash range holds on average.
+RANGE = 1 << 19
+_NOBODY = 0xFFFFFFFF
+
+
+def _range_rows(ranges: int):
+    """Batches of (doc_id, zone) -> for each hash range a row: its shingles, their owner in `docs` or nobody, and hits counted here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            docs = b.column(0).to_numpy()
+            token = b.column(1).flatten().to_numpy().view(U64)
+            owner = np.repeat(np.arange(b.num_rows, dtype=np.uint32), np.diff(b.column(1).offsets.to_numpy()))
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            new = np.ones(len(token), bool)
+            new[1:] = token[1:] != token[:-1]
+            first = np.flatnonzero(new)
+            many = np.diff(np.append(first, len(token)))
+            hits = np.bincount(owner[np.repeat(many > 1, many)], minlength=len(docs))
+            token, owner = token[first], np.where(many > 1, np.uint32(_NOBODY), owner[first])
+            cut = np.searchsorted(token, (np.arange(ranges, dtype=object) * (1 << 64) // ranges).astype(U64))
+            cut = np.append(cut, len(token))
+            rows = [(k, token[i:j].tobytes(), owner[i:j].tobytes(), docs.astype("<i8").tobytes(), None) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+            rows.append((-1 - int(docs[0]) % 64, None, None, docs.astype("<i8").tobytes(), hits.astype("<i8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["range", "tokens", "owners", "docs", "hits"])
+
+    return run
+
+
+def _range_hits(rows: pa.Table) -> pa.Table:
+    """All rows of a hash range -> hits by document."""
+    token, owner, docs, hits, base = [], [], [], [], 0
+    for t, o, d, h in zip(*(rows[c] for c in ("tokens", "owners", "docs", "hits")), strict=True):
+        d = np.frombuffer(d.as_py(), "<i8")
+        if h.as_py() is not None:
+            docs.append(d)
+            hits.append(np.frombuffer(h.as_py(), "<i8"))
+            continue
+        o = np.frombuffer(o.as_py(), np.uint32).astype(np.int64)
+        token.append(np.frombuffer(t.as_py(), U64))
+        owner.append(np.where(o == _NOBODY, -1, o + base))
+        docs.append(d)
+        base += len(d)
+    if token:
+        token, owner = np.concatenate(token), np.concatenate(owner)
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        same = np.zeros(len(token), bool)
+        same[1:] = token[1:] == token[:-1]
+        shared = same.copy()
+        shared[:-1] |= same[1:]
+        docs, hits = np.concatenate(docs), [np.bincount(owner[shared & (owner >= 0)], minlength=base)]
+    else:
+        docs = np.concatenate(docs)
+    hits = np.concatenate(hits)
+    some = hits > 0
+    return pa.table({"doc_id": pa.array(docs[some]), "hits": pa.array(hits[some])})
+
+
+def _live(found: DataFrame, first: DataFrame) -> DataFrame:
     """Ids of documents whose zones leave room for a partner with another set."""
-    rows = found.select("doc_id", "sure", "d1", F.explode("zone").alias("token"))
-    shared = _shared(rows, "token", "d1")
-    hits = rows.select("doc_id", "sure", "token").join(shared, "token").groupBy("doc_id", "sure").agg(F.count("*").alias("hits"))
-    return hits.where("hits >= sure and doc_id is not null").select("doc_id").distinct()
+    reps = staged(first.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct(), "near-reps")
+    zones = found.where("n > 0").join(sized(reps), "doc_id", "left_semi")
+    total = found.agg(F.sum(F.size("zone"))).first()[0] or 0
+    rows = zones.select("doc_id", "zone").mapInArrow(_range_rows(max(1, -(-total // RANGE))), "range int, tokens binary, owners binary, docs binary, hits binary")
+    hits = rows.groupBy("range").applyInArrow(_range_hits, "doc_id long, hits long").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
+    return found.select("doc_id", "sure").join(hits, "doc_id").where("hits >= sure").select("doc_id").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -156,13 +221,13 @@ def _across(sets: DataFrame, groups: DataFrame) -> DataFrame:
     spread = matrix.groupBy("token").agg(F.count("*").alias("_groups"))
     rare = Window.partitionBy("doc_id").orderBy("_groups", "token")
     ranked = rows.join(spread, "token").withColumn("_rank", F.row_number().over(rare)).withColumn("_have", F.count("*").over(Window.partitionBy("doc_id")))
-    # of the n - need + 1 rarest tokens, those that only one group has come first and are not among the rows
-    probe = ranked.where(F.col("_rank") <= F.col("_have") - _need_sql(F.col("n")) + 1).where("_groups > 1")
+    # tokens that only one group has come first and are not among the rows; a group that holds `need` of the rest
+    # holds `extra` of the rarest have - need + extra
+    extra = F.floor(F.col("n") / 6) + 1
+    probe = ranked.where((F.col("_rank") <= F.col("_have") - _need_sql(F.col("n")) + extra) & (F.col("_groups") > 1))
     other = matrix.select("token", F.col("grp").alias("to"))
-    look = staged(probe.select("doc_id", "n", "grp", "token").join(other, "token").where("grp <> to").select("doc_id", "n", "to").distinct(), "near-look")
-    union = F.broadcast(look) if look.count() <= 100_000 else look
-    bound = rows.select("doc_id", "token").join(union, "doc_id").join(other, ["token", "to"]).groupBy("doc_id", "n", "to").agg(F.count("*").alias("_c"))
-    opened = bound.where(F.col("_c") >= _need_sql(F.col("n"))).select(F.col("doc_id").alias("a"), "n", F.col("to").alias("grp"))
+    bound = probe.select("doc_id", "n", "grp", "token").join(other, "token").where("grp <> to").groupBy("doc_id", "n", "to").agg(F.count("*").alias("_c"))
+    opened = bound.where(F.col("_c") >= extra).select(F.col("doc_id").alias("a"), "n", F.col("to").alias("grp"))
     members = rows.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "grp").distinct()
     pairs = opened.join(members, "grp").where("4 * n >= 3 * nb and 4 * nb >= 3 * n").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return _verified(pairs, sets)
@@ -173,7 +238,7 @@ def join(docs: DataFrame, size: int = WORDS) -> DataFrame:
     docs = docs.select("doc_id", "text")
     found = staged(summaries(docs, size), "near-sets")
     first = found.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    live = staged(_live(found), "near-live")
+    live = staged(_live(found, first), "near-live")
     sets = full_sets(docs.join(sized(live), "doc_id", "left_semi"), size)
     sets = staged(sets.join(first.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi"), "near-live-sets")
     stars = staged(_verified(_stars(sets), sets), "near-links")
