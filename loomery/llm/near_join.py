@@ -8,13 +8,14 @@ set from the start. The steps:
    are dealt out by hash range in packed form; a shingle that two sets of one batch share is counted there and
    sent once without owners, so that hot shingles cost one entry a batch. Only documents with enough shared shingles
    go on. Passages that many documents share do not reach that number.
-2. Groups of similar documents. For a few min-hash keys, each document is compared with the first document of its
-   key (one comparison a key, however large the group of copies); verified links join documents into groups.
+2. Groups of similar documents. For a few min-hash keys, each document is compared with the most central document
+   of its key (one comparison a key, however large the group of copies); verified links join documents into groups.
 3. Token-group matrix. A group's row is the union of its members' tokens. Tokens that only one group has
    cannot link across groups; a document whose tokens of two or more groups are too few is finished (repeated once, as
-   fewer documents make fewer such tokens). For the rest, the rarest tokens of a document (by number of groups, the
-   pigeonhole prefix) bound the overlap with any member of a group by the overlap with its union, and only groups
-   whose bound qualifies are opened: the document is compared with their members.
+   fewer documents make fewer such tokens). The rest probe with their rarest tokens (the pigeonhole prefix): documents
+   that share a token of few documents are compared directly. Documents that hot tokens hold together form clusters, cut
+   into blocks of about BLOCK similar documents; of two blocks, only documents whose overlap with the other block's
+   union of tokens leaves room for a partner are compared, by one matrix product, and one link for two groups is kept.
 4. Classes are the connected components of all verified links.
 
 Links inside a group are found only as far as they join documents, so copies are never expanded into all pairs.
@@ -111,7 +112,7 @@ def _shared(rows: DataFrame, token: str, owner: str) -> DataFrame:
 
 
 #: Zone shingles that one hash range holds on average.
-RANGE = 1 << 19
+RANGE = 1 << 21
 _NOBODY = 0xFFFFFFFF
 
 
@@ -191,11 +192,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.where(4 * both >= 3 * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
+def _central(sets: DataFrame) -> DataFrame:
+    """(doc_id, central): how common a document's tokens are on average; the least edited copy of a text has the most common ones."""
+    rows = sets.select("doc_id", F.explode("tokens").alias("token"))
+    often = rows.groupBy("token").agg(F.count("*").alias("_df")).where("_df > 1")
+    return rows.join(often, "token").groupBy("doc_id").agg(F.sum(F.log2("_df")).alias("_common"))
+
+
 def _stars(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b): a document and the first document of one of its min-hash keys."""
-    rows = sets.select("doc_id", F.posexplode("keys").alias("no", "key"))
-    first = rows.groupBy("no", "key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("_most")).where("b < _most").drop("_most")
-    return rows.join(first, ["no", "key"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    """Pairs (a, b): a document and the most central document of one of its min-hash keys."""
+    rank = F.struct((-F.coalesce("_common", F.lit(0.0)) / F.col("n")).alias("c"), "doc_id")
+    rows = sets.select("doc_id", "n", "keys").join(_central(sets), "doc_id", "left").select("doc_id", rank.alias("rank"), F.posexplode("keys").alias("no", "key"))
+    first = rows.groupBy("no", "key").agg(F.min("rank").alias("_low"), F.max("rank").alias("_high")).where("_low.doc_id <> _high.doc_id")
+    rows = rows.join(first.select("no", "key", F.col("_low.doc_id").alias("b")), ["no", "key"]).where("doc_id <> b")
+    return rows.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
 def _suspects(rows: DataFrame) -> DataFrame:
@@ -209,6 +219,52 @@ def _need_sql(n: Column) -> Column:
     return F.floor((3 * n + 3) / 4)
 
 
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks -> a link for every two groups that have one. Only documents that the other block's union leaves room for are compared."""
+    for b in batches:
+        links: dict[tuple[int, int], tuple[int, int]] = {}
+        for row in range(b.num_rows):
+            sides = []
+            for k in (0, 1):
+                ids, grp, n, tokens = (b.column(4 * k + i)[row].values for i in range(4))
+                sides.append((ids.to_numpy(), grp.to_numpy(), n.to_numpy(), tokens.flatten().to_numpy(), np.repeat(np.arange(len(ids)), tokens.value_lengths().to_numpy())))
+            (ia, ga, na, ta, oa), (ib, gb, nb, tb, ob) = sides
+            union = np.intersect1d(ta, tb)
+            place = [np.searchsorted(union, t) for t in (ta, tb)]
+            known = [np.isin(t, union) for t in (ta, tb)]
+            has = [np.zeros((len(i), len(union)), np.float32) for i in (ia, ib)]
+            for h, o, p, k in zip(has, (oa, ob), place, known, strict=True):
+                h[o[k], p[k]] = 1
+            opened = [np.flatnonzero(h.sum(1) >= _need(n)) for h, n in zip(has, (na, nb), strict=True)]
+            x, y = opened
+            common = (has[0][x] @ has[1][y].T).astype(np.int64)
+            near = (4 * common >= 3 * (na[x][:, None] + nb[y][None, :] - common)) & (ga[x][:, None] != gb[y][None, :])
+            for i, j in zip(*np.nonzero(near), strict=True):
+                links.setdefault(tuple(sorted((int(ga[x[i]]), int(gb[y[j]])))), (int(ia[x[i]]), int(ib[y[j]])))
+        yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in links.values()], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+#: Documents of a token beyond which its owners are compared in blocks, and documents of a block.
+HOT, BLOCK = 48, 256
+
+
+def _hot_links(rows: DataFrame, hot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across groups between documents that share a hot token: clusters that hot tokens hold together, compared block by block."""
+    owners = rows.join(hot, "token")
+    low = owners.groupBy("token").agg(F.min("grp").alias("b"))
+    named = components(owners.join(low, "token").select(F.col("grp").alias("a"), "b").distinct(), "near-clusters")
+    docs = rows.select("doc_id", "grp").distinct().join(named.withColumnRenamed("component", "cluster"), F.col("grp") == F.col("node")).select("doc_id", "grp", "cluster")
+    sizes = docs.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("_b"))
+    docs = docs.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("grp", F.floor(F.xxhash64("doc_id") / (1 << 58))), "_b"))
+    one = F.struct(F.col("doc_id").alias("i"), F.col("grp").alias("g"), "n", F.col("tokens").alias("t"))
+    blocks = docs.join(sets.select("doc_id", "n", "tokens"), "doc_id").groupBy("cluster", "block").agg(F.collect_list(one).alias("m"))
+    blocks = staged(blocks, "near-blocks")
+    names = blocks.select("cluster", F.col("block").alias("x")).join(blocks.select("cluster", F.col("block").alias("y")), "cluster").where("x <= y")
+    side = lambda k: blocks.select("cluster", F.col("block").alias(k), F.col("m").alias(f"m{k}"))
+    pairs = names.join(side("x"), ["cluster", "x"]).join(side("y"), ["cluster", "y"])
+    return pairs.select(*(F.col(f"m{k}.{c}").alias(f"{c}{k}") for k in "xy" for c in "ignt")).mapInArrow(_block_links, "a long, b long")
+
+
 def _across(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """Links between documents of different groups, by the token-group matrix."""
     named = sets.join(groups, F.col("doc_id") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "doc_id"))
@@ -217,20 +273,16 @@ def _across(sets: DataFrame, groups: DataFrame) -> DataFrame:
     rows = staged(_suspects(rows), "near-suspects")
     if rows.isEmpty():
         return groups.select(F.col("node").alias("a"), F.col("component").alias("b")).limit(0)
-    matrix = staged(rows.select("token", "grp").distinct(), "near-matrix")
-    spread = matrix.groupBy("token").agg(F.count("*").alias("_groups"))
-    rare = Window.partitionBy("doc_id").orderBy("_groups", "token")
+    spread = rows.groupBy("token").agg(F.count("*").alias("_docs"))
+    rare = Window.partitionBy("doc_id").orderBy("_docs", "token")
     ranked = rows.join(spread, "token").withColumn("_rank", F.row_number().over(rare)).withColumn("_have", F.count("*").over(Window.partitionBy("doc_id")))
-    # tokens that only one group has come first and are not among the rows; a group that holds `need` of the rest
-    # holds `extra` of the rarest have - need + extra
-    extra = F.floor(F.col("n") / 6) + 1
-    probe = ranked.where((F.col("_rank") <= F.col("_have") - _need_sql(F.col("n")) + extra) & (F.col("_groups") > 1))
-    other = matrix.select("token", F.col("grp").alias("to"))
-    bound = probe.select("doc_id", "n", "grp", "token").join(other, "token").where("grp <> to").groupBy("doc_id", "n", "to").agg(F.count("*").alias("_c"))
-    opened = bound.where(F.col("_c") >= extra).select(F.col("doc_id").alias("a"), "n", F.col("to").alias("grp"))
-    members = rows.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "grp").distinct()
-    pairs = opened.join(members, "grp").where("4 * n >= 3 * nb and 4 * nb >= 3 * n").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return _verified(pairs, sets)
+    # tokens that only one group has come first and are not among the rows
+    probe = staged(ranked.where(F.col("_rank") <= F.col("_have") - _need_sql(F.col("n")) + 1).select("doc_id", "n", "grp", "token", "_docs"), "near-probe")
+    other = rows.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("gb"), "token")
+    cold = probe.where(F.col("_docs") <= HOT).join(other, "token").where("grp <> gb and 4 * n >= 3 * nb and 4 * nb >= 3 * n")
+    links = _verified(staged(cold.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct(), "near-pairs"), sets)
+    hot = staged(probe.where(F.col("_docs") > HOT).select("token").distinct(), "near-hot")
+    return links if hot.isEmpty() else links.unionByName(_hot_links(rows, hot, sets))
 
 
 def join(docs: DataFrame, size: int = WORDS) -> DataFrame:
