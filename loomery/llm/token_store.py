@@ -17,6 +17,7 @@ neighbours in the order of their texts; an empty table gives an empty store. Oth
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomery.llm import bytescan, range_coder
+from loomery.llm import range_coder
 from loomery.llm.common import shared_path, sized, staged, table
 
-TOKENIZER, END, BLOCK, PIECES = "byte_bpe_50k.json", 0, 1 << 20, 400_000
+TOKENIZER, END, BLOCK, PIECES = "byte_bpe_50k.json", 0, 1 << 19, 600_000
+#: Documents encoded at once.
+SLICE = 512
 SCHEMA = "part int, block int, n_docs long, n_ids long, docs binary, ids binary"
 #: Characters that a tokenizer might take for white space beyond those that Python does.
 _BLANK = frozenset("\u180e\u200b\ufeff")
@@ -47,32 +50,44 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(tokenizer))
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self._forget()
+        # ids that begin with a space, which inside a run of plain pieces only a piece's first id can
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.vocabulary)])
+        self.number: dict[str, int] = {}
+        self.flat, self.begin, self.count, self.seen = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.pieces = 0
-
-    def _add(self, keys: list[str], texts: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.pieces + len(got) > len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.int32, total)
-        at = slice(self.pieces, self.pieces + len(got))
-        self.begin[at] = self.used + np.cumsum(sizes) - sizes
-        self.count[at] = sizes
-        self.number.update(zip(keys, range(self.pieces, self.pieces + len(got)), strict=True))
-        self.pieces += len(got)
-        self.used += total
+        """Keep the pieces met most often, half of the bound at most."""
+        least = np.sort(self.seen)[-PIECES // 2]
+        keep = self.seen > least
+        names = list(self.number)
+        self.number = {names[i]: k for k, i in enumerate(np.flatnonzero(keep))}
+        size, begin = self.count[keep], self.begin[keep]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(begin - ends + size, size) + np.arange(size.sum())]
+        self.begin, self.count, self.seen = ends - size, size, np.zeros(len(size), np.int64)
+
+    def _add(self, pieces: list[str]) -> None:
+        encode = lambda t: self.tokenizer.encode_batch_fast(t, add_special_tokens=False)
+        plain = [p for p in pieces if p[0] != "\0" and len(p.split()) == 1 and _BLANK.isdisjoint(p)]
+        runs = [" " + " ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
+        flat = np.array([i for e in encode(runs) for i in e.ids], np.int32)
+        starts = np.flatnonzero(self.opens[flat]) if len(flat) else np.zeros(0, np.int64)
+        if len(starts) != len(plain):  # a tokenizer that joins pieces otherwise: one by one
+            plain, flat, starts = [], flat[:0], starts[:0]
+        known = set(plain)
+        odd = [p for p in pieces if p not in known]
+        got = [e.ids for e in encode([p[1:] if p[0] == "\0" else " " + p for p in odd])]
+        sizes = np.concatenate([np.diff(np.append(starts, len(flat))), np.fromiter(map(len, got), np.int64, len(got))]).astype(np.int64)
+        flat = np.concatenate([flat, np.array([i for ids in got for i in ids], np.int32)])
+        self.number.update(zip(plain + odd, range(len(self.begin), len(self.begin) + len(sizes)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat = np.concatenate([self.flat, flat])
+        self.count = np.concatenate([self.count, sizes])
+        self.seen = np.concatenate([self.seen, np.zeros(len(sizes), np.int64)])
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -90,25 +105,26 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by the end id, and their count by text."""
-        if self.pieces > PIECES:
+        if len(self.begin) > PIECES:
             self._forget()
-        get = self.number.get
-        numbers, ends = [], []
+        pieces: list[str] = []
+        ends = []
         for text in texts:
-            parts = text.split(" ")
-            # most texts have no blank at a piece's edge; joined by a separator, one search tells
-            cut = self.cut(text) if _EDGE.search(text) else parts
-            if cut is parts:
-                parts[0] = "\0" + parts[0]
-            found = [get(p, -1) for p in cut]
-            if -1 in found:
-                new = list(dict.fromkeys(p for p, k in zip(cut, found, strict=True) if k < 0))
-                self._add(new, [p[1:] if p[0] == "\0" else " " + p for p in new])
-                found = [get(p) for p in cut]
-            numbers += found
-            ends.append(len(numbers))
-        k = np.array(numbers, np.int64)
-        size, begin = self.count[k].astype(np.int64), self.begin[k]
+            # most texts have no blank at a piece's edge; one search tells
+            if _EDGE.search(text):
+                pieces += self.cut(text)
+            else:
+                first, *rest = text.split(" ")
+                pieces.append("\0" + first)
+                pieces += rest
+            ends.append(len(pieces))
+        found = list(map(self.number.get, pieces))
+        if None in found:
+            self._add(list(dict.fromkeys(p for p, k in zip(pieces, found, strict=True) if k is None)))
+            found = list(map(self.number.get, pieces))
+        k = np.array(found, np.int64)
+        self.seen += np.bincount(k, minlength=len(self.seen))
+        size, begin = self.count[k], self.begin[k]
         before = np.cumsum(size)
         ids = self.flat[np.repeat(begin - before + size, size) + np.arange(before[-1] if len(before) else 0)]
         per = np.diff(np.concatenate([[0], before[np.array(ends) - 1]])) if len(ends) else np.zeros(0, np.int64)
@@ -119,6 +135,16 @@ class Encoder:
         return out, per + 1
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(tokenizer: str) -> Encoder:
+    """The worker's own encoder, whose memory of pieces outlives a task."""
+    if tokenizer not in _ENCODERS:
+        _ENCODERS[tokenizer] = Encoder(tokenizer)
+    return _ENCODERS[tokenizer]
+
+
 def _edges():
     import re
 
@@ -147,7 +173,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, block: int = B
     """Write the store of docs (doc_id, text) to a new folder."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, encoder = TaskContext.get().partitionId(), 0, Encoder(tokenizer)
+        part, number, encoder = TaskContext.get().partitionId(), 0, encoder_of(tokenizer)
         doc_ids, sizes, ids, held = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
@@ -159,7 +185,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, block: int = B
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "n_docs", "n_ids", "docs", "ids"])
 
-        for rows, _, _ in bytescan.slices(batches, most=1 << 20):
+        for rows in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             flat, per = encoder.encode([t or "" for t in rows.column(1).to_pylist()])
             doc_ids += rows.column(0).to_pylist()
             sizes.append(per)
