@@ -1,6 +1,5 @@
 """Every query of the engine by name, and its SQL where SQL can express it."""
 
-from __future__ import annotations
+from loomery.plans.queries import QUERIES, SQL
 
-QUERIES: dict = {}
-SQL: dict = {}
+__all__ = ["QUERIES", "SQL"]
