@@ -10,6 +10,10 @@ TURNS = "array<struct<from:string,value:string>>"
 ASSISTANT, HUMAN = ("gpt", "assistant"), ("human", "user")
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def side(turn: Column, names: tuple[str, ...]) -> Column:
     return turn["from"].isin(*names)
 
@@ -77,7 +81,7 @@ def said(conv: Column, names: tuple[str, ...]) -> Column:
 
 def words(text: Column) -> Column:
     """Count of words between white space; none in empty text."""
-    x = F.trim(F.regexp_replace(text, r"\s+", " "))
+    x = strip(F.regexp_replace(text, r"\s+", " "))
     return F.when(x.isNull() | (x == ""), 0).otherwise(F.size(F.split(x, " ")))
 
 
@@ -89,7 +93,7 @@ def length_of(conv: Column, has_image: Column, image_tokens: int = 128) -> Colum
 
 def instruction(text: Column) -> Column:
     """What follows a correction marker, up to the next image."""
-    return F.nullif(F.trim(F.regexp_extract(text, r"(?si)Correction\s*:\s*(.*?)(?:<image>|$)", 1)), F.lit(""))
+    return F.nullif(strip(F.regexp_extract(text, r"(?si)Correction\s*:\s*(.*?)(?:<image>|$)", 1)), F.lit(""))
 
 
 def correction_of(conv: Column) -> Column:
@@ -116,7 +120,7 @@ def numbered(steps: Column) -> Column:
 
 def clean_steps(steps: Column) -> Column:
     """Numbering stripped, blanks dropped."""
-    return F.filter(F.transform(steps, lambda s: F.trim(F.regexp_replace(s, r"^\s*\d+\s*[.)]\s*", ""))), lambda s: s != "")
+    return F.filter(F.transform(steps, lambda s: strip(F.regexp_replace(s, r"^\s*\d+\s*[.)]\s*", ""))), lambda s: s != "")
 
 
 def fit_codes(codes: Column, n: int) -> Column:
@@ -131,7 +135,7 @@ def until_stop(tokens: Column, stops: list[int]) -> Column:
 
 def plain_caption(text: Column) -> Column:
     """White space collapsed; null if it reads as an instruction."""
-    return F.when(~F.contains(text, F.lit("orrection")), F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return F.when(~F.contains(text, F.lit("orrection")), strip(F.regexp_replace(text, r"\s+", " ")))
 
 
 def strip_photo_of(text: Column) -> Column:

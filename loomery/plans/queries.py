@@ -319,11 +319,11 @@ def spatial_relation(spark, sf):
     return pairs.select("l_orderkey", "a", "b", r6(boxes.iou(F.col("x"), F.col("y"))).alias("iou"), boxes.relation(F.col("x"), F.col("y"), 6.0).alias("relation"))
 
 
-@query("SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 4) AS delta, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS sibling, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS leader FROM orders")
+@query("SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS delta, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS sibling, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS leader FROM orders")
 def tree_rollup(spark, sf):
     w, o = Window.partitionBy("o_custkey"), Window.partitionBy("o_custkey").orderBy("o_orderkey")
     i = F.row_number().over(o).cast("long") - 1
-    return table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") - F.avg("o_totalprice").over(w), 4).alias("delta"), i.alias("sibling"), (i == 0).alias("leader"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") - F.avg("o_totalprice").over(w), 6).alias("delta"), i.alias("sibling"), (i == 0).alias("leader"))
 
 
 @query("SELECT array_to_string((string_split(p_name, ' '))[1:4], ' ') AS reason, count(*) AS n FROM part GROUP BY 1")
