@@ -314,12 +314,13 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
-t AS (SELECT doc_id, unnest(s) AS t FROM s),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w WHERE len(w) >= 5),
+g AS (SELECT doc_id, i, n, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS t FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT DISTINCT doc_id, hash(t) AS t FROM g WHERE i <= n - 4 UNION ALL SELECT doc_id, hash(array_to_string(w, ' ')) FROM w WHERE len(w) BETWEEN 1 AND 4),
+s AS (SELECT w.doc_id, count(t.t) AS n FROM w LEFT JOIN t ON t.doc_id = w.doc_id GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
-h AS (SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 100 * c >= 75 * (len(x.s) + len(y.s) - c)),
+h AS (SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
 r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached)
-SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.c AS component_id FROM s JOIN (SELECT node, min(reached) AS c FROM r GROUP BY node) m ON m.node = s.doc_id
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, m.c AS component_id FROM s JOIN (SELECT node, min(reached) AS c FROM r GROUP BY node) m ON m.node = s.doc_id
 """
