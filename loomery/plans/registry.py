@@ -1,5 +1,5 @@
 """Every query of the engine by name, and its SQL where SQL can express it."""
 
-from loomery.plans.queries import QUERIES, SQL
+from loomery.plans.reports import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
