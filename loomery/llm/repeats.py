@@ -40,7 +40,9 @@ BACK = LENGTH - GRAM
 #: Contexts of an anchor in one batch beyond which it counts as shared everywhere.
 HOT = 8
 #: Entries of one fingerprint range on average.
-RANGE = 1 << 18
+RANGE = 1 << 19
+#: Text bytes of one scan; it holds a dozen 8-byte values for each.
+SLICE = 1 << 20
 U64 = np.uint64
 _PLACE = U64((1 << 30) - 1)
 ROWS = "range int, tokens binary, contexts binary, ids binary, keys binary, places binary, lefts binary"
@@ -144,7 +146,7 @@ def _anchor_rows(ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for rows, data, at in bytescan.slices(batches):
+            for rows, data, at in bytescan.slices(batches, most=SLICE):
                 place, text, token, context = anchors(data, at)
                 if not len(place):
                     continue
@@ -217,7 +219,7 @@ def _window_rows(ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for rows, data, at in bytescan.slices(batches):
+            for rows, data, at in bytescan.slices(batches, most=SLICE):
                 n = rows.num_rows
                 sure, sure_of = _list(rows.column(3), n)
                 open_, open_of = _list(rows.column(4), n)
@@ -250,7 +252,7 @@ def _window_marks(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_bytes, whole, text, covered, windows) -> what is left of each text."""
-    for rows, data, at in bytescan.slices(batches):
+    for rows, data, at in bytescan.slices(batches, most=SLICE):
         n = rows.num_rows
         a, a_of = _list(rows.column(4), n)
         w, w_of = _list(rows.column(5), n)
@@ -306,7 +308,7 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for rows, data, at in bytescan.slices(batches):
+            for rows, data, at in bytescan.slices(batches, most=SLICE):
                 owner = np.repeat(np.arange(rows.num_rows), np.diff(at))
                 place = np.arange(len(data))
                 place = place[place + LENGTH <= at[owner + 1]]
