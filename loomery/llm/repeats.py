@@ -45,7 +45,7 @@ RANGE = 1 << 19
 SLICE = 1 << 20
 U64 = np.uint64
 _PLACE = U64((1 << 30) - 1)
-ROWS = "range int, tokens binary, contexts binary, ids binary, keys binary, places binary, lefts binary"
+ROWS = "range int, tokens binary, contexts binary, docs binary, owners binary, places binary, marks binary"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
@@ -112,26 +112,37 @@ def _smaller(order: np.ndarray, new: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return s > np.repeat(s[first], np.diff(np.append(first, len(s))))
 
 
-def _sent(ranges: int, token, context, ids, keys, places, lefts, done, local: int) -> pa.RecordBatch:
-    """Rows of the exchange, by range of token, and one that carries what is settled here: (ids, keys, places)."""
+def _owned(owner: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes]:
+    """The documents that own entries, each once, and each entry's number among them."""
+    some, number = np.unique(owner, return_inverse=True)
+    return np.column_stack([ids[some], keys[some]]).astype("<i8").tobytes(), number.astype("<u2").tobytes()
+
+
+def _sent(ranges: int, token: np.ndarray, context: np.ndarray | None, owner: np.ndarray, ids: np.ndarray, keys: np.ndarray, places: np.ndarray, mark: np.ndarray | None, settled: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of the exchange, by range of token (in order), and those that carry what is settled here: number -> owner, places."""
     cut = np.append(np.searchsorted(token, (np.arange(ranges, dtype=object) * (1 << 64) // ranges).astype(U64)), len(token))
-    rows = [
-        (k, token[i:j].tobytes(), context[i:j].tobytes(), ids[i:j].tobytes(), keys[i:j].tobytes(), places[i:j].tobytes(), lefts[i:j].tobytes())
-        for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True))
-        if i < j
-    ]
-    if len(done[0]):
-        rows.append((-1 - local % 256, None, None, *(x.tobytes() for x in done), None))
+    part = lambda x, i, j: x[i:j].tobytes() if x is not None else None
+    rows = [(k, part(token, i, j), part(context, i, j), *_owned(owner[i:j], ids, keys), part(places, i, j), part(mark, i, j)) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+    rows += [(k - int(ids[0]) % 256, None, None, *_owned(o, ids, keys), p.tobytes(), None) for k, (o, p) in settled.items() if len(o)]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(len(NAMES))], NAMES)
 
 
-def _gathered(rows: pa.Table) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
-    """All entries of a range as arrays, and what was settled before."""
-    kinds = {"tokens": U64, "contexts": U64, "ids": np.int64, "keys": np.int64, "places": np.int32, "lefts": np.uint8}
-    open_ = [i for i, t in enumerate(rows["tokens"]) if t.as_py() is not None]
-    shut = [i for i, t in enumerate(rows["tokens"]) if t.as_py() is None]
-    take = lambda name, at: np.frombuffer(b"".join(rows[name][i].as_py() for i in at), kinds[name])
-    return {n: take(n, open_) for n in kinds}, [take(n, shut) for n in ("ids", "keys", "places")]
+#: Numbers of rows with what one batch settled: covered places, and places to compare.
+_COVERED, _COMPARE = -1, -1000
+
+
+def _gathered(rows: pa.Table) -> dict[str, np.ndarray]:
+    """All entries of a range as arrays."""
+    out: dict[str, list] = {n: [] for n in ("tokens", "contexts", "ids", "keys", "places", "marks")}
+    for row in zip(*(rows[n] for n in NAMES[1:]), strict=True):
+        token, context, docs, owners, places, mark = (x.as_py() for x in row)
+        who = np.frombuffer(docs, "<i8").reshape(-1, 2)[np.frombuffer(owners, "<u2")]
+        out["ids"].append(who[:, 0])
+        out["keys"].append(who[:, 1])
+        for name, data, kind in (("tokens", token, U64), ("contexts", context, U64), ("places", places, np.int32), ("marks", mark, np.uint8)):
+            if data is not None:
+                out[name].append(np.frombuffer(data, kind))
+    return {n: np.concatenate(x) if x else np.zeros(0, U64) for n, x in out.items()}
 
 
 def _marks(ids: np.ndarray, keys: np.ndarray, places: np.ndarray, covered: np.ndarray) -> pa.Table:
@@ -150,47 +161,37 @@ def _anchor_rows(ranges: int):
                 place, text, token, context = anchors(data, at)
                 if not len(place):
                     continue
-                ids, keys = rows.column(0).to_numpy()[text], rows.column(1).to_numpy()[text]
-                places = (place - at[text]).astype(np.int32)
+                own_ids, own_keys = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+                ids, places = own_ids[text], (place - at[text]).astype(np.int32)
                 order = np.lexsort((ids, context, token))
                 covered = _smaller(order, _starts(order, token, context), ids)
-                settled, order = order[covered], order[~covered]
-                done = [x[settled] for x in (ids, keys, places)]
+                over, order = order[covered], order[~covered]
                 # an anchor with many contexts here: its windows go on, and one mark tells the others
                 new = _starts(order, token)
                 first = np.flatnonzero(new)
-                many = np.diff(np.append(first, len(order))) > HOT
-                hot = np.repeat(many, np.diff(np.append(first, len(order))))
-                own = ids.copy()
-                keep = order[~hot | new]
-                mark = np.zeros(len(order), bool)
-                mark[first[many]] = True
-                lefts = np.zeros(len(keep), np.uint8)
-                lefts[mark[~hot | new]] = 1  # here: a mark, not an entry
-                yield _sent(ranges, token[keep], context[keep], own[keep], keys[keep], places[keep], lefts, done, int(ids[0]))
-                if hot.any():
-                    o = order[hot]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([-1000 - int(ids[0]) % 256], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), *(pa.array([x[o].tobytes()]) for x in (ids, keys, places)), pa.array([None], pa.binary())], NAMES
-                    )
+                size = np.diff(np.append(first, len(order)))
+                hot = np.repeat(size > HOT, size)
+                keep, wide = order[~hot | new], order[hot]
+                settled = {_COVERED: (text[over], places[over]), _COMPARE: (text[wide], places[wide])}
+                yield _sent(ranges, token[keep], context[keep], text[keep], own_ids, own_keys, places[keep], (hot & new)[~hot | new].astype(np.uint8), settled)
 
     return run
 
 
 def _anchor_marks(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """A range of anchors -> marks: covered ones, and those whose windows must be compared."""
-    x, done = _gathered(rows)
+    x = _gathered(rows)
     if key[0].as_py() < 0:
-        return _marks(*done, np.full(len(done[0]), key[0].as_py() > -1000))
+        return _marks(x["ids"], x["keys"], x["places"], np.full(len(x["ids"]), key[0].as_py() > _COMPARE))
     order = np.lexsort((x["ids"], x["contexts"], x["tokens"]))
-    covered = _smaller(order, _starts(order, x["tokens"], x["contexts"]), x["ids"]) & (x["lefts"][order] == 0)
+    covered = _smaller(order, _starts(order, x["tokens"], x["contexts"]), x["ids"]) & (x["marks"][order] == 0)
     over, left = order[covered], order[~covered]
     left = left[np.lexsort((x["ids"][left], x["tokens"][left]))]
     new = _starts(left, x["tokens"])
     group = np.cumsum(new) - 1
     owners = np.bincount(group, _starts(left, x["tokens"], x["ids"])) if len(left) else np.zeros(0)
-    hot = np.bincount(group, x["lefts"][left]) if len(left) else np.zeros(0)
-    compare = left[((owners > 1) | (hot > 0))[group] & (x["lefts"][left] == 0)] if len(left) else left
+    hot = np.bincount(group, x["marks"][left]) if len(left) else np.zeros(0)
+    compare = left[((owners > 1) | (hot > 0))[group] & (x["marks"][left] == 0)] if len(left) else left
     both = np.concatenate([over, compare])
     return _marks(x["ids"][both], x["keys"][both], x["places"][both], np.arange(len(both)) < len(over))
 
@@ -229,22 +230,21 @@ def _window_rows(ranges: int):
                     continue
                 text = np.searchsorted(at, place, side="right") - 1
                 token = Prints(data).of(place, place + LENGTH)
-                ids, keys = rows.column(0).to_numpy()[text], rows.column(1).to_numpy()[text]
-                places = (place - at[text]).astype(np.int32)
-                left = np.where(places > 0, data[np.maximum(place - 1, 0)], 0).astype(np.uint8)
+                own_ids, own_keys = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+                ids, places = own_ids[text], (place - at[text]).astype(np.int32)
                 order = np.lexsort((ids, token))
                 covered = _smaller(order, _starts(order, token), ids)
-                done, keep = [x[order[covered]] for x in (ids, keys, places)], order[~covered]
-                yield _sent(ranges, token[keep], token[:0], ids[keep], keys[keep], places[keep], left[keep], done, int(ids[0]))
+                over, keep = order[covered], order[~covered]
+                yield _sent(ranges, token[keep], None, text[keep], own_ids, own_keys, places[keep], None, {_COVERED: (text[over], places[over])})
 
     return run
 
 
 def _window_marks(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """A range of fingerprints, scanned by runs: windows that also start in a smaller document."""
-    x, done = _gathered(rows)
+    x = _gathered(rows)
     if key[0].as_py() < 0:
-        return _marks(*done, np.ones(len(done[0]), bool))
+        return _marks(x["ids"], x["keys"], x["places"], np.ones(len(x["ids"]), bool))
     order = np.lexsort((x["ids"], x["tokens"]))
     over = order[_smaller(order, _starts(order, x["tokens"]), x["ids"])]
     return _marks(x["ids"][over], x["keys"][over], x["places"][over], np.ones(len(over), bool))
