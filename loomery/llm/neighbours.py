@@ -46,7 +46,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _squares(x: np.ndarray) -> np.ndarray:
-    """All squared distances inside x."""
+    """All squared distances inside x; single precision will do for the graph."""
     n = (x * x).sum(1)
     return np.maximum(n[:, None] + n[None, :] - 2 * (x @ x.T), 0)
 
@@ -111,7 +111,7 @@ def _blocks(vectors: DataFrame, count: int, seed: int, k: int, block: int) -> Da
                 best = np.argpartition(d, min(k, len(i) - 1) - 1, axis=1)[:, : min(k, len(i) - 1)]
                 yield _rows(np.repeat(i, best.shape[1]), i[best].ravel(), np.take_along_axis(d, best, 1).ravel(), k)
 
-    placed = vectors.mapInArrow(side, "id long, x array<double>, block long")
+    placed = vectors.select("id", F.col("x").cast("array<float>").alias("x")).mapInArrow(side, "id long, x array<float>, block long")
     sizes = placed.groupBy("block").agg(F.ceil(F.count("*") / (2 * block)).alias("parts"))
     parts = placed.join(sized(staged(sizes, "ann-blocks")), "block").withColumn("part", F.pmod(F.xxhash64("id", F.lit(seed)), "parts"))
     held = parts.groupBy("block", "part").agg(F.collect_list(F.struct("id", "x")).alias("m"))
@@ -131,7 +131,7 @@ def _pairs(graph: DataFrame, k: int) -> DataFrame:
 def _round(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """One NN-descent round: the members of each list are compared with each other, improvements merged."""
     worst = graph.select(F.col("id").alias("other"), F.when(F.size("far") < k, F.lit(float("inf"))).otherwise(F.element_at("far", -1)).alias("worst"))
-    facts = vectors.select(F.col("id").alias("other"), "x").join(worst, "other", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
+    facts = vectors.select(F.col("id").alias("other"), F.col("x").cast("array<float>").alias("x")).join(worst, "other", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
     members = _pairs(graph, k).join(facts, "other").groupBy("id").agg(F.collect_list(F.struct("other", "worst", "x")).alias("m"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def _round(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 r, c = np.nonzero(d < w[:, None])
                 owner.append(i[r])
                 near.append(i[c])
-                far.append(d[r, c])
+                far.append(d[r, c].astype(float))
             if owner:
                 yield _rows(*map(np.concatenate, (owner, near, far)), k)
 
