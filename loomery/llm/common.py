@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    # Spark drops the shuffle files of finished steps when the driver collects its garbage
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    # Spark drops the shuffle files of finished steps when the driver collects its garbage; twice, as listeners hold the last step a moment longer
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ A sentence's score is the logistic of a bias and the weights of its words and th
 score is the noisy-or of its sentences: 1 minus the product of (1 - sentence score). Gradient steps on the documents'
 log loss move blame to the sentences that explain it, so that the model then also names the offending sentences.
 
-The model is fitted on a bounded sample of labelled rows: at most SAMPLE documents of each class, those of smallest
+The model is fitted on a bounded sample of labelled rows: at most SAMPLE toxic documents and twice as many others, those of smallest
 id hash, weighted to the true odds. Everything else covers all rows: the model (1 MB) goes to every task, and whole
 texts are scored by vectorised byte scans without any shuffle.
 
@@ -27,7 +27,7 @@ from loomery.llm import bytescan
 from loomery.llm.common import table
 from loomery.llm.labelled import held_out, teachers
 
-BITS, SAMPLE, ROUNDS, RATE, DECAY, LEAST_DOCS, APART, THRESHOLD = 18, 3000, 200, 0.5, 1e-3, 4, 5.5, 0.7
+BITS, SAMPLE, ROUNDS, RATE, DECAY, LEAST_DOCS, APART, THRESHOLD = 18, 1200, 200, 0.5, 1e-3, 4, 5.5, 0.7
 #: Bytes of the stems by which words that share a beginning are known.
 STEMS = (4, 5)
 _NO_LETTER = np.ones(256, bool)
@@ -81,8 +81,11 @@ def fit_bags(place: np.ndarray, word_bag: np.ndarray, bag_doc: np.ndarray, y: np
     Only words whose share of documents differs between the classes by APART standard errors get a weight.
     """
     n_docs, size = len(y), 1 << BITS
-    pairs = np.unique(place.astype(np.int64) * n_docs + bag_doc[word_bag])
-    has = [np.bincount(pairs[y[pairs % n_docs] == c] // n_docs, minlength=size) for c in (0, 1)]
+    has = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
+    doc = bag_doc[word_bag]
+    cut = np.searchsorted(doc, np.arange(n_docs + 1))
+    for d in range(n_docs):  # documents are few (the sample), and sorted
+        has[y[d]][np.unique(place[cut[d] : cut[d + 1]])] += 1
     rate = [(h + 0.5) / ((y == c).sum() + 1) for c, h in enumerate(has)]
     both = (has[0] + has[1] + 1) / (n_docs + 2)
     far = (rate[1] - rate[0]) / np.sqrt(both * (1 - both) * (1 / max((y == 0).sum(), 1) + 1 / max((y == 1).sum(), 1)) + 1e-12)
@@ -107,15 +110,15 @@ def fit_bags(place: np.ndarray, word_bag: np.ndarray, bag_doc: np.ndarray, y: np
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = SAMPLE) -> Model:
-    """The model from at most `sample` teachers of each class."""
+    """The model from at most `sample` toxic and twice as many other teachers."""
     known = teachers(labels, column)
     count = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     odds = (count.get(0, 0), count.get(1, 0))
     if not all(odds):
         return Model(np.zeros(0, np.float32), 0.0, (odds[1] + 1) / (sum(odds) + 2))
     order = F.xxhash64("doc_id", F.lit(11))
-    chosen = known.where("y = 0").orderBy(order, "doc_id").limit(sample).unionByName(known.where("y = 1").orderBy(order, "doc_id").limit(sample))
-    # at most 2 * sample rows of two numbers
+    chosen = known.where("y = 0").orderBy(order, "doc_id").limit(2 * sample).unionByName(known.where("y = 1").orderBy(order, "doc_id").limit(sample))
+    # at most 3 * sample rows of two numbers
     taught = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
                 place, begin = words(data, at)
                 bag = np.searchsorted(starts, begin, side="right") - 1
                 doc = text[bag] if len(bag) else bag
+                order = np.argsort(doc, kind="stable")  # stems come after all words
+                place, bag, doc = place[order], bag[order], doc[order]
                 first = np.searchsorted(text, np.arange(rows.num_rows))
                 cut = bytescan.offsets(doc, rows.num_rows)
                 out = [rows.column(0)]
@@ -138,10 +143,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
         return Model(np.zeros(0, np.float32), 0.0, (odds[1] + 1) / (sum(odds) + 2))
     column_ = lambda name: got[name].combine_chunks()
     lengths = np.diff(column_("place").offsets.to_numpy())
-    place, bag = column_("place").flatten().to_numpy(), column_("bag").flatten().to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(len(y)), lengths)
-    bags, word_bag = np.unique(doc * (1 << 32) + bag, return_inverse=True)
-    return fit_bags(place, word_bag, bags >> 32, y, (odds[0] / sum(odds), odds[1] / sum(odds)))
+    place, bag = column_("place").flatten().to_numpy(), column_("bag").flatten().to_numpy()
+    # sentences of each document, in order: a document's begin where those before it end
+    many = np.zeros(len(y), np.int64)
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
+    np.maximum.at(many, doc, bag + 1)
+    word_bag = (np.cumsum(many) - many)[doc].astype(np.int32) + bag
+    return fit_bags(place, word_bag, np.repeat(np.arange(len(y)), many), y, (odds[0] / sum(odds), odds[1] / sum(odds)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
