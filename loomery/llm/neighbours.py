@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.common import sized, staged, table
 
-K, BLOCK, STARTS, ROUNDS, POOL, WIDTH, HOPS, TOP = 32, 400, 3, 4, 160, 40, 6, 10
+K, BLOCK, STARTS, ROUNDS, POOL, WIDTH, HOPS, TOP = 32, 400, 3, 6, 224, 56, 6, 10
 
 
 def usable(vectors: DataFrame) -> DataFrame:
