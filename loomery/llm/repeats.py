@@ -40,7 +40,7 @@ BACK = LENGTH - GRAM
 #: Contexts of an anchor in one batch beyond which it counts as shared everywhere.
 HOT = 8
 #: Entries of one fingerprint range on average.
-RANGE = 1 << 19
+RANGE = 1 << 17
 #: Text bytes of one scan; it holds a dozen 8-byte values for each.
 SLICE = 1 << 20
 U64 = np.uint64
