@@ -112,7 +112,7 @@ def _shared(rows: DataFrame, token: str, owner: str) -> DataFrame:
 
 
 #: Zone shingles that one hash range holds on average.
-RANGE = 1 << 21
+RANGE = 1 << 20
 _NOBODY = 0xFFFFFFFF
 
 
