@@ -1,14 +1,16 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences, and only the bag has a label.
 
-A sentence's score is the logistic of a bias and the weights of its words and their stems (hashed to `2**BITS` places). A document's
-score is the noisy-or of its sentences: 1 minus the product of (1 - sentence score). Gradient steps on the documents'
-log loss move blame to the sentences that explain it, so that the model then also names the offending sentences.
+A sentence's score is the logistic of a bias and the weights of its words and their stems (hashed to `2**BITS` places); sentences
+without a weighted word are neutral and add nothing, however many a document has. A document's score is the noisy-or of
+its other sentences and one leak: 1 minus the product of (1 - leak) and each (1 - sentence score). The leak is the
+score of a document that has neutral sentences only. Gradient steps on the documents' log loss move blame to the
+sentences that explain it, so that the model then also names the offending sentences.
 
 The model is fitted on a bounded sample of labelled rows: at most SAMPLE toxic documents and twice as many others, those of smallest
 id hash, weighted to the true odds. Everything else covers all rows: the model (1 MB) goes to every task, and whole
 texts are scored by vectorised byte scans without any shuffle.
 
-Defined results: null text counts as empty and has no sentences, so its score is that of an empty sentence; with no
+Defined results: null text counts as empty and has no sentences, so its score is the leak; with no
 teachers of either class every score is the smoothed share of label 1; repeated rows are rows of their own; an
 empty table gives an empty table. Other columns of the input are not read.
 """
@@ -57,21 +59,25 @@ class Model:
     weights: np.ndarray
     bias: float
     constant: float | None = None
+    leak: float = 0.0  # log odds
 
     def instance(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sentence starts, ends, texts, and the log odds of each."""
+        """Sentence starts, ends, texts, and the log odds of each (minus infinity for neutral ones)."""
         starts, ends, text = sentences(data, at)
         place, begin = words(data, at)
-        z = np.bincount(np.searchsorted(starts, begin, side="right") - 1, self.weights[place], len(starts)) if len(place) else np.zeros(len(starts))
-        return starts, ends, text, z + self.bias
+        known = self.weights[place] != 0
+        place, bag = place[known], np.searchsorted(starts, begin[known], side="right") - 1
+        z = np.full(len(starts), -np.inf)
+        said = np.unique(bag)
+        z[said] = np.bincount(bag, self.weights[place], len(starts))[said] + self.bias
+        return starts, ends, text, z
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         n = len(at) - 1
         if self.constant is not None:
             return np.full(n, self.constant)
         _, _, text, z = self.instance(data, at)
-        clean = np.bincount(text, np.logaddexp(0, z), n)
-        clean[np.bincount(text, minlength=n) == 0] = np.logaddexp(0, self.bias)
+        clean = np.bincount(text, np.logaddexp(0, z), n) + np.logaddexp(0, self.leak)
         return -np.expm1(-clean)
 
 
@@ -91,22 +97,25 @@ def fit_bags(place: np.ndarray, word_bag: np.ndarray, bag_doc: np.ndarray, y: np
     far = (rate[1] - rate[0]) / np.sqrt(both * (1 - both) * (1 / max((y == 0).sum(), 1) + 1 / max((y == 1).sum(), 1)) + 1e-12)
     use = ((np.abs(far) >= APART) & (has[0] + has[1] >= LEAST_DOCS))[place]
     kept, column = np.unique(place[use], return_inverse=True)
-    row = word_bag[use]
+    # sentences with a weighted word; the others are neutral
+    said, row = np.unique(word_bag[use], return_inverse=True)
+    bag_doc = bag_doc[said]
     share = np.where(y == 1, odds[1] / max((y == 1).sum(), 1), odds[0] / max((y == 0).sum(), 1))
-    w, b = np.clip(np.log(rate[1] / rate[0]), -2, 8)[kept], -6.0
-    seen_w, seen_b = np.full(len(kept), 1e-8), 1e-8
+    w, b, leak = np.clip(np.log(rate[1] / rate[0]), -2, 8)[kept], -6.0, -6.0
+    seen_w, seen_b, seen_leak = np.full(len(kept), 1e-8), 1e-8, 1e-8
     for _ in range(rounds):
         z = np.bincount(row, w[column], len(bag_doc)) + b
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        clean = np.exp(-np.bincount(bag_doc, np.logaddexp(0, z), n_docs))
+        clean = np.exp(-np.bincount(bag_doc, np.logaddexp(0, z), n_docs) - np.logaddexp(0, leak))
         toxic = np.maximum(1 - clean, 1e-9)
-        g = (share * np.where(y == 1, -clean / toxic, 1.0))[bag_doc] * p
+        each = share * np.where(y == 1, -clean / toxic, 1.0)
+        g, gl = each[bag_doc] * p, each.sum() / (1 + np.exp(-leak))
         gw, gb = np.bincount(column, g[row], len(kept)) + DECAY * w / n_docs, g.sum()
-        seen_w, seen_b = seen_w + gw**2, seen_b + gb**2
-        w, b = w - RATE * gw / np.sqrt(seen_w), b - 0.1 * RATE * gb / np.sqrt(seen_b)
+        seen_w, seen_b, seen_leak = seen_w + gw**2, seen_b + gb**2, seen_leak + gl**2
+        w, b, leak = w - RATE * gw / np.sqrt(seen_w), b - 0.1 * RATE * gb / np.sqrt(seen_b), leak - RATE * gl / np.sqrt(seen_leak)
     weights = np.zeros(size, np.float32)
     weights[kept] = w
-    return Model(weights, float(b))
+    return Model(weights, float(b), leak=float(leak))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = SAMPLE) -> Model:

@@ -42,3 +42,11 @@ def test_offending_sentences(spark):
     got = toxicity.offending(mine, model).collect()
     assert [(r.doc_id, r.sentence) for r in got] == [(1, "You are a stupid idiot and pathetic scum")]
     assert [r.doc_id for r in toxicity.clean(docs, labels).limit(3).collect()] and toxicity.clean(docs, labels).columns == docs.columns
+
+
+def test_many_neutral_sentences_are_clean(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    long = [(1, "A fine day. " * 20000), (2, "x\n" * 20000), (3, "A fine day."), (4, "A fine day. " * 10000 + "You are a stupid idiot and pathetic scum! " + "A fine day. " * 10000), (5, None)]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(long, "doc_id long, text string"), model).collect()}
+    assert got[1] == got[2] == got[3] == got[5] < 0.5 and got[4] >= toxicity.THRESHOLD
