@@ -3,10 +3,12 @@
 The graph holds each vector's K nearest found. It starts from blocks of vectors that lie on the same sides of some
 random planes (blocks are split by id where they are large, so equal vectors don't pile up), compared inside. Then each
 round joins neighbours of neighbours: the list of a vector, forward and backward, meets at that vector by a Spark
-join, its members are compared with each other, and pairs that improve a member's list are merged into it.
+join, its members are compared with each other, and pairs that improve a member's list are merged into it. Rounds
+go on until less than SETTLED of the entries of all lists are new.
 
 A search starts from the query's own list and expands, hop by hop, the nearest unexpanded vectors of a pool by joins
-with the graph (both directions) and the vectors; the pool keeps the POOL nearest. Backward lists are cut to the K
+with the graph (both directions) and the vectors; the pool keeps the POOL nearest. It ends when every vector of every
+query's pool is expanded. Backward lists are cut to the K
 nearest, in two steps (by id hash, then whole), so that a hub never fills a task. Distances that are returned are
 computed in double precision from the original vectors.
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from loomery.llm.common import sized, staged, table
 
-K, BLOCK, STARTS, ROUNDS, POOL, WIDTH, HOPS, TOP = 32, 400, 3, 6, 224, 56, 6, 10
+K, BLOCK, STARTS, SETTLED, POOL, WIDTH, TOP = 32, 400, 3, 0.005, 224, 56, 10
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -152,7 +154,15 @@ def _round(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return _merged(graph.unionByName(better), k)
 
 
-def build(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+def changed(before: DataFrame, after: DataFrame) -> float:
+    """The share of the entries of all lists after a round that were not there before it."""
+    old = before.select("id", F.col("near").alias("old"))
+    both = after.join(old, "id", "left").withColumn("old", F.coalesce("old", F.expr("cast(array() as array<long>)")))
+    r = both.agg(F.sum(F.size(F.array_except("near", "old"))).alias("new"), F.sum(F.size("near")).alias("every")).first()
+    return (r.new or 0) / (r.every or 1)
+
+
+def build(vectors: DataFrame, k: int = K, settled: float = SETTLED, block: int = BLOCK) -> DataFrame:
     """The neighbour graph of usable vectors (id, x): id, near, far (squared), nearest first."""
     count = vectors.count()
     lists = _blocks(vectors, count, 1, k, block)
@@ -160,12 +170,14 @@ def build(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, block: int = BLO
         for seed in range(2, STARTS + 1):
             lists = lists.unionByName(_blocks(vectors, count, seed, k, block))
     graph = staged(_merged(lists, k), "ann-graph")
-    for _ in range(rounds if count > block else 0):
-        graph = staged(_round(graph, vectors, k), "ann-graph")
+    moving = count > block
+    while moving:  # lists only get nearer, so this ends
+        before, graph = graph, staged(_round(graph, vectors, k), "ann-graph")
+        moving = changed(before, graph) >= settled
     return graph
 
 
-def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, top: int = TOP, pool: int = POOL, width: int = WIDTH, hops: int = HOPS, k: int = K) -> DataFrame:
+def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, top: int = TOP, pool: int = POOL, width: int = WIDTH, k: int = K) -> DataFrame:
     """queries (query_id), ids of vectors -> query_id, rank, vec_id, score."""
     links = staged(_pairs(graph, k).groupBy("id").agg(F.collect_list("other").alias("others")), "ann-links")
     asked = staged(queries.join(vectors, F.col("query_id") == F.col("id")).select("query_id", F.col("x").alias("q")), "ann-queries")
@@ -178,7 +190,7 @@ def search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, top: int =
     best = Window.partitionBy("query_id").orderBy("score", "id")
     held = None
     front = asked.select("query_id", F.col("query_id").alias("id"))
-    for _ in range(hops + 1):
+    while held is None or not front.isEmpty():  # a vector is expanded once, so this ends
         reached = front.join(links, "id").select("query_id", F.explode("others").alias("id")).where("id <> query_id").distinct()
         if held is not None:
             reached = reached.join(held.select("query_id", "id"), ["query_id", "id"], "left_anti")

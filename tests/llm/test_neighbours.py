@@ -45,3 +45,21 @@ def test_recall(spark):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     recall = np.mean([len({i for _, i in want[q]} & got[q]) / 10 for q in want])
     assert got.keys() == want.keys() and recall >= 0.95, recall
+
+
+def test_rounds_go_on_until_settled(spark):
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((600, 8)))], "vec_id long, embedding array<double>")
+    known = neighbours.usable(docs).cache()
+    graph = neighbours.build(known, k=5, block=4)
+    old = {r.id: set(r.near) for r in graph.collect()}
+    new = {r.id: set(r.near) for r in neighbours._round(graph, known, 5).collect()}
+    assert sum(len(new[i] - old.get(i, set())) for i in new) < 0.02 * sum(map(len, new.values()))
+
+
+def test_search_follows_a_chain_to_its_top(spark):
+    vectors = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(12)], "id long, x array<double>")
+    chain = [(i, [j for j in (i - 1, i + 1) if 0 <= j < 12], [1.0] * (2 if 0 < i < 11 else 1)) for i in range(12)]
+    graph = spark.createDataFrame(chain, neighbours.LISTS)
+    rows = neighbours.search(vectors, graph, spark.createDataFrame([(0,)], "query_id long"), width=2, k=2).collect()
+    assert sorted((r.rank, r.vec_id) for r in rows) == [(i, i) for i in range(1, 11)]
