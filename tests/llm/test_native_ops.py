@@ -103,10 +103,62 @@ def test_license_matches_brute_force(spark, sf_dir):
 
 
 def test_license_edges(edge):
-    check_license(license_scan.scan(edge).collect(), {r[0]: r[1] for r in EDGE})
+    rows = license_scan.scan(edge).collect()
+    assert len(rows) == len(EDGE)
+    check_license(rows, {r[0]: r[1] for r in EDGE})
     assert license_scan.scan(edge.limit(0)).count() == 0
 
 
+def brute_spans(text):
+    """Label and score of every verified span that is no phrase, by plain loops."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    out = set()
+    for line, label in license_scan.TEMPLATES.items():
+        t = line.split()
+        lines = {}
+        for at in range(len(w) - 1):
+            for place in range(len(t) - 1):
+                if w[at : at + 2] == t[place : place + 2]:
+                    lines.setdefault(at - place, []).append(at)
+        spans, before = [], None
+        for d in sorted(lines):
+            if before is None or d - before > license_scan.SLACK or lines[d][0] - lines[before][-1] - 2 > len(t):
+                spans.append([])
+            spans[-1] += [(at, -(at - d)) for at in lines[d]]
+            before = d
+        for span in spans:
+            latest, best = {}, 0
+            for at, back in sorted(span):
+                n = 1 + max((m for q, (m, d) in latest.items() if q < -back and abs(d - at - back) <= license_scan.SLACK), default=0)
+                latest[-back] = (n, at + back)
+                best = max(best, n)
+            if best >= license_scan.LEAST * (len(t) - 1):
+                out.add((label, best / (len(t) - 1)))
+    return out
+
+
+def check_labels(rows, texts):
+    for r in rows:
+        own, want = brute_license(texts[r.doc_id])[4], brute_spans(texts[r.doc_id])
+        assert r.labels == ",".join(sorted({x for x, _ in want} | set(filter(None, own.split(","))))), r.doc_id
+        assert r.score == (1.0 if own else max((s for _, s in want), default=0.0)), r.doc_id
+
+
+def test_license_labels_match_brute_force(spark, edge):
+    full = list(license_scan.TEMPLATES)
+    texts = ["under cc by under cc by licensed under", "cc by " * 40, " ".join(full), " ".join(reversed(full[0].split()))]
+    texts += [" x ".join([full[k], full[k + 1]]).replace(" the ", " ") for k in range(len(full) - 1)]
+    texts += [" ".join(full[k].split()[:-3] * 2) for k in range(len(full))] + ["\u212a licensed under CC BY 4.0 \u0130", "licensed under cc 4 0 by 4 0 licensed cc by"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = license_scan.scan(docs).collect()
+    assert len(rows) == len(texts) and not next(r for r in rows if r.doc_id == 0).labels.startswith("cc-by-4")
+    check_labels(rows, dict(enumerate(texts)))
+    check_license(rows, dict(enumerate(texts)))
+    check_labels(license_scan.scan(edge).collect(), {r[0]: r[1] for r in EDGE})
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    check_labels(license_scan.scan(small).collect(), {r.doc_id: r.text for r in small.collect()})
+
+
 def test_license_edited_template(spark):
     text = "Permission is hereby granted, free of charge, to any nice person obtaining a copy of software and associated documentation files"
     r = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
