@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,15 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+def give_back() -> None:
+    """Return the memory of a task's arrays to the system; the worker lives on and would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows in slices of about `most` bytes of text, each with the bytes and offsets of its texts."""
     for batch in batches:
@@ -64,6 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
             end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
             yield batch.slice(row, end - row), data[at[row] : at[end]], at[row : end + 1] - at[row]
             row = end
+    give_back()
 
 
 def runs(apart: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,8 +75,9 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def summaries(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, n, d1, d2 (a digest of the set), sure (zone shingles that a partner shares at least), zone."""
+    """doc_id, n, d1, d2 (a digest of the set), sure (zone shingles that a partner shares at least), zone; and _k1, _k2 if docs has them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    keys = [c for c in ("_k1", "_k2") if c in docs.columns]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -85,9 +87,11 @@ def summaries(docs: DataFrame, size: int = WORDS) -> DataFrame:
                 inside = np.arange(len(tokens)) - np.repeat(cut[:-1], n) < np.repeat(zone, n)
                 digests = [_per_text(np.add, bytescan.mix(tokens + U64(c)), cut).view(np.int64) for c in (1, 2)]
                 out = [rows.column(0), pa.array(n, pa.int64()), *map(pa.array, digests), pa.array(_sure(_need(n)), pa.int64()), _lists(tokens[inside], zone)]
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "d1", "d2", "sure", "zone"])
+                out += [rows.column(k) for k in range(2, 2 + len(keys))]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "d1", "d2", "sure", "zone", *keys])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n long, d1 long, d2 long, sure long, zone array<long>")
+    schema = f"doc_id {kind}, n long, d1 long, d2 long, sure long, zone array<long>" + "".join(f", {k} long" for k in keys)
+    return docs.select("doc_id", "text", *keys).mapInArrow(scan, schema)
 
 
 def full_sets(docs: DataFrame, size: int = WORDS, keys: int = KEYS) -> DataFrame:
@@ -114,15 +118,26 @@ def _shared(rows: DataFrame, token: str, owner: str) -> DataFrame:
 #: Zone shingles that one hash range holds on average.
 RANGE = 1 << 20
 _NOBODY = 0xFFFFFFFF
+PACKED = "range int, batch long, tokens binary, owners binary, docs binary, hits binary"
+
+
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    """A batch of packed rows: numbers and binaries by the names of a schema."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
 
 
 def _range_rows(ranges: int):
-    """Batches of (doc_id, zone) -> for each hash range a row: its shingles, their owner in `docs` or nobody, and hits counted here."""
+    """Batches of (doc_id, zone) -> for each hash range a row: its shingles, the documents that own some, and each shingle's owner among
+    them or nobody; and one row with the hits counted here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        edges = (np.arange(ranges, dtype=object) * (1 << 64) // ranges).astype(U64)
+        for number, b in enumerate(batches):
             if not b.num_rows:
                 continue
+            name = (TaskContext.get().partitionId() << 32) + number
             docs = b.column(0).to_numpy()
             token = b.column(1).flatten().to_numpy().view(U64)
             owner = np.repeat(np.arange(b.num_rows, dtype=np.uint32), np.diff(b.column(1).offsets.to_numpy()))
@@ -133,30 +148,39 @@ def _range_rows(ranges: int):
             first = np.flatnonzero(new)
             many = np.diff(np.append(first, len(token)))
             hits = np.bincount(owner[np.repeat(many > 1, many)], minlength=len(docs))
-            token, owner = token[first], np.where(many > 1, np.uint32(_NOBODY), owner[first])
-            cut = np.searchsorted(token, (np.arange(ranges, dtype=object) * (1 << 64) // ranges).astype(U64))
-            cut = np.append(cut, len(token))
-            rows = [(k, token[i:j].tobytes(), owner[i:j].tobytes(), docs.astype("<i8").tobytes(), None) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
-            rows.append((-1 - int(docs[0]) % 64, None, None, docs.astype("<i8").tobytes(), hits.astype("<i8").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["range", "tokens", "owners", "docs", "hits"])
+            token, owner, alone = token[first], owner[first], many == 1
+            cut = np.append(np.searchsorted(token, edges), len(token))
+            rows = []
+            for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                if i < j:
+                    some, place = np.unique(owner[i:j][alone[i:j]], return_inverse=True)
+                    whose = np.full(j - i, _NOBODY, np.uint32)
+                    whose[alone[i:j]] = place
+                    rows.append((k, name, token[i:j].tobytes(), whose.tobytes(), docs[some].astype("<i8").tobytes(), None))
+            some = hits > 0
+            if some.any():
+                rows.append((-1 - name % ranges, name, None, None, docs[some].astype("<i8").tobytes(), hits[some].astype("<i8").tobytes()))
+            yield _batch(list(zip(*rows, strict=True)) or [[]] * 6, PACKED)
 
     return run
 
 
+HITS = "batch long, docs binary, hits binary"
+
+
 def _range_hits(rows: pa.Table) -> pa.Table:
-    """All rows of a hash range -> hits by document."""
-    token, owner, docs, hits, base = [], [], [], [], 0
-    for t, o, d, h in zip(*(rows[c] for c in ("tokens", "owners", "docs", "hits")), strict=True):
-        d = np.frombuffer(d.as_py(), "<i8")
-        if h.as_py() is not None:
-            docs.append(d)
-            hits.append(np.frombuffer(h.as_py(), "<i8"))
+    """All rows of a hash range -> for each batch, its documents with hits, packed."""
+    batch, token, owner, docs, out, base = [], [], [], [], [], 0
+    for name, t, o, d, h in zip(*(rows[c] for c in ("batch", "tokens", "owners", "docs", "hits")), strict=True):
+        if h.is_valid:
+            out.append((name.as_py(), d.as_py(), h.as_py()))
             continue
         o = np.frombuffer(o.as_py(), np.uint32).astype(np.int64)
         token.append(np.frombuffer(t.as_py(), U64))
         owner.append(np.where(o == _NOBODY, -1, o + base))
-        docs.append(d)
-        base += len(d)
+        docs.append(np.frombuffer(d.as_py(), "<i8"))
+        base += len(docs[-1])
+        batch.append(name.as_py())
     if token:
         token, owner = np.concatenate(token), np.concatenate(owner)
         order = np.argsort(token, kind="stable")
@@ -165,12 +189,19 @@ def _range_hits(rows: pa.Table) -> pa.Table:
         same[1:] = token[1:] == token[:-1]
         shared = same.copy()
         shared[:-1] |= same[1:]
-        docs, hits = np.concatenate(docs), [np.bincount(owner[shared & (owner >= 0)], minlength=base)]
-    else:
-        docs = np.concatenate(docs)
-    hits = np.concatenate(hits)
-    some = hits > 0
-    return pa.table({"doc_id": pa.array(docs[some]), "hits": pa.array(hits[some])})
+        ends = np.cumsum([len(d) for d in docs])
+        hits = np.bincount(owner[shared & (owner >= 0)], minlength=ends[-1])
+        for name, d, h in zip(batch, docs, np.split(hits, ends[:-1]), strict=True):
+            if (h > 0).any():
+                out.append((name, d[h > 0].tobytes(), h[h > 0].astype("<i8").tobytes()))
+    return pa.Table.from_batches([_batch(list(zip(*out, strict=True)) or [[]] * 3, HITS)])
+
+
+def _batch_hits(rows: pa.Table) -> pa.Table:
+    """Packed hits of a batch from all ranges -> one row for each document."""
+    docs, hits = (np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in rows[c]]) for c in ("docs", "hits"))
+    docs, place = np.unique(docs, return_inverse=True)
+    return pa.table({"doc_id": pa.array(docs), "hits": pa.array(np.bincount(place, hits, len(docs)).astype(np.int64))})
 
 
 def _live(found: DataFrame, first: DataFrame) -> DataFrame:
@@ -178,8 +209,9 @@ def _live(found: DataFrame, first: DataFrame) -> DataFrame:
     reps = staged(first.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct(), "near-reps")
     zones = found.where("n > 0").join(sized(reps), "doc_id", "left_semi")
     total = found.agg(F.sum(F.size("zone"))).first()[0] or 0
-    rows = zones.select("doc_id", "zone").mapInArrow(_range_rows(max(1, -(-total // RANGE))), "range int, tokens binary, owners binary, docs binary, hits binary")
-    hits = rows.groupBy("range").applyInArrow(_range_hits, "doc_id long, hits long").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
+    rows = zones.select("doc_id", "zone").mapInArrow(_range_rows(max(1, -(-total // RANGE))), PACKED)
+    hits = rows.groupBy("range").applyInArrow(_range_hits, HITS).groupBy("batch").applyInArrow(_batch_hits, "doc_id long, hits long")
+    hits = hits.groupBy("doc_id").agg(F.sum("hits").alias("hits"))
     return found.select("doc_id", "sure").join(hits, "doc_id").where("hits >= sure").select("doc_id").distinct()
 
 
@@ -219,50 +251,86 @@ def _need_sql(n: Column) -> Column:
     return F.floor((3 * n + 3) / 4)
 
 
+#: Documents of a token beyond which its owners are compared in blocks, documents of a block, and tokens of one matrix product.
+HOT, BLOCK, WIDTH = 48, 256, 4096
+SIDE = ("i", "g", "n", "t")
+
+
+def _common(a: np.ndarray, a_of: np.ndarray, b: np.ndarray, b_of: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Tokens that each document of one side shares with each of the other: matrix products over WIDTH tokens at a time."""
+    union = np.intersect1d(a, b)
+    out = np.zeros(shape, np.float64)
+    (a, a_of), (b, b_of) = (((p := np.searchsorted(union, t).clip(max=len(union) - 1))[k := union[p] == t], o[k]) if len(union) else (t[:0], o[:0]) for t, o in ((a, a_of), (b, b_of)))
+    sides = [(p[order := np.argsort(p, kind="stable")], o[order]) for p, o in ((a, a_of), (b, b_of))]
+    for lo in range(0, len(union), WIDTH):
+        has = []
+        for (p, o), n in zip(sides, shape, strict=True):
+            i, j = np.searchsorted(p, (lo, lo + WIDTH))
+            has.append(np.zeros((n, min(WIDTH, len(union) - lo)), np.float32))
+            has[-1][o[i:j], p[i:j] - lo] = 1
+        out += has[0] @ has[1].T
+    return out.astype(np.int64)
+
+
 def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of blocks -> a link for every two groups that have one. Only documents that the other block's union leaves room for are compared."""
     for b in batches:
-        links: dict[tuple[int, int], tuple[int, int]] = {}
         for row in range(b.num_rows):
+            links: dict[tuple[int, int], tuple[int, int]] = {}
             sides = []
             for k in (0, 1):
                 ids, grp, n, tokens = (b.column(4 * k + i)[row].values for i in range(4))
                 sides.append((ids.to_numpy(), grp.to_numpy(), n.to_numpy(), tokens.flatten().to_numpy(), np.repeat(np.arange(len(ids)), tokens.value_lengths().to_numpy())))
-            (ia, ga, na, ta, oa), (ib, gb, nb, tb, ob) = sides
-            union = np.intersect1d(ta, tb)
-            place = [np.searchsorted(union, t) for t in (ta, tb)]
-            known = [np.isin(t, union) for t in (ta, tb)]
-            has = [np.zeros((len(i), len(union)), np.float32) for i in (ia, ib)]
-            for h, o, p, k in zip(has, (oa, ob), place, known, strict=True):
-                h[o[k], p[k]] = 1
-            opened = [np.flatnonzero(h.sum(1) >= _need(n)) for h, n in zip(has, (na, nb), strict=True)]
-            x, y = opened
-            common = (has[0][x] @ has[1][y].T).astype(np.int64)
-            near = (4 * common >= 3 * (na[x][:, None] + nb[y][None, :] - common)) & (ga[x][:, None] != gb[y][None, :])
-            for i, j in zip(*np.nonzero(near), strict=True):
-                links.setdefault(tuple(sorted((int(ga[x[i]]), int(gb[y[j]])))), (int(ia[x[i]]), int(ib[y[j]])))
-        yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in links.values()], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-
-#: Documents of a token beyond which its owners are compared in blocks, and documents of a block.
-HOT, BLOCK = 48, 256
+            opened = []
+            for (ids, grp, n, t, o), other in zip(sides, (sides[1][3], sides[0][3]), strict=True):
+                room = np.bincount(o[np.isin(t, other)], minlength=len(ids)) >= _need(n)
+                place = np.cumsum(room) - 1
+                opened.append((ids[room], grp[room], n[room], t[room[o]], place[o[room[o]]]))
+            (ia, ga, na, ta, oa), (ib, gb, nb, tb, ob) = opened
+            if len(ia) and len(ib):
+                common = _common(ta, oa, tb, ob, (len(ia), len(ib)))
+                near = (4 * common >= 3 * (na[:, None] + nb[None, :] - common)) & (ga[:, None] != gb[None, :])
+                for i, j in zip(*np.nonzero(near), strict=True):
+                    links.setdefault(tuple(sorted((int(ga[i]), int(gb[j])))), (int(ia[i]), int(ib[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for v in links.values()], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks with their unions of tokens and their smallest documents -> the pairs that can hold a link."""
+    for b in batches:
+        ux, uy, nx, ny = (b.column(i) for i in range(2, 6))
+        keep = [np.isin(ux[k].values.to_numpy(), uy[k].values.to_numpy(), assume_unique=True).sum() >= _need(max(nx[k].as_py(), ny[k].as_py())) for k in range(b.num_rows)]
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], ["x", "y"])
 
 
 def _hot_links(rows: DataFrame, hot: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links across groups between documents that share a hot token: clusters that hot tokens hold together, compared block by block."""
+    """Links across groups between documents that share a hot token: clusters that hot tokens hold together, compared block by block.
+
+    A block holds documents of near sizes (a factor of 4/3), of one large group or of some small ones. The blocks' unions
+    of tokens meet first, and the documents only of pairs of blocks whose unions share enough.
+    """
     owners = rows.join(hot, "token")
     low = owners.groupBy("token").agg(F.min("grp").alias("b"))
     named = components(owners.join(low, "token").select(F.col("grp").alias("a"), "b").distinct(), "near-clusters")
-    docs = rows.select("doc_id", "grp").distinct().join(named.withColumnRenamed("component", "cluster"), F.col("grp") == F.col("node")).select("doc_id", "grp", "cluster")
-    sizes = docs.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("_b"))
-    docs = docs.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("grp", F.floor(F.xxhash64("doc_id") / (1 << 58))), "_b"))
+    docs = rows.select("doc_id", "n", "grp").distinct().join(named.withColumnRenamed("component", "cluster"), F.col("grp") == F.col("node"))
+    docs = docs.select("doc_id", "grp", "cluster", F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))).alias("class"))
+    sizes = docs.groupBy("cluster", "class", "grp").agg(F.count("*").alias("_c")).withColumn("own", F.when(F.col("_c") * 2 > BLOCK, F.col("grp")))
+    pieces = sizes.groupBy("cluster", "class", "own").agg(F.ceil(F.sum("_c") / BLOCK).alias("_b"))
+    spread = F.when(F.col("own").isNull(), F.xxhash64("grp")).otherwise(F.xxhash64("doc_id"))
+    docs = docs.join(sizes.drop("_c"), ["cluster", "class", "grp"]).alias("d").join(pieces.alias("p"), F.expr("d.cluster = p.cluster and d.class = p.class and d.own <=> p.own"))
+    docs = docs.select("doc_id", "grp", F.col("d.cluster").alias("cluster"), F.col("d.class").alias("class"), F.col("d.own").alias("own"), "_b")
+    docs = docs.withColumn("piece", F.pmod(spread, F.col("_b"))).select("doc_id", "grp", F.struct("cluster", "class", "own", "piece").alias("x"))
     one = F.struct(F.col("doc_id").alias("i"), F.col("grp").alias("g"), "n", F.col("tokens").alias("t"))
-    blocks = docs.join(sets.select("doc_id", "n", "tokens"), "doc_id").groupBy("cluster", "block").agg(F.collect_list(one).alias("m"))
+    blocks = docs.join(sets.select("doc_id", "n", "tokens"), "doc_id").groupBy("x").agg(F.collect_list(one).alias("m"))
     blocks = staged(blocks, "near-blocks")
-    names = blocks.select("cluster", F.col("block").alias("x")).join(blocks.select("cluster", F.col("block").alias("y")), "cluster").where("x <= y")
-    side = lambda k: blocks.select("cluster", F.col("block").alias(k), F.col("m").alias(f"m{k}"))
-    pairs = names.join(side("x"), ["cluster", "x"]).join(side("y"), ["cluster", "y"])
-    return pairs.select(*(F.col(f"m{k}.{c}").alias(f"{c}{k}") for k in "xy" for c in "ignt")).mapInArrow(_block_links, "a long, b long")
+    union = staged(blocks.select("x", F.array_distinct(F.flatten("m.t")).alias("u"), F.array_min("m.n").alias("least")), "near-unions")
+    side = lambda c: union.select(F.col("x").alias(c), F.col("x.cluster").alias("cluster"), F.col("u").alias(f"u{c}"), F.col("least").alias(f"n{c}"), F.explode(F.array(F.col("x.class"), F.col("x.class") + 1) if c == "x" else F.array(F.col("x.class"))).alias("class"))
+    # a class meets itself (each pair once) and the next one; blocks of one group have nothing to find
+    pairs = side("x").join(side("y"), ["cluster", "class"]).where("(x.class < y.class or x <= y) and not coalesce(x.own = y.own, false)")
+    opened = staged(pairs.select("x", "y", "ux", "uy", "nx", "ny").mapInArrow(_open_pairs, f"x {docs.schema['x'].dataType.simpleString()}, y {docs.schema['x'].dataType.simpleString()}"), "near-opened")
+    for c in "xy":
+        opened = opened.join(blocks.select(F.col("x").alias(c), F.col("m").alias(f"m{c}")), c)
+    return opened.select(*(F.col(f"m{k}.{c}").alias(f"{c}{k}") for k in "xy" for c in SIDE)).mapInArrow(_block_links, "a long, b long")
 
 
 def _across(sets: DataFrame, groups: DataFrame) -> DataFrame:
@@ -285,9 +353,8 @@ def _across(sets: DataFrame, groups: DataFrame) -> DataFrame:
     return links if hot.isEmpty() else links.unionByName(_hot_links(rows, hot, sets))
 
 
-def join(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+def classes(docs: DataFrame, size: int = WORDS) -> DataFrame:
+    """For every row of docs (doc_id, text and, if there, its keys): n, d1, d2 (the set) and component."""
     found = staged(summaries(docs, size), "near-sets")
     first = found.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     live = staged(_live(found, first), "near-live")
@@ -298,14 +365,34 @@ def join(docs: DataFrame, size: int = WORDS) -> DataFrame:
     across = staged(_across(sets, groups), "near-links")
     if not across.isEmpty():
         groups = components(stars.unionByName(across), "near-classes")
-    named = found.select("doc_id", "n", "d1", "d2").join(first, ["d1", "d2", "n"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    named = found.drop("sure", "zone").join(first, ["d1", "d2", "n"], "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    return named.withColumn("component", F.coalesce("component", "rep", "doc_id")).drop("rep")
+
+
+def join(docs: DataFrame, size: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of docs (doc_id, text)."""
+    return classes(docs, size).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs without those that another document of their class stands for, columns as they are."""
-    gone = staged(join(docs).where("doc_id <> component_id").select("doc_id").distinct(), "near-gone")
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs for each class, columns as they are: of the smallest id, and of rows that repeat it one.
+
+    Rows of an empty set all stay. Equal sets of which no row has an id keep one row. Decisions are by id and text, so
+    other texts under an id that another text makes a copy are not touched by them.
+    """
+    keys = ["doc_id", "_k1", "_k2"]
+    keyed = docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.xxhash64(F.lit(1), "text")})
+    rows = classes(keyed).where("n > 0").groupBy(*keys, "d1", "d2", "n", "component").agg(F.count("*").alias("_c"))
+    order = Window.partitionBy("doc_id", "d1", "d2", "n").orderBy("_k1", "_k2")
+    rows = rows.withColumn("_stays", F.col("doc_id").eqNullSafe(F.col("component")) & (F.row_number().over(order) == 1))
+    rows = staged(rows.select(*(F.col(k).alias(f"x{k}") for k in keys), "_stays", "_c"), "near-decisions")
+    same = [F.col(k).eqNullSafe(F.col(f"x{k}")) for k in keys]
+    kept = keyed.join(sized(rows.where("not _stays").drop("_stays", "_c")), same, "left_anti")
+    again = rows.where("_stays and _c > 1").drop("_stays", "_c")
+    if not again.isEmpty():
+        again = sized(again)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(keys))
+    return kept.select(*docs.columns)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

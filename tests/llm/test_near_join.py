@@ -67,6 +67,30 @@ def test_representatives(spark):
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
 
 
+def test_representatives_by_row(spark):
+    t = "a b c d e f"
+    rows = [(1, t, 0), (1, t, 1), (None, t, 2), (2, t.upper(), 3), (None, "x y z u v w", 4), (None, "x y z u v w", 5), (None, "x  y z u v w", 6)]
+    rows += [(7, "p q r s t u", 7), (7, "l m n o p q", 8), (8, "", 9), (8, "", 10), (None, None, 11)]
+    out = near_join.representatives(spark.createDataFrame(rows, "doc_id long, text string, component int")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted([(1, t), (0, out[[r.doc_id is None and bool(r.text) for r in out].index(True)].text), (7, "p q r s t u"), (7, "l m n o p q"), (8, ""), (8, ""), (0, "")])
+    assert near_join.representatives(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_clusters_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "HOT", 4)
+    monkeypatch.setattr(near_join, "BLOCK", 8)
+    monkeypatch.setattr(near_join, "WIDTH", 16)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 4)))
+    common = [word() for _ in range(30)]
+    rows = []
+    for i in range(90):  # one passage with ends of their own: some links, many near misses
+        rows.append((i, " ".join([word() for _ in range(rng.randint(0, 5))] + common[: rng.randint(24, 30)] + [word() for _ in range(rng.randint(0, 6))])))
+    rows.append((200, " ".join(common) + " " + " ".join(word() for _ in range(200_000))))
+    rows.append((201, rows[-1][1] + " end"))
+    assert got(spark, rows) == brute(rows)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 300)]
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
