@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm import bytescan
-from loomery.llm.common import sized, staged, table
+from loomery.llm.common import table
 
 GRAM, MATCH, MISMATCH, GAP, THRESHOLD = 3, 2, -1, 1, 0.5
 BLOCK_ITEMS, BATCH = 20_000, 512
@@ -221,30 +221,55 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "last_word")).alias("m")).select("doc_id", "item_id", "m.score", "m.last_word")
 
 
-def _matches(docs: DataFrame, found: Seeds, threshold: float, schema: str) -> DataFrame:
+def _aligned(found: Seeds, threshold: float, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of texts, the alignments that reach the threshold: text, item, score, last word."""
     item_size = np.diff(found.items.at)
+    words, text = folded_words(data, at)
+    for doc, item, lo, hi, begin in passages(found, words, text, len(at) - 1):
+        a = _padded(found.items.words, found.items.at[item], item_size[item])
+        b = _padded(words, begin + lo, hi - lo)
+        best, end = align(a, item_size[item], b, hi - lo)
+        score = best / (MATCH * item_size[item])
+        good = np.flatnonzero(score >= threshold)
+        yield doc[good], item[good], score[good], lo[good] + end[good]
+
+
+def _matches(docs: DataFrame, found: Seeds, threshold: float, schema: str) -> DataFrame:
     item_type = pa.array(found.items.ids).type
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for rows, data, at in bytescan.slices(batches):
-                words, text = folded_words(data, at)
-                for doc, item, lo, hi, begin in passages(found, words, text, rows.num_rows):
-                    a = _padded(found.items.words, found.items.at[item], item_size[item])
-                    b = _padded(words, begin + lo, hi - lo)
-                    best, end = align(a, item_size[item], b, hi - lo)
-                    score = best / (MATCH * item_size[item])
-                    good = np.flatnonzero(score >= threshold)
-                    ids = pa.array([found.items.ids[i] for i in item[good]], item_type)
-                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc[good])), ids, pa.array(score[good]), pa.array(lo[good] + end[good])], ["doc_id", "item_id", "score", "last_word"])
+                for doc, item, score, last in _aligned(found, threshold, data, at):
+                    ids = pa.array([found.items.ids[i] for i in item], item_type)
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc)), ids, pa.array(score), pa.array(last)], ["doc_id", "item_id", "score", "last_word"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that hold a copy of an item, columns as they are. A document without an id stays."""
-    hit = staged(matches(docs, benchmark, **options).where("doc_id is not null").select("doc_id").distinct(), "leaks")
-    return docs.join(sized(hit), "doc_id", "left_anti").select(*docs.columns)
+def _leaky(found: Seeds, threshold: float):
+    """A column function: whether a text holds a copy of an item."""
+
+    @F.arrow_udf("boolean")
+    def leaky(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        with np.errstate(over="ignore"):
+            for text in texts:
+                out = [np.zeros(0, bool)]
+                for rows, data, at in bytescan.slices(iter([pa.record_batch([text], ["text"])])):
+                    out.append(np.zeros(rows.num_rows, bool))
+                    for doc, *_ in _aligned(found, threshold, data, at):
+                        out[-1][doc] = True
+                yield pa.array(np.concatenate(out))
+
+    return leaky
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK_ITEMS) -> DataFrame:
+    """docs without the rows that hold a copy of an item, columns as they are; rows are judged by their text alone, with or without an id."""
+    out = docs
+    for items in blocks(benchmark, block):
+        out = out.where(~_leaky(seeds(items, docs), threshold)("text"))
+    return out
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,17 +197,17 @@ def classify(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshol
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that the model rejects, columns as they are."""
+    """docs without the rows that the model rejects, columns as they are. Only texts go to Python, and a number for each comes back."""
     model = fit(docs, labels)
-    kept = [c for c in docs.columns]
-    schema = docs.schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         with np.errstate(over="ignore"):
-            for rows, data, at in bytescan.slices(batches):
-                yield rows.filter(pa.array(model.score(data, at) < threshold))
+            for text in texts:
+                parts = [model.score(data, at) for _, data, at in bytescan.slices(iter([pa.record_batch([text], ["text"])]))]
+                yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.where(scored("text") < threshold)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

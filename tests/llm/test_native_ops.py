@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def test_pii_matches_brute_force(spark, sf_dir):
 
 def test_pii_edges(edge):
     rows = pii.find(edge).collect()
-    assert len(rows) == 7  # the repeated row is one document
+    assert len(rows) == len(EDGE)
     check_pii(rows, {r[0]: r[1] for r in EDGE})
     assert pii.find(edge.limit(0)).count() == 0
 
@@ -73,13 +74,68 @@ def test_pii_query_digest(spark, sf_dir):
         assert set(want.split(",")) <= set(r.spans.split(",")) or not want
 
 
-def test_pii_bootstrap_finds_unseen(spark):
-    docs = [(i, f"mail me at: contact user{i}@host.example.org thanks") for i in range(20)] + [(99, "mail me at: contact user99@localhost thanks"), (100, "room at 7 user5000 x")]
-    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string"), trust=0.5).collect()}
-    assert [s.s for s in rows[99].spans] == ["user99@localhost"] or rows[99].spans == []
-    extra = [(i, f"id: {i % 10}{i}-55-{1000 + i}@a.b.org") for i in range(30)] + [(99, "id: 77-55-9999@zz")]
-    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(extra, "doc_id long, text string"), trust=0.3).collect()}
-    assert got[1].base and not got[99].base
+def planted():
+    """Documents with identifiers that no base pattern and no seed is, in contexts that seeds teach; and others like them that are not personal."""
+    docs, want, hexed = [], set(), hashlib.sha256
+    for i in range(30):
+        docs.append((i, f"log {i % 7} api_key: {hexed(str(i).encode()).hexdigest()[:40]} done on day {i}"))
+        docs.append((100 + i, f"please write to contact user{i}@host{i}.example.org soon, order {1234567890123456 + i} paid"))
+    for i in range(20):
+        key = f"Zq{i}-{hexed(str(i).encode()).hexdigest()[:9]}"
+        docs.append((200 + i, f"in log {i} api_key: {key}, then room {i}b or part {key[::-1]} left"))
+        want.add((200 + i, key))
+        docs.append((300 + i, f"please write to contact user{i}@localhost now"))
+        want.add((300 + i, f"user{i}@localhost"))
+        docs.append((400 + i, f"order {2234567890123456 + i} paid on day {i} at gate {i}x"))
+    return docs, want
+
+
+def test_pii_finds_planted_identifiers(spark):
+    docs, want = planted()
+    rows = pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    texts = dict(docs)
+    check_pii(rows, texts)
+    more = {(r.doc_id, s.s) for r in rows for s in r.spans if s not in r.base}
+    assert all(texts[r.doc_id][s.start : s.end] == s.s for r in rows for s in r.spans)
+    keys = {(i, t.split()[3]) for i, t in docs if i < 100}  # the secrets that taught their context
+    assert more == want | keys  # recall and precision of what was planted are 1
+    assert {pii.KINDS[s.kind_no] for r in rows for s in r.spans if r.doc_id >= 300 and s not in r.base} == {"email"}
+
+
+def brute_trust(found, rounds=pii.ROUNDS):
+    edges = {}
+    for r in found:
+        for p in r.patterns:
+            k, b = edges.get((p, r.instance), (None, False))
+            edges[p, r.instance] = (max([x for x in (k, r.kind_no) if x is not None], default=None), b or r.barred)
+    seeds = Counter(p for (p, _), (k, _) in edges.items() if k is not None)
+    edges = {e: x for e, x in edges.items() if seeds[e[0]] >= pii.SUPPORT}
+    score = {e: float(k is not None) for e, (k, _) in edges.items()}
+    for last in [False] * (rounds - 1) + [True]:
+        size, total = Counter(p for p, _ in edges), Counter()
+        for (p, _), s in score.items():
+            total[p] += s
+        trust = {p: total[p] / (n + pii.SHRINK) for p, n in size.items()}
+        if last:
+            return {p: t for p, t in trust.items() if t >= pii.TRUST}
+        left = {}
+        for p, i in edges:
+            left[i] = left.get(i, 1.0) * (1 - min(trust[p], 0.999))
+        score = {e: 1.0 if k is not None else 0.0 if b else 1 - left[e[1]] for e, (k, b) in edges.items()}
+
+
+def test_pii_trust_matches_brute_force(spark):
+    for docs in (spark.createDataFrame(planted()[0], "doc_id long, text string"), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
+        found = pii.instances(pii.scan(docs.select("doc_id", "text")))
+        got, want = {r.pattern: r.trust for r in pii.trusted(found).collect()}, brute_trust(found.collect())
+        assert want and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_pii_candidates_side_by_side(spark):
+    text = "AB12345 CD67890 key: x9 \u20acE5\u20ac, 0a"
+    rows = pii.instances(pii.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert [(r.start, r.instance) for r in sorted(rows)] == [(0, "AB12345"), (8, "CD67890"), (21, "x9"), (25, "E5"), (30, "0a")]
+    assert rows[0].patterns[0] == "1\t^\t\tplain" and rows[1].patterns[1] == "2\t^\tab0\t"
 
 
 def brute_license(text):
