@@ -14,8 +14,9 @@ suffix of the corpus into this exchange would cost 14 bytes for each byte of tex
    around the other anchors go into the exchange. The first document that holds a window is always among those.
 
 Hot anchors and hot windows are summed up within each batch of documents before anything is sent: of equal
-entries only the smallest document's, and of an anchor with many contexts in a batch only a mark that makes it shared
-everywhere. Matches never cross documents. Texts are joined twice with the marks found for them, by id.
+entries only the smallest document's, and of an anchor in many documents of a batch only a mark that makes it shared
+everywhere. Matches never cross documents. Texts with anchors to compare are joined with them, by id, and those that lose
+something with what they lose; what is returned of the others needs no join with a text.
 
 Defined results: null text has no bytes; texts under LENGTH bytes lose nothing; rows that repeat an id are not each
 other's smaller document; a row without an id loses nothing and covers nothing; an empty table gives an empty table.
@@ -33,28 +34,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.llm import bytescan
-from loomery.llm.common import sized, staged, table
+from loomery.llm.common import BROADCAST_ROWS, sized, staged, table
 
 LENGTH, GRAM = 50, 20
 BACK = LENGTH - GRAM
-#: Contexts of an anchor in one batch beyond which it counts as shared everywhere.
-HOT = 8
+#: Documents of one batch with an anchor, in contexts of their own, beyond which it counts as shared everywhere.
+HOT = 16
 #: Entries of one fingerprint range on average.
 RANGE = 1 << 17
 #: Text bytes of one scan; it holds a dozen 8-byte values for each.
 SLICE = 1 << 20
 U64 = np.uint64
 _PLACE = U64((1 << 30) - 1)
-ROWS = "range int, tokens binary, contexts binary, docs binary, owners binary, places binary, marks binary"
+ROWS = "range int, tokens binary, contexts binary, docs binary, owners binary, places binary, marks binary, checks binary"
 NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
+#: Values of a second fingerprint: 32 bits of it stand beside the 64 of the first, which at 10**14 windows would collide.
+SECOND = bytescan.seeded(256, 23)
+
+
 class Prints:
     """Fingerprints of any strings of the given bytes."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, values: np.ndarray = bytescan.VALUES):
         self.total = np.zeros(len(data) + 1, U64)
-        np.cumsum(bytescan.VALUES[data] * bytescan.powers(bytescan.BASE, len(data)), out=self.total[1:])
+        np.cumsum(values[data] * bytescan.powers(bytescan.BASE, len(data)), out=self.total[1:])
         self.back = bytescan.powers(bytescan.INVERSE, len(data) + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -118,28 +123,29 @@ def _owned(owner: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple[bytes,
     return np.column_stack([ids[some], keys[some]]).astype("<i8").tobytes(), number.astype("<u2").tobytes()
 
 
-def _sent(ranges: int, token: np.ndarray, context: np.ndarray | None, owner: np.ndarray, ids: np.ndarray, keys: np.ndarray, places: np.ndarray, mark: np.ndarray | None, settled: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _sent(ranges: int, token: np.ndarray, context: np.ndarray | None, owner: np.ndarray, ids: np.ndarray, keys: np.ndarray, places: np.ndarray, mark: np.ndarray | None, check: np.ndarray | None, settled: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """Rows of the exchange, by range of token (in order), and those that carry what is settled here: number -> owner, places."""
     cut = np.append(np.searchsorted(token, (np.arange(ranges, dtype=object) * (1 << 64) // ranges).astype(U64)), len(token))
     part = lambda x, i, j: x[i:j].tobytes() if x is not None else None
-    rows = [(k, part(token, i, j), part(context, i, j), *_owned(owner[i:j], ids, keys), part(places, i, j), part(mark, i, j)) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
-    rows += [(k - int(ids[0]) % 256, None, None, *_owned(o, ids, keys), p.tobytes(), None) for k, (o, p) in settled.items() if len(o)]
+    rows = [(k, part(token, i, j), part(context, i, j), *_owned(owner[i:j], ids, keys), part(places, i, j), part(mark, i, j), part(check, i, j)) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+    spread = int(ids[0]) % ranges
+    rows += [(-1 - spread - k * ranges, None, None, *_owned(o, ids, keys), p.tobytes(), None, None) for k, (o, p) in settled.items() if len(o)]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(len(NAMES))], NAMES)
 
 
-#: Numbers of rows with what one batch settled: covered places, and places to compare.
-_COVERED, _COMPARE = -1, -1000
+#: What one batch settled goes past the ranges, in as many rows-by-number again: covered places, and places to compare.
+_COVERED, _COMPARE = 0, 1
 
 
 def _gathered(rows: pa.Table) -> dict[str, np.ndarray]:
     """All entries of a range as arrays."""
-    out: dict[str, list] = {n: [] for n in ("tokens", "contexts", "ids", "keys", "places", "marks")}
+    out: dict[str, list] = {n: [] for n in ("tokens", "contexts", "ids", "keys", "places", "marks", "checks")}
     for row in zip(*(rows[n] for n in NAMES[1:]), strict=True):
-        token, context, docs, owners, places, mark = (x.as_py() for x in row)
+        token, context, docs, owners, places, mark, check = (x.as_py() for x in row)
         who = np.frombuffer(docs, "<i8").reshape(-1, 2)[np.frombuffer(owners, "<u2")]
         out["ids"].append(who[:, 0])
         out["keys"].append(who[:, 1])
-        for name, data, kind in (("tokens", token, U64), ("contexts", context, U64), ("places", places, np.int32), ("marks", mark, np.uint8)):
+        for name, data, kind in (("tokens", token, U64), ("contexts", context, U64), ("places", places, np.int32), ("marks", mark, np.uint8), ("checks", check, np.uint32)):
             if data is not None:
                 out[name].append(np.frombuffer(data, kind))
     return {n: np.concatenate(x) if x else np.zeros(0, U64) for n, x in out.items()}
@@ -166,23 +172,25 @@ def _anchor_rows(ranges: int):
                 order = np.lexsort((ids, context, token))
                 covered = _smaller(order, _starts(order, token, context), ids)
                 over, order = order[covered], order[~covered]
-                # an anchor with many contexts here: its windows go on, and one mark tells the others
+                # an anchor with contexts in many documents here: its windows go on, and one mark tells the others
                 new = _starts(order, token)
                 first = np.flatnonzero(new)
                 size = np.diff(np.append(first, len(order)))
-                hot = np.repeat(size > HOT, size)
+                pairs = order[np.lexsort((ids[order], token[order]))]
+                owners = np.add.reduceat(_starts(pairs, token, ids).astype(np.int64), first) if len(first) else size
+                hot = np.repeat(owners > HOT, size)
                 keep, wide = order[~hot | new], order[hot]
                 settled = {_COVERED: (text[over], places[over]), _COMPARE: (text[wide], places[wide])}
-                yield _sent(ranges, token[keep], context[keep], text[keep], own_ids, own_keys, places[keep], (hot & new)[~hot | new].astype(np.uint8), settled)
+                yield _sent(ranges, token[keep], context[keep], text[keep], own_ids, own_keys, places[keep], (hot & new)[~hot | new].astype(np.uint8), None, settled)
 
     return run
 
 
-def _anchor_marks(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+def _anchor_marks(ranges: int, key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """A range of anchors -> marks: covered ones, and those whose windows must be compared."""
     x = _gathered(rows)
     if key[0].as_py() < 0:
-        return _marks(x["ids"], x["keys"], x["places"], np.full(len(x["ids"]), key[0].as_py() > _COMPARE))
+        return _marks(x["ids"], x["keys"], x["places"], np.full(len(x["ids"]), key[0].as_py() >= -ranges))
     order = np.lexsort((x["ids"], x["contexts"], x["tokens"]))
     covered = _smaller(order, _starts(order, x["tokens"], x["contexts"]), x["ids"]) & (x["marks"][order] == 0)
     over, left = order[covered], order[~covered]
@@ -229,13 +237,13 @@ def _window_rows(ranges: int):
                 if not len(place):
                     continue
                 text = np.searchsorted(at, place, side="right") - 1
-                token = Prints(data).of(place, place + LENGTH)
+                token, check = Prints(data).of(place, place + LENGTH), Prints(data, SECOND).of(place, place + LENGTH).astype(np.uint32)
                 own_ids, own_keys = rows.column(0).to_numpy(), rows.column(1).to_numpy()
                 ids, places = own_ids[text], (place - at[text]).astype(np.int32)
-                order = np.lexsort((ids, token))
-                covered = _smaller(order, _starts(order, token), ids)
+                order = np.lexsort((ids, check, token))
+                covered = _smaller(order, _starts(order, token, check), ids)
                 over, keep = order[covered], order[~covered]
-                yield _sent(ranges, token[keep], None, text[keep], own_ids, own_keys, places[keep], None, {_COVERED: (text[over], places[over])})
+                yield _sent(ranges, token[keep], None, text[keep], own_ids, own_keys, places[keep], None, check[keep], {_COVERED: (text[over], places[over])})
 
     return run
 
@@ -245,20 +253,18 @@ def _window_marks(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     x = _gathered(rows)
     if key[0].as_py() < 0:
         return _marks(x["ids"], x["keys"], x["places"], np.ones(len(x["ids"]), bool))
-    order = np.lexsort((x["ids"], x["tokens"]))
-    over = order[_smaller(order, _starts(order, x["tokens"]), x["ids"])]
+    order = np.lexsort((x["ids"], x["checks"], x["tokens"]))
+    over = order[_smaller(order, _starts(order, x["tokens"], x["checks"]), x["ids"])]
     return _marks(x["ids"][over], x["keys"][over], x["places"][over], np.ones(len(over), bool))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_bytes, whole, text, covered, windows) -> what is left of each text."""
+    """(doc_id, n_bytes, text, covered, windows) -> what is left of each text."""
     for rows, data, at in bytescan.slices(batches, most=SLICE):
         n = rows.num_rows
-        a, a_of = _list(rows.column(4), n)
-        w, w_of = _list(rows.column(5), n)
+        a, a_of = _list(rows.column(3), n)
+        w, w_of = _list(rows.column(4), n)
         gone = _ranges(a, a_of, -BACK, LENGTH, at, 1) | _ranges(w, w_of, 0, LENGTH, at, 1)
-        whole = np.repeat(rows.column(2).to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
-        gone |= whole
         owner = np.repeat(np.arange(n), np.diff(at))
         begins = bytescan.runs(~gone, at)[2]
         kept = [hashlib.sha256(data[i:j][~gone[i:j]].tobytes()).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)]
@@ -271,33 +277,50 @@ def _lists(marks: DataFrame, **kinds) -> DataFrame:
     return marks.groupBy("doc_id", "key").agg(*(F.collect_list(F.when(c, F.col("place"))).alias(n) for n, c in kinds.items()))
 
 
+KEY = ["doc_id", "key"]
+
+
+def _of(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs joined with what marked holds for them. Where the marked keys may be broadcast, other texts are dropped before they are shuffled."""
+    if marked.count() <= BROADCAST_ROWS:
+        docs = docs.join(F.broadcast(marked.select(*KEY)), KEY, "left_semi")
+    return docs.join(marked, KEY)
+
+
 def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs (doc_id, text) -> keyed rows, marks by (doc_id, key), and copies (doc_id, key) of smaller documents."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.withColumn("key", F.xxhash64("text"))
-    slim = keyed.where((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull())
-    slim = staged(slim.select("doc_id", "key", F.xxhash64("text", F.lit(1)).alias("key2"), F.octet_length("text").alias("n")), "repeat-texts")
+    """docs (doc_id, text) -> facts of every row (doc_id, key, n, sha), copies (doc_id, key) of smaller documents, and the others'
+    marks by (doc_id, key): places of covered anchors and of covered windows."""
+    info = docs.select("doc_id", "key", F.xxhash64("text", F.lit(1)).alias("key2"), F.octet_length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    info = staged(info, "repeat-texts")
+    slim = info.where((F.col("n") >= LENGTH) & F.col("doc_id").isNotNull())
     first = slim.groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_most"))
-    copies = staged(slim.join(first.where("rep < _most").drop("_most"), ["key", "key2", "n"]).where("doc_id > rep").select("doc_id", "key").distinct(), "repeat-copies")
+    copies = staged(slim.join(first.where("rep < _most").drop("_most"), ["key", "key2", "n"]).where("doc_id > rep").select(*KEY).distinct(), "repeat-copies")
     total = slim.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-total // (RANGE * 16)))
-    long = keyed.where((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull()).join(sized(copies), ["doc_id", "key"], "left_anti").select("doc_id", "key", "text")
-    found = long.mapInArrow(_anchor_rows(ranges), ROWS).groupBy("range").applyInArrow(_anchor_marks, MARKS)
+    long = docs.where((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull()).join(sized(copies), KEY, "left_anti").select(*KEY, "text")
+
+    def settle(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        return _anchor_marks(ranges, key, rows)
+
+    found = long.mapInArrow(_anchor_rows(ranges), ROWS).groupBy("range").applyInArrow(settle, MARKS)
     by_doc = staged(_lists(found, covered=F.col("covered"), compare=~F.col("covered")), "repeat-anchors")
-    open_ = long.join(by_doc.where("size(compare) > 0"), ["doc_id", "key"]).select("doc_id", "key", "text", "covered", "compare")
+    open_ = _of(long, by_doc.where("size(compare) > 0")).select(*KEY, "text", "covered", "compare")
     windows = open_.mapInArrow(_window_rows(ranges), ROWS).groupBy("range").applyInArrow(_window_marks, MARKS)
     windows = staged(_lists(windows, windows=F.lit(True)), "repeat-windows")
-    both = by_doc.select("doc_id", "key", "covered").join(windows, ["doc_id", "key"], "full")
-    return keyed, both, copies
+    both = by_doc.where("size(covered) > 0").select(*KEY, "covered").join(windows, KEY, "full")
+    return info, copies, staged(both, "repeat-marks")
 
 
 def strip(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of docs."""
-    keyed, both, copies = marks(docs)
-    every = both.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("whole", F.lit(True)), allowMissingColumns=True)
-    joined = keyed.join(every, ["doc_id", "key"], "left")
-    joined = joined.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("whole", F.lit(False)).alias("whole"), "text", "covered", "windows")
-    return joined.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of docs. Only texts that lose something are joined with their marks."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    info, copies, marked = marks(docs)
+    cut = _of(docs, marked).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text", "covered", "windows")
+    cut = cut.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    gone, n = F.col("_gone").isNotNull(), F.col("n").cast("long")
+    rest = info.join(sized(marked.select(*KEY)), KEY, "left_anti").join(sized(copies).withColumn("_gone", F.lit(True)), KEY, "left")
+    rest = rest.select("doc_id", n.alias("n_bytes"), F.when(gone, n).otherwise(0).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, hashlib.sha256().hexdigest()).otherwise(F.col("sha")).alias("kept_sha256"))
+    return cut.unionByName(rest)
 
 
 def repeat_groups(docs: DataFrame) -> DataFrame:
