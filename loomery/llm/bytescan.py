@@ -10,8 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Text bytes that one scan holds at once; a single longer document is scanned whole.
-SLICE_BYTES = 2 << 20
+#: Text bytes that one scan holds at once, with some arrays of 8 bytes for each; a single longer document is scanned whole.
+SLICE_BYTES = 1 << 19
 
 
 def seeded(n: int, seed: int) -> np.ndarray:

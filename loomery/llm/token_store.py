@@ -28,12 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomery.llm import range_coder
+from loomery.llm import bytescan, range_coder
 from loomery.llm.common import shared_path, sized, staged, table
 
-TOKENIZER, END, BLOCK, PIECES = "byte_bpe_50k.json", 0, 1 << 19, 600_000
-#: Documents encoded at once.
-SLICE = 512
+TOKENIZER, END, BLOCK, PIECES = "byte_bpe_50k.json", 0, 1 << 20, 150_000
 SCHEMA = "part int, block int, n_docs long, n_ids long, docs binary, ids binary"
 #: Characters that a tokenizer might take for white space beyond those that Python does.
 _BLANK = frozenset("\u180e\u200b\ufeff")
@@ -185,7 +183,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, block: int = B
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "n_docs", "n_ids", "docs", "ids"])
 
-        for rows in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        for rows, *_ in bytescan.slices(batches):
             flat, per = encoder.encode([t or "" for t in rows.column(1).to_pylist()])
             doc_ids += rows.column(0).to_pylist()
             sizes.append(per)

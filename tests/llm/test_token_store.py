@@ -40,6 +40,16 @@ def test_coder_round_trip(n):
             range_coder.decode(block[:-9] + bytes([block[-9] ^ 1]) + block[-8:])
 
 
+def test_block_beats_its_order_0_entropy(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").limit(2500).collect()]
+    ids, _ = token_store.Encoder("byte_bpe_50k.json").encode(texts)
+    ids = ids[: token_store.BLOCK]
+    assert len(ids) == token_store.BLOCK
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert 8 * len(range_coder.encode(ids, 50257)) / len(ids) < entropy - 0.1
+
+
 def test_store_edges(spark):
     rows = [(5, "five  words", "x"), (None, "none", "y"), (2, None, "y"), (2, "b", None), (2, "b", "z"), (9, "w " * 50000, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
