@@ -33,6 +33,21 @@ def relation(a: Column, b: Column, margin: float) -> Column:
     )
 
 
+def union_of(box: str) -> dict[str, Column]:
+    """Corners of the union of a group's boxes."""
+    c = F.col(box)
+    return {"x1": F.min(c[0]), "y1": F.min(c[1]), "x2": F.max(c[2]), "y2": F.max(c[3])}
+
+
+def centre_x(box: str) -> Column:
+    return F.avg((F.col(box)[0] + F.col(box)[2]) / 2)
+
+
+def shared_attribute(value: str, confidence: str, least: float) -> Column:
+    """The value that all instances agree on, each with confidence enough; else null."""
+    return F.when((F.count_distinct(value) == 1) & (F.min(confidence) >= least), F.min(value))
+
+
 def suppress(d: DataFrame, image: str, box: str, score: str, limit: float = 0.5) -> DataFrame:
     """Greedy suppression by image, best score first: an array fold, as each choice depends on those before it."""
     one = F.struct((-F.col(score)).alias("s"), F.col(box).alias("b"))

@@ -45,10 +45,14 @@ def carry_forward(d: DataFrame, value, order: str, *keys: str):
 
 
 def donors(d: DataFrame, key: str, text: str, seed: int, lanes: int = 64) -> DataFrame:
-    """For each row a text of another row: the next in a hashed order inside its lane, so that no cross join is formed."""
+    """For each row a text of another row: the next in a hashed order inside its lane, so that no cross join is formed.
+
+    lanes bounds a task's rows: choose it by the size of d, about one for each 100,000 rows.
+    """
     from loomery.operators.sampling import seed_key
 
-    d = d.withColumn("_lane", F.pmod(F.xxhash64(key), F.lit(lanes))).withColumn("_h", seed_key(seed, F.col(key)))
+    lane = F.conv(F.substring(seed_key("lane", F.col(key)), 1, 8), 16, 10).cast("long") % lanes
+    d = d.withColumn("_lane", lane).withColumn("_h", seed_key(seed, F.col(key)))
     w = Window.partitionBy("_lane").orderBy("_h", key)
     first = F.first(text).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return d.withColumn("donor", F.coalesce(F.lead(text).over(w), first)).drop("_lane", "_h")

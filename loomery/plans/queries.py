@@ -319,11 +319,12 @@ def spatial_relation(spark, sf):
     return pairs.select("l_orderkey", "a", "b", r6(boxes.iou(F.col("x"), F.col("y"))).alias("iou"), boxes.relation(F.col("x"), F.col("y"), 6.0).alias("relation"))
 
 
-@query("SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS delta, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS sibling, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS leader FROM orders")
+@query("SELECT o_orderkey, round(o_totalprice - first_value(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 6) AS delta, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS sibling, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 AS leader FROM orders")
 def tree_rollup(spark, sf):
-    w, o = Window.partitionBy("o_custkey"), Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    """Sibling index, first-born flag and the difference from the own root."""
+    o = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     i = F.row_number().over(o).cast("long") - 1
-    return table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") - F.avg("o_totalprice").over(w), 6).alias("delta"), i.alias("sibling"), (i == 0).alias("leader"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") - F.first("o_totalprice").over(o), 6).alias("delta"), i.alias("sibling"), (i == 0).alias("leader"))
 
 
 @query("SELECT array_to_string((string_split(p_name, ' '))[1:4], ' ') AS reason, count(*) AS n FROM part GROUP BY 1")
@@ -337,13 +338,23 @@ def loss_by_kind(spark, sf):
     return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(F.round(F.sum("o_totalprice") / F.greatest(F.count("*"), F.lit(1)), 4).alias("loss"))
 
 
-@query()
+_LANE = "('0x' || substr(sha256('lane|' || doc_id), 1, 8))::BIGINT % 8"
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, {_LANE} AS lane, substr(sha256('8|' || doc_id), 1, 16) AS h FROM documents),
+n AS (SELECT doc_id, coalesce(lead(text) OVER w, first_value(text) OVER w) AS donor FROM l WINDOW w AS (PARTITION BY lane ORDER BY h, doc_id)) SELECT doc_id, md5(donor) AS donor FROM n""")
 def donor_rows(spark, sf):
-    return relations.donors(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", 8).select("doc_id", F.md5("donor").alias("donor"))
+    """J-16: for each row the text of another one, without a cross join."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return relations.donors(d, "doc_id", "text", 8, lanes=8).select("doc_id", F.md5("donor").alias("donor"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT l_orderkey, [l_quantity, l_linenumber*5.0::DOUBLE, l_quantity + 10, l_linenumber*5.0::DOUBLE + 8] AS box, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_quantity, l_linenumber) AS i FROM lineitem),
+r AS (SELECT l_orderkey, i, [box] AS kept, box, score, true AS stays FROM o WHERE i = 1 UNION ALL
+SELECT l_orderkey, i, CASE WHEN stays THEN list_append(kept, box) ELSE kept END, box, score, stays FROM (SELECT o.*, r.kept, len(list_filter(r.kept, lambda k: greatest(least(k[3], o.box[3]) - greatest(k[1], o.box[1]), 0) * greatest(least(k[4], o.box[4]) - greatest(k[2], o.box[2]), 0) / (160 - greatest(least(k[3], o.box[3]) - greatest(k[1], o.box[1]), 0) * greatest(least(k[4], o.box[4]) - greatest(k[2], o.box[2]), 0)) > 0.2)) = 0 AS stays FROM r JOIN o ON o.l_orderkey = r.l_orderkey AND o.i = r.i + 1))
+SELECT l_orderkey, box[1] AS x1, box[2] AS y1, score FROM r WHERE stays""")
 def suppressed_boxes(spark, sf):
+    """Greedy suppression by image, best score first."""
     q, n = F.col("l_quantity"), F.col("l_linenumber") * 5.0
     d = table(spark, sf, "lineitem").select("l_orderkey", F.array(q, n, q + 10, n + 8).alias("box"), F.col("l_extendedprice").alias("score"))
-    return boxes.suppress(d, "l_orderkey", "box", "score", 0.2)
+    return boxes.suppress(d, "l_orderkey", "box", "score", 0.2).select("l_orderkey", F.col("box")[0].alias("x1"), F.col("box")[1].alias("y1"), "score")

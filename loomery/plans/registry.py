@@ -1,5 +1,6 @@
 """Every query of the engine by name, and its SQL where SQL can express it."""
 
-from loomery.plans.reports import QUERIES, SQL
+from loomery.plans import benchmarks, curation, reports  # noqa: F401
+from loomery.plans.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

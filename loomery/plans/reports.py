@@ -10,16 +10,19 @@ from loomery.operators import turns
 from loomery.plans.queries import QUERIES, SQL, query, r6  # noqa: F401
 from loomery.session import table
 
+#: Added before rounding on both sides, so that means of two-decimal values never stand on a tie.
+TIE = 1e-9
+
 
 @query("""WITH c AS (SELECT user_id, event_type, event_id, value, avg(value) OVER (PARTITION BY user_id, event_type) cm, value - avg(value) OVER (PARTITION BY user_id, event_type) AS inner_adv FROM events),
 m AS (SELECT user_id, event_type, avg(value) cm FROM events GROUP BY 1, 2), p AS (SELECT user_id, event_type, cm - avg(cm) OVER (PARTITION BY user_id) AS outer_adv FROM m)
-SELECT event_id, round(inner_adv, 4) AS inner_adv, round(outer_adv, 4) AS outer_adv FROM c JOIN p USING (user_id, event_type)""")
+SELECT event_id, round(inner_adv + 1e-9, 6) AS inner_adv, round(outer_adv + 1e-9, 6) AS outer_adv FROM c JOIN p USING (user_id, event_type)""")
 def two_level_advantage(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value")
     means = e.groupBy("user_id", "event_type").agg(F.avg("value").alias("m"))
     outer = means.withColumn("outer_adv", F.col("m") - F.avg("m").over(Window.partitionBy("user_id")))
     d = e.join(outer, ["user_id", "event_type"])
-    return d.select("event_id", F.round(F.col("value") - F.col("m"), 4).alias("inner_adv"), F.round("outer_adv", 4).alias("outer_adv"))
+    return d.select("event_id", r6(F.col("value") - F.col("m") + TIE).alias("inner_adv"), r6(F.col("outer_adv") + TIE).alias("outer_adv"))
 
 
 @query("SELECT event_id, round(CASE WHEN event_type = 'error' THEN value - coalesce(avg(CASE WHEN event_type <> 'error' THEN value END) OVER (PARTITION BY user_id), 0) ELSE value END, 6) AS reward FROM events")
@@ -109,14 +112,14 @@ def requested_objects(spark, sf):
 
 
 @query("""WITH d AS (SELECT DISTINCT event_type FROM events), u AS (SELECT DISTINCT user_id FROM events), n AS (SELECT user_id, event_type, sum(value) num, count(*) den FROM events GROUP BY 1, 2)
-SELECT u.user_id, d.event_type, round(coalesce(num, 0)/greatest(coalesce(den, 0), 1), 4) AS ratio FROM u CROSS JOIN d LEFT JOIN n USING (user_id, event_type)""")
+SELECT u.user_id, d.event_type, round(coalesce(num, 0)/greatest(coalesce(den, 0), 1) + 1e-9, 6) AS ratio FROM u CROSS JOIN d LEFT JOIN n USING (user_id, event_type)""")
 def fixed_key_stats(spark, sf):
     e = table(spark, sf, "events")
     kinds = e.agg(F.array_sort(F.collect_set("event_type")).alias("kinds"))  # a handful of kinds
     keys = e.select("user_id").distinct().join(F.broadcast(kinds)).select("user_id", F.explode("kinds").alias("event_type"))
     n = e.groupBy("user_id", "event_type").agg(F.sum("value").alias("num"), F.count("*").alias("den"))
     ratio = F.coalesce("num", F.lit(0.0)) / F.greatest(F.coalesce("den", F.lit(0)), F.lit(1))
-    return keys.join(n, ["user_id", "event_type"], "left").select("user_id", "event_type", F.round(ratio, 4).alias("ratio"))
+    return keys.join(n, ["user_id", "event_type"], "left").select("user_id", "event_type", r6(ratio + TIE).alias("ratio"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace('A photo of ' || text, '(?i)^a photo of \\s*', ''), '\\s+', ' ', 'g')) AS caption FROM documents".replace("\\\\", "\\"))
