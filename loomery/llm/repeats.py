@@ -1,22 +1,25 @@
 """Exact substring de-duplication: bytes covered by a 50-byte string that also starts in a document of smaller id.
 
-The suffixes of all documents, cut to the first LENGTH bytes, are put in groups of equal prefix: the intervals of
-common prefix >= LENGTH of a suffix array whose order is that of 64-bit fingerprints of the prefixes, spread over
-tasks by fingerprint range. A run of equal fingerprints is scanned as an interval is, with all its occurrences; a group
-with more than one left neighbour byte is left-diverse and so begins a maximal repeat (`repeat_groups`). Putting each
-suffix of the corpus into this exchange would cost 14 bytes for each byte of text, so two exact filters come first:
+A suffix array of all suffixes would put several times the corpus into a global sort, so it is sampled: of the GRAM-byte
+strings in each LENGTH-byte window, the one of smallest hash is the window's anchor (about one byte in 16 is), and only
+suffixes that begin at anchors are sorted. Equal windows have equal anchors, so no repeat is missed:
 
 1. Equal texts: only the first of them takes part, the others are covered whole.
-2. Anchors: of the GRAM-byte strings in each LENGTH-byte window, the one of smallest hash is the window's anchor
-   (about one byte in 16 is). Equal windows have equal anchors. An anchor's context is all that any window around it
-   can hold. If an equal context stands in a smaller document, all windows around the anchor are covered without
-   more ado. If no other document has the anchor (in a context not covered), its windows cannot repeat. Only windows
-   around the other anchors go into the exchange. The first document that holds a window is always among those.
-
-Hot anchors and hot windows are summed up within each batch of documents before anything is sent: of equal
-entries only the smallest document's, and of an anchor in many documents of a batch only a mark that makes it shared
-everywhere. Matches never cross documents. Texts with anchors to compare are joined with them, by id, and those that lose
-something with what they lose; what is returned of the others needs no join with a text.
+2. Anchors meet by the range of their hash, with a fingerprint of their context, which is all that any window around
+   them can hold. If an equal context stands in a smaller document, all windows around the anchor are covered. If no
+   other document has the anchor (in a context not covered), its windows cannot repeat.
+3. The contexts of the other anchors (80 bytes) meet by the same ranges. There the suffixes at the anchors are sorted by bytes with
+   their longest common prefixes, an enhanced suffix array, and so are the texts before the anchors, read backwards. The
+   intervals of common prefix >= k, for each k from GRAM to LENGTH, form the interval tree, level by level; an interval's
+   occurrences whose LENGTH - k bytes to the left also agree share a LENGTH-byte string, all of them, not only neighbours. Where the
+   smallest document of such a group is smaller than an occurrence's own, the string is covered there. Bytes decide, no hash does.
+4. Hot anchors, of more than HOT documents of one batch or WIDE occurrences in all, would meet in one task. Their windows are dealt
+   out by 96 bits of fingerprint instead, of equal ones in a batch only the smallest document's.
+
+`repeat_groups` scans the same sampled suffix array with a stack: it gives maximal repeats (extending a group on either side would lose an
+occurrence) with all their occurrences, up to REACH bytes on each side of an anchor. Matches never cross documents. Texts with
+anchors to compare are joined with them, by id, and those that lose something with what they lose; what is returned of the
+others needs no join with a text.
 
 Defined results: null text has no bytes; texts under LENGTH bytes lose nothing; rows that repeat an id are not each
 other's smaller document; a row without an id loses nothing and covers nothing; an empty table gives an empty table.
@@ -40,6 +43,10 @@ LENGTH, GRAM = 50, 20
 BACK = LENGTH - GRAM
 #: Documents of one batch with an anchor, in contexts of their own, beyond which it counts as shared everywhere.
 HOT = 16
+#: Occurrences of an anchor beyond which its windows, not its contexts, are exchanged.
+WIDE = 1 << 15
+#: Bytes on each side of an anchor that repeat_groups sees.
+REACH = 1000
 #: Entries of one fingerprint range on average.
 RANGE = 1 << 17
 #: Text bytes of one scan; it holds a dozen 8-byte values for each.
@@ -123,18 +130,20 @@ def _owned(owner: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> tuple[bytes,
     return np.column_stack([ids[some], keys[some]]).astype("<i8").tobytes(), number.astype("<u2").tobytes()
 
 
-def _sent(ranges: int, token: np.ndarray, context: np.ndarray | None, owner: np.ndarray, ids: np.ndarray, keys: np.ndarray, places: np.ndarray, mark: np.ndarray | None, check: np.ndarray | None, settled: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Rows of the exchange, by range of token (in order), and those that carry what is settled here: number -> owner, places."""
+def _sent(ranges: int, token: np.ndarray, context: np.ndarray | None, owner: np.ndarray, ids: np.ndarray, keys: np.ndarray, places: np.ndarray, mark: np.ndarray | None, check: np.ndarray | None, settled: dict[int, tuple[np.ndarray, np.ndarray]], first: int = 0, routed: bool = True) -> pa.RecordBatch:
+    """Rows of the exchange, by range of token (in order) from number `first` on, with the token unless it only routes; and
+    those that carry what is settled here: kind -> owner, places."""
     cut = np.append(np.searchsorted(token, (np.arange(ranges, dtype=object) * (1 << 64) // ranges).astype(U64)), len(token))
     part = lambda x, i, j: x[i:j].tobytes() if x is not None else None
-    rows = [(k, part(token, i, j), part(context, i, j), *_owned(owner[i:j], ids, keys), part(places, i, j), part(mark, i, j), part(check, i, j)) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+    rows = [(first + k, part(token, i, j) if routed else None, part(context, i, j), *_owned(owner[i:j], ids, keys), part(places, i, j), part(mark, i, j), part(check, i, j)) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
     spread = int(ids[0]) % ranges
     rows += [(-1 - spread - k * ranges, None, None, *_owned(o, ids, keys), p.tobytes(), None, None) for k, (o, p) in settled.items() if len(o)]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(len(NAMES))], NAMES)
 
 
-#: What one batch settled goes past the ranges, in as many rows-by-number again: covered places, and places to compare.
-_COVERED, _COMPARE = 0, 1
+#: What a mark says of an anchor's windows: covered, to be compared by contexts, or by windows. What one batch settled
+#: goes past the ranges, in as many rows-by-number again for each kind.
+_COVERED, _COMPARE, _WIDE = 0, 1, 2
 
 
 def _gathered(rows: pa.Table) -> dict[str, np.ndarray]:
@@ -151,11 +160,12 @@ def _gathered(rows: pa.Table) -> dict[str, np.ndarray]:
     return {n: np.concatenate(x) if x else np.zeros(0, U64) for n, x in out.items()}
 
 
-def _marks(ids: np.ndarray, keys: np.ndarray, places: np.ndarray, covered: np.ndarray) -> pa.Table:
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "place": pa.array(places, pa.int32()), "covered": pa.array(covered, pa.bool_())})
+def _marks(ids: np.ndarray, keys: np.ndarray, places: np.ndarray, kind: np.ndarray | int) -> pa.Table:
+    kind = np.broadcast_to(np.asarray(kind, np.int32), len(ids))
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()), "place": pa.array(places, pa.int32()), "kind": pa.array(kind, pa.int32())})
 
 
-MARKS = "doc_id long, key long, place int, covered boolean"
+MARKS = "doc_id long, key long, place int, kind int"
 
 
 def _anchor_rows(ranges: int):
@@ -180,7 +190,7 @@ def _anchor_rows(ranges: int):
                 owners = np.add.reduceat(_starts(pairs, token, ids).astype(np.int64), first) if len(first) else size
                 hot = np.repeat(owners > HOT, size)
                 keep, wide = order[~hot | new], order[hot]
-                settled = {_COVERED: (text[over], places[over]), _COMPARE: (text[wide], places[wide])}
+                settled = {_COVERED: (text[over], places[over]), _WIDE: (text[wide], places[wide])}
                 yield _sent(ranges, token[keep], context[keep], text[keep], own_ids, own_keys, places[keep], (hot & new)[~hot | new].astype(np.uint8), None, settled)
 
     return run
@@ -190,18 +200,21 @@ def _anchor_marks(ranges: int, key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa
     """A range of anchors -> marks: covered ones, and those whose windows must be compared."""
     x = _gathered(rows)
     if key[0].as_py() < 0:
-        return _marks(x["ids"], x["keys"], x["places"], np.full(len(x["ids"]), key[0].as_py() >= -ranges))
+        return _marks(x["ids"], x["keys"], x["places"], (-1 - key[0].as_py()) // ranges)
     order = np.lexsort((x["ids"], x["contexts"], x["tokens"]))
     covered = _smaller(order, _starts(order, x["tokens"], x["contexts"]), x["ids"]) & (x["marks"][order] == 0)
     over, left = order[covered], order[~covered]
+    if not len(left):
+        return _marks(x["ids"][over], x["keys"][over], x["places"][over], _COVERED)
     left = left[np.lexsort((x["ids"][left], x["tokens"][left]))]
     new = _starts(left, x["tokens"])
     group = np.cumsum(new) - 1
-    owners = np.bincount(group, _starts(left, x["tokens"], x["ids"])) if len(left) else np.zeros(0)
-    hot = np.bincount(group, x["marks"][left]) if len(left) else np.zeros(0)
-    compare = left[((owners > 1) | (hot > 0))[group] & (x["marks"][left] == 0)] if len(left) else left
-    both = np.concatenate([over, compare])
-    return _marks(x["ids"][both], x["keys"][both], x["places"][both], np.arange(len(both)) < len(over))
+    owners, hot, size = np.bincount(group, _starts(left, x["tokens"], x["ids"])), np.bincount(group, x["marks"][left]), np.bincount(group)
+    wide = (hot > 0) | (size > WIDE)
+    open_ = ((owners > 1) | (hot > 0))[group] & (x["marks"][left] == 0)
+    both = np.concatenate([over, left[open_]])
+    kind = np.concatenate([np.full(len(over), _COVERED), np.where(wide[group[open_]], _WIDE, _COMPARE)])
+    return _marks(x["ids"][both], x["keys"][both], x["places"][both], kind)
 
 
 def _ranges(places: np.ndarray, owner: np.ndarray, lo: int, hi: int, at: np.ndarray, size: int) -> np.ndarray:
@@ -223,39 +236,101 @@ def _list(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(n), sizes)
 
 
-def _window_rows(ranges: int):
-    """(doc_id, key, text, covered, compare) -> the exchange of windows around anchors to compare."""
+def _contexts(data: np.ndarray, at: np.ndarray, place: np.ndarray, owner: np.ndarray, back: int, ahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes around each place of the data, from `back` before to `ahead` after, 0 beyond the text, and how many on each side are real."""
+    before, after = np.minimum(place - at[owner], back), np.minimum(at[owner + 1] - place, ahead)
+    span = np.arange(-back, ahead)
+    real = (span >= -before[:, None]) & (span < after[:, None])
+    return np.where(real, data[np.where(real, place[:, None] + span, 0)], np.uint8(0)), before, after
+
+
+def _open_rows(ranges: int):
+    """(doc_id, key, text, covered, compare, wide) -> the exchange of contexts (ranges from 0) and of windows (the next as many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for rows, data, at in bytescan.slices(batches, most=SLICE):
                 n = rows.num_rows
-                sure, sure_of = _list(rows.column(3), n)
-                open_, open_of = _list(rows.column(4), n)
-                want = _ranges(open_, open_of, -BACK, 1, at, LENGTH) & ~_ranges(sure, sure_of, -BACK, 1, at, LENGTH)
-                place = np.flatnonzero(want)
-                if not len(place):
-                    continue
-                text = np.searchsorted(at, place, side="right") - 1
-                token, check = Prints(data).of(place, place + LENGTH), Prints(data, SECOND).of(place, place + LENGTH).astype(np.uint32)
                 own_ids, own_keys = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-                ids, places = own_ids[text], (place - at[text]).astype(np.int32)
-                order = np.lexsort((ids, check, token))
-                covered = _smaller(order, _starts(order, token, check), ids)
-                over, keep = order[covered], order[~covered]
-                yield _sent(ranges, token[keep], None, text[keep], own_ids, own_keys, places[keep], None, check[keep], {_COVERED: (text[over], places[over])})
+                (sure, sure_of), (cold, cold_of), (wide, wide_of) = (_list(rows.column(k), n) for k in (3, 4, 5))
+                left_open = ~_ranges(sure, sure_of, -BACK, 1, at, LENGTH)
+                prints = Prints(data)
+                place = np.flatnonzero(_ranges(wide, wide_of, -BACK, 1, at, LENGTH) & left_open)
+                if len(place):
+                    text = np.searchsorted(at, place, side="right") - 1
+                    token, check = prints.of(place, place + LENGTH), Prints(data, SECOND).of(place, place + LENGTH).astype(np.uint32)
+                    ids, places = own_ids[text], (place - at[text]).astype(np.int32)
+                    order = np.lexsort((ids, check, token))
+                    covered = _smaller(order, _starts(order, token, check), ids)
+                    over, keep = order[covered], order[~covered]
+                    yield _sent(ranges, token[keep], None, text[keep], own_ids, own_keys, places[keep], None, check[keep], {_COVERED: (text[over], places[over])}, first=ranges)
+                # anchors with a window that is not covered yet
+                still = np.concatenate([[0], np.cumsum(_ranges(cold, cold_of, -BACK, 1, at, LENGTH) & left_open)])
+                place = at[cold_of] + cold
+                some = still[place + 1] > still[np.maximum(place - BACK, at[cold_of])]
+                place, owner, cold = place[some], cold_of[some], cold[some]
+                if len(place):
+                    token = prints.of(place, place + GRAM)
+                    order = np.argsort(token, kind="stable")
+                    context, before, after = _contexts(data, at, place[order], owner[order], BACK, LENGTH)
+                    yield _sent(ranges, token[order], context, owner[order], own_ids, own_keys, cold[order].astype(np.int32), np.column_stack([before, after]).astype(np.uint8), None, {}, routed=False)
 
     return run
 
 
-def _window_marks(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """A range of fingerprints, scanned by runs: windows that also start in a smaller document."""
-    x = _gathered(rows)
-    if key[0].as_py() < 0:
-        return _marks(x["ids"], x["keys"], x["places"], np.ones(len(x["ids"]), bool))
+def _array(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of strings (rows of bytes, 0 beyond their size) and the common prefix of each with the one before it.
+
+    A string that ends sorts before all that go on from it, so that an interval's common prefix is the least between its strings.
+    """
+    n, width = text.shape
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = text
+    words = wide.view(">u8").astype(U64)
+    order = np.lexsort((size, *words.T[::-1]))
+    text, size = text[order], size[order]
+    common = np.zeros(n, np.int64)
+    if n > 1:
+        other = text[1:] != text[:-1]
+        common[1:] = np.minimum(np.where(other.any(1), other.argmax(1), width), np.minimum(size[1:], size[:-1]))
+    return order, common
+
+
+def covered_windows(context: np.ndarray, before: np.ndarray, after: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of anchors -> occurrences, and bytes before the anchor, at which a LENGTH-byte string begins that a smaller document holds.
+
+    Of windows side by side only the outer two are given; they cover what all do.
+    """
+    n = len(ids)
+    right, left = _array(context[:, BACK:], after), _array(context[:, :BACK][:, ::-1], before)
+    hit = np.zeros((n, BACK + 3), bool)
+    group = [np.empty(n, np.int64), np.empty(n, np.int64)]
+    for level in range(GRAM, LENGTH + 1):
+        back = LENGTH - level
+        for g, (order, common), least in zip(group, (right, left), (level, back), strict=True):
+            g[order] = np.cumsum(common < least)
+        some = np.flatnonzero((after >= level) & (before >= back) & (np.bincount(group[0])[group[0]] > 1))
+        if len(some):
+            both = group[0][some] * (n + 1) + group[1][some]
+            order = np.lexsort((ids[some], both))
+            hit[some[order[_smaller(order, _starts(order, both), ids[some])]], back + 1] = True
+    inner = hit[:, 1:-1] & hit[:, :-2] & hit[:, 2:]
+    which, back = np.nonzero(hit[:, 1:-1] & ~inner)
+    return which, back
+
+
+def _open_marks(ranges: int, key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """A range of contexts or of windows -> windows that a smaller document holds."""
+    x, k = _gathered(rows), key[0].as_py()
+    if k < 0:
+        return _marks(x["ids"], x["keys"], x["places"], _COVERED)
+    if k < ranges:
+        context, size = x["contexts"].view(np.uint8).reshape(-1, BACK + LENGTH), x["marks"].reshape(-1, 2).astype(np.int64)
+        over, back = covered_windows(context, size[:, 0], size[:, 1], x["ids"])
+        return _marks(x["ids"][over], x["keys"][over], x["places"][over] - back.astype(np.int32), _COVERED)
     order = np.lexsort((x["ids"], x["checks"], x["tokens"]))
     over = order[_smaller(order, _starts(order, x["tokens"], x["checks"]), x["ids"])]
-    return _marks(x["ids"][over], x["keys"][over], x["places"][over], np.ones(len(over), bool))
+    return _marks(x["ids"][over], x["keys"][over], x["places"][over], _COVERED)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,9 +378,14 @@ def marks(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return _anchor_marks(ranges, key, rows)
 
     found = long.mapInArrow(_anchor_rows(ranges), ROWS).groupBy("range").applyInArrow(settle, MARKS)
-    by_doc = staged(_lists(found, covered=F.col("covered"), compare=~F.col("covered")), "repeat-anchors")
-    open_ = _of(long, by_doc.where("size(compare) > 0")).select(*KEY, "text", "covered", "compare")
-    windows = open_.mapInArrow(_window_rows(ranges), ROWS).groupBy("range").applyInArrow(_window_marks, MARKS)
+    kind = F.col("kind")
+    by_doc = staged(_lists(found, covered=kind == _COVERED, compare=kind == _COMPARE, wide=kind == _WIDE), "repeat-anchors")
+    open_ = _of(long, by_doc.where("size(compare) + size(wide) > 0")).select(*KEY, "text", "covered", "compare", "wide")
+
+    def compared(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        return _open_marks(ranges, key, rows)
+
+    windows = open_.mapInArrow(_open_rows(ranges), ROWS).groupBy("range").applyInArrow(compared, MARKS)
     windows = staged(_lists(windows, windows=F.lit(True)), "repeat-windows")
     both = by_doc.where("size(covered) > 0").select(*KEY, "covered").join(windows, KEY, "full")
     return info, copies, staged(both, "repeat-marks")
@@ -323,27 +403,65 @@ def strip(docs: DataFrame) -> DataFrame:
     return cut.unionByName(rest)
 
 
-def repeat_groups(docs: DataFrame) -> DataFrame:
-    """Groups of equal LENGTH-byte strings with all their occurrences: token, doc_id, place, left_diverse (a maximal repeat begins there).
-
-    Every window of docs takes part, so this form is for bounded sets of documents; `strip` is the one for a corpus.
+def intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """Stack scan of common prefixes -> every interval (first, last, common prefix) of two or more with at least `least` in common."""
+    stack: list[tuple[int, int]] = []  # (common prefix, first)
+    for i, h in enumerate([*common[1:].tolist(), 0], 1):
+        first = i - 1
+        while stack and stack[-1][0] > h:
+            height, first = stack.pop()
+            yield first, i - 1, height
+        if h >= least and (not stack or stack[-1][0] < h):
+            stack.append((h, first))
+
+
+def maximal_groups(context: np.ndarray, before: np.ndarray, after: np.ndarray, back: int, length: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Contexts of one anchor -> (occurrences, bytes before the anchor, bytes from it on) of its maximal repeats of at least `length` bytes."""
+    order, common = _array(context[:, back:], after)
+    for first, last, ahead in intervals(common, GRAM):
+        inside = order[first : last + 1]
+        left, shared = _array(context[inside, :back][:, ::-1], before[inside])
+        found = [(0, len(inside) - 1, int(shared[1:].min()))] if ahead >= length and shared[1:].min() == 0 else []
+        for a, z, size in [*found, *intervals(shared, max(1, length - ahead))]:
+            group = inside[left[a : z + 1]]
+            place = np.sort(np.flatnonzero(np.isin(order, group)))
+            # left-diverse by its interval; right-diverse unless a deeper interval holds all of it
+            if min(int(common[p + 1 : q + 1].min()) for p, q in zip(place[:-1], place[1:], strict=True)) == ahead:
+                yield group, size, ahead
+
+
+def repeat_groups(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """Maximal repeats of LENGTH bytes or more with all their occurrences: repeat (a digest of its bytes), length, doc_id, place.
+
+    Extending a group by a byte on either side would lose an occurrence, or passes `reach` bytes around the anchor. Every anchor of docs takes
+    part with its whole context, so this form is for bounded sets of documents; `strip` is the one for a corpus.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for rows, data, at in bytescan.slices(batches, most=SLICE):
-                owner = np.repeat(np.arange(rows.num_rows), np.diff(at))
-                place = np.arange(len(data))
-                place = place[place + LENGTH <= at[owner + 1]]
-                owner = owner[place]
-                token = Prints(data).of(place, place + LENGTH).view(np.int64)
-                left = np.where(place > at[owner], data[np.maximum(place - 1, 0)].astype(int), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(token), rows.column(0).take(pa.array(owner)), pa.array(place - at[owner]), pa.array(left)], ["token", "doc_id", "place", "left"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    every = docs.select("doc_id", "text").mapInArrow(windows, f"token long, doc_id {kind}, place long, left long")
-    groups = every.groupBy("token").agg(F.count("*").alias("_n"), F.min("left").alias("_a"), F.max("left").alias("_b")).where("_n > 1")
-    return every.join(groups, "token").select("token", "doc_id", "place", ((F.col("_a") < F.col("_b")) | (F.col("_a") < 0)).alias("left_diverse"))
+            for rows, data, at in bytescan.slices(batches, most=SLICE // 16):
+                place, text, token, _ = anchors(data, at)
+                context, before, after = _contexts(data, at, place, text, reach, reach)
+                out = [pa.array(token.view(np.int64)), rows.column(0).take(pa.array(text)), pa.array(place - at[text]), pa.array([c.tobytes() for c in context], pa.binary()), pa.array(before), pa.array(after)]
+                yield pa.RecordBatch.from_arrays(out, ["token", "doc_id", "place", "context", "before", "after"])
+
+    def grouped(rows: pa.Table) -> pa.Table:
+        context = np.frombuffer(b"".join(rows["context"].to_pylist()), np.uint8).reshape(-1, 2 * reach)
+        before, after, place = (rows[c].to_numpy() for c in ("before", "after", "place"))
+        repeat, length, which, where = [], [], [], []
+        for group, left, ahead in maximal_groups(context, before, after, reach, LENGTH):
+            text = context[group[0], reach - left : reach + ahead].tobytes()
+            repeat += [hashlib.sha256(text).hexdigest()] * len(group)
+            length += [left + ahead] * len(group)
+            which.append(group)
+            where.append(place[group] - left)
+        which, where = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (which, where))
+        return pa.table({"repeat": pa.array(repeat, pa.string()), "length": pa.array(length, pa.int64()), "doc_id": rows["doc_id"].combine_chunks().take(pa.array(which)), "place": pa.array(where, pa.int64())})
+
+    every = docs.select("doc_id", "text").mapInArrow(around, f"token long, doc_id {kind}, place long, context binary, before long, after long")
+    some = every.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
+    return every.join(some, "token", "left_semi").groupBy("token").applyInArrow(grouped, f"repeat string, length long, doc_id {kind}, place long").distinct()
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
