@@ -190,7 +190,10 @@ def decompose_reason(correction: Column, self_reflect: Column, source_correction
 
 def _stem(word: Column) -> Column:
     """Singular, then the first of ing, ed, ly, er, est that leaves more than three letters; numbers as they are."""
-    w = lexicon.singular(word)
+    return lexicon.let(lexicon.singular(word), _without_ending)
+
+
+def _without_ending(w: Column) -> Column:
     out = F.when(w.rlike("^[0-9]+$"), w)
     for end in ("ing", "ed", "ly", "er", "est"):
         out = out.when(F.endswith(w, F.lit(end)) & (F.length(w) > len(end) + 3), F.substring(w, F.lit(1), F.length(w) - len(end)))
@@ -209,7 +212,7 @@ def ground_words(text: Column) -> Column:
 def words_match(a: Column, b: Column) -> Column:
     """A shared stem, or one stem that begins the other where both have four letters."""
     near = lambda x, y: (F.length(x) >= 4) & (F.length(y) >= 4) & (F.startswith(x, y) | F.startswith(y, x))
-    return F.exists(a, lambda x: F.exists(b, lambda y: (x == y) | near(x, y)))
+    return lexicon.let(b, lambda other: F.exists(a, lambda x: F.exists(other, lambda y: (x == y) | near(x, y))))
 
 
 def ungrounded(item: Column, caption: Column) -> Column:

@@ -11,6 +11,7 @@ IRREGULAR = {
     "people": "person", "men": "man", "women": "woman", "children": "child", "mice": "mouse", "geese": "goose", "teeth": "tooth", "feet": "foot",
     "knives": "knife", "leaves": "leaf", "wolves": "wolf", "shelves": "shelf", "loaves": "loaf", "calves": "calf", "scarves": "scarf",
 }
+# Suffixes of plurals, in the order in which they are tried.
 SUFFIXES = {"ies": "y", "ches": "ch", "shes": "sh", "sses": "ss", "xes": "x", "zes": "z"}
 
 
@@ -29,9 +30,17 @@ def number_word(value: Column) -> Column:
     return F.coalesce(F.get(F.array(*map(F.lit, NUMBER_WORDS)), value), value.cast("string"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: a long rule names it many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def singular(word: Column) -> Column:
     """Irregular words, then suffix rules in order, then a plain s; last, compounds of irregular words."""
-    w = F.regexp_replace(F.lower(word), r"^['\"]+|['\"]+$", "")
+    return let(F.regexp_replace(F.lower(word), r"^['\"]+|['\"]+$", ""), _singular)
+
+
+def _singular(w: Column) -> Column:
     table = F.create_map(*(F.lit(x) for pair in IRREGULAR.items() for x in pair))
     n = F.length(w)
     rule = F.when(F.element_at(table, w).isNotNull(), F.element_at(table, w))
