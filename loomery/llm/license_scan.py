@@ -149,3 +149,29 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, **options) -> Da
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The same by lists and a recursive chain over the hits of each span."""
+    rows, lines = [], [(p, x, "true") for p, x in PHRASES.items()] + [(p, x, "false") for p, x in TEMPLATES.items()]
+    for t, (line, label, base) in enumerate(lines):
+        w = line.split(" ")
+        rows += [f"('{w[i]}', '{w[i + 1]}', {t}, {i}, {len(w)}, '{label}', {base})" for i in range(len(w) - 1)]
+    return rf"""
+WITH RECURSIVE known(t1, t2, tpl, place, length, label, base) AS (VALUES {", ".join(rows)}),
+w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT r, w, unnest(range(1, len(w))) AS i FROM w), h AS (SELECT r, i - 1 AS pos, tpl, place, length, label, base, i - 1 - place AS dg FROM (SELECT r, i, w[i] AS a, w[i + 1] AS b FROM i) JOIN known ON a = t1 AND b = t2),
+l AS (SELECT r, tpl, length, label, base, dg, count(*) AS votes, min(pos) AS lo, max(pos) + 2 AS hi FROM h GROUP BY ALL), x AS (SELECT r, label, lo FROM l WHERE base AND votes = length - 1),
+n AS (SELECT *, CASE WHEN dg - lag(dg) OVER o <= {SLACK} AND lo - lag(hi) OVER o <= length THEN 0 ELSE 1 END AS fresh FROM l WHERE NOT base WINDOW o AS (PARTITION BY r, tpl ORDER BY dg)), s AS (SELECT r, tpl, dg, sum(fresh) OVER (PARTITION BY r, tpl ORDER BY dg) AS span FROM n),
+c AS (SELECT h.*, s.span, row_number() OVER (PARTITION BY h.r, h.tpl, s.span ORDER BY pos, place DESC) AS k FROM h JOIN s USING (r, tpl, dg)), e AS (SELECT r, tpl, span FROM c GROUP BY ALL HAVING count(DISTINCT place) >= {LEAST} * (any_value(length) - 1)), d AS (SELECT c.* FROM c JOIN e USING (r, tpl, span)),
+z AS (SELECT r, tpl, span, length, label, k, list_transform(range(0, length), lambda q: CASE WHEN q = place THEN 1 ELSE 0 END) AS many, list_transform(range(0, length), lambda q: CASE WHEN q = place THEN dg ELSE 0 END) AS far, 1 AS best FROM d WHERE k = 1 UNION ALL
+SELECT r, tpl, span, length, label, k, list_transform(range(0, length), lambda q: CASE WHEN q = place THEN v ELSE many[q + 1] END), list_transform(range(0, length), lambda q: CASE WHEN q = place THEN dg ELSE far[q + 1] END), greatest(best, v)
+FROM (SELECT d.r, d.tpl, d.span, d.length, d.label, d.k, d.place, d.dg, z.many, z.far, z.best, 1 + coalesce(list_max(list_transform(range(1, d.place + 1), lambda q: CASE WHEN abs(z.far[q] - d.dg) <= {SLACK} THEN z.many[q] ELSE 0 END)), 0) AS v FROM z JOIN d ON d.r = z.r AND d.tpl = z.tpl AND d.span = z.span AND d.k = z.k + 1)),
+f AS (SELECT r, label, max(best) / (any_value(length) - 1) AS score FROM z GROUP BY r, tpl, span, label HAVING max(best) >= {LEAST} * (any_value(length) - 1)),
+a AS (SELECT r, label, 1.0::DOUBLE AS score, lo FROM x UNION ALL SELECT r, label, score, NULL FROM f)
+SELECT any_value(doc_id) AS doc_id, any_value(len(w))::BIGINT AS n_words, count(lo) AS n_base, min(lo)::BIGINT AS first_word, max(lo)::BIGINT AS last_word, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (lo IS NOT NULL))), ','), '') AS base_labels,
+coalesce(array_to_string(list_sort(list_distinct(list(label))), ','), '') AS labels, coalesce(max(score), 0.0::DOUBLE) AS score FROM w LEFT JOIN a USING (r) GROUP BY r
+"""
+
+
+SQL = _sql()

@@ -16,4 +16,4 @@ QUERIES = {
     "op7_source_mixing": source_mixing.op7_source_mixing,
     "op8_license_scan": license_scan.op8_license_scan,
 }
-SQL = {"op4_ngram_jaccard": near_join.SQL, "op7_source_mixing": source_mixing.SQL}
+SQL = {"op4_ngram_jaccard": near_join.SQL, "op7_source_mixing": source_mixing.SQL, "op8_license_scan": license_scan.SQL, "op10_repeats": repeats.SQL}

@@ -466,3 +466,23 @@ def repeat_groups(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip(table(spark, sf_dir, "documents"))
+
+
+#: Every window of a text as hexadecimal digits, cut in pieces of 2,000 first.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT r, doc_id, hex(b) AS x, octet_length(b) AS n FROM d),
+c AS (SELECT r, doc_id, unnest(range(0, greatest(n - 49, 0), 2000)) AS base, x, n FROM h),
+k AS (SELECT r, doc_id, base, substr(x, 2*base + 1, 4098) AS x, least(n - 49, base + 2000) - base AS m FROM c),
+w AS (SELECT r, doc_id, base, unnest(range(0, m)) AS o, x FROM k),
+s AS (SELECT r, doc_id, base + o AS p, substr(x, 2*o + 1, 100) AS s FROM w),
+f AS (SELECT s, min(doc_id) AS low FROM s WHERE doc_id IS NOT NULL GROUP BY s),
+g AS (SELECT s.r, s.p FROM s JOIN f USING (s) WHERE f.low < s.doc_id),
+i AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM g),
+j AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS span FROM i),
+v AS (SELECT r, span, min(p) AS a, max(p) + 50 AS z FROM j GROUP BY r, span),
+u AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last FROM v GROUP BY r),
+t AS (SELECT r, span, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS z FROM v),
+e AS (SELECT t.r, string_agg(substr(h.x, 2*t.a + 1, 2*(t.z - t.a)), '' ORDER BY t.a) AS x FROM t JOIN h USING (r) GROUP BY t.r)
+SELECT h.doc_id, h.n AS n_bytes, coalesce(u.n_removed, 0)::BIGINT AS n_removed, coalesce(u.n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN u.r IS NULL THEN h.x ELSE e.x || substr(h.x, 2*u.last + 1) END)) AS kept_sha256 FROM h LEFT JOIN u USING (r) LEFT JOIN e USING (r)
+"""
