@@ -3,29 +3,21 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.session import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of its own is set only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomery-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomery/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share, which only a local session may leave unset."""
+    return scratch(spark, name)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
