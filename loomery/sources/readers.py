@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import json
+import posixpath
 import re
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomery.operators.relations import latest
@@ -39,23 +43,24 @@ def shards(spark: SparkSession, paths: list[str]) -> list[str]:
     return sorted(out)
 
 
-def readable(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Only files whose last four bytes are Parquet's mark; a tail probe on the driver, no data is read."""
-    keep = []
-    for p in paths:
+def readable(spark: SparkSession, paths: list[str], threads: int = 32) -> list[str]:
+    """Only files whose last four bytes are Parquet's mark. Tails alone are read, many at a time."""
+
+    def whole(p: str) -> bool:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         n = fs.getFileStatus(path).getLen()
         if n < 8:
-            continue
+            return False
         stream = fs.open(path)
         try:
             stream.seek(n - 4)
-            if bytes(stream.readByte() & 0xFF for _ in range(4)) == b"PAR1":
-                keep.append(p)
+            return bytes(stream.readByte() & 0xFF for _ in range(4)) == b"PAR1"
         finally:
             stream.close()
-    return keep
+
+    with ThreadPoolExecutor(threads) as pool:
+        return [p for p, fine in zip(paths, pool.map(whole, paths), strict=True) if fine]
 
 
 def parquet(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
@@ -64,18 +69,71 @@ def parquet(spark: SparkSession, paths: list[str], columns: list[str] | None = N
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list or object, or JSON lines; told apart by the first sign that is no white space."""
+    """A JSON list or object, or JSON lines, told apart by how the file begins; what cannot be read as a list is read as lines."""
     head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
     first = head[0].value.strip() if head else ""
-    whole = first.startswith("[") or (first.startswith("{") and not first.endswith("}"))
-    return spark.read.option("multiLine", whole).json(path)
+    if first.startswith("[") or (first.startswith("{") and not first.endswith("}")):
+        try:
+            return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
+        except PySparkException:
+            pass
+    return spark.read.json(path)
+
+
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, line): files are split as Spark likes; seq orders the lines of a file."""
+    d = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return d.select("file", F.struct("block", F.monotonically_increasing_id().alias("id")).alias("seq"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their place from 1; a file is read whole, as splits keep no order."""
-    d = spark.read.text(path, wholetext=True)
-    lines = d.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
-    return lines.select("file", (F.col("at") + 1).alias("at"), "line")
+    """(file, at, line) with places from 1, for prompts and logs: one sort by file."""
+    at = F.row_number().over(Window.partitionBy("file").orderBy("seq"))
+    return ordered_lines(spark, path).select("file", at.alias("at"), "line")
+
+
+def manifest(text: str) -> list[dict]:
+    """Entries of a manifest: YAML with a list `datasets` of flat entries, or JSON of that shape."""
+    if text.lstrip().startswith("{"):
+        return json.loads(text)["datasets"]
+    entries: list[dict] = []
+    for line in text.splitlines():
+        m = re.match(r"^(\s*-\s+)?\s*(\w+):\s*(.*?)\s*$", line.split(" #")[0])
+        if not m or m[2] == "datasets":
+            continue
+        if m[1]:
+            entries.append({})
+        value = m[3].strip("'\"")
+        entries[-1][m[2]] = [v.strip().strip("'\"") for v in value[1:-1].split(",")] if value.startswith("[") else value
+    return entries
+
+
+def sampled_manifest(spark: SparkSession, path: str, order: str, seed: int = 0) -> DataFrame:
+    """The mixture that a manifest file names."""
+    return mixture(spark, manifest(spark.read.text(path, wholetext=True).first()[0]), order, seed)
+
+
+def prompt_sets(spark: SparkSession, path: str) -> DataFrame:
+    """set, idx (from 0, in order of files and lines), prompt, questions, skills of the prompt files that a manifest names, or of one file.
+
+    Rows without questions are left out before they are counted; skills of another number raise.
+    """
+    entries = [{"json_path": path}] if path.endswith(".jsonl") else manifest(spark.read.text(path, wholetext=True).first()[0])
+    named = []
+    for e in entries:
+        files_ = e["json_path"] if isinstance(e["json_path"], list) else [e["json_path"]]
+        named += [(f, e.get("logname") or posixpath.splitext(posixpath.basename(files_[0]))[0]) for f in files_]
+    out = None
+    schema = "prompt string, vqa_list array<array<string>>, skills array<string>"
+    for i, (file, name) in enumerate(named):
+        d = ordered_lines(spark, file).where(F.trim("line") != "").select(F.lit(name).alias("set"), F.lit(i).alias("_file"), F.struct("file", "seq").alias("_seq"), F.from_json("line", schema).alias("r"))
+        out = d if out is None else out.unionByName(d)
+    n = F.size("r.vqa_list")
+    out = out.where(n > 0)
+    skills = F.coalesce("r.skills", F.array_repeat(F.lit("unknown"), n))
+    wrong = F.raise_error(F.concat(F.lit("skills differ from questions: "), F.col("r.prompt"))).cast("array<string>")
+    idx = F.row_number().over(Window.partitionBy("set").orderBy("_file", "_seq")) - 1
+    return out.select("set", idx.alias("idx"), F.trim("r.prompt").alias("prompt"), F.col("r.vqa_list").alias("questions"), F.when(F.size(skills) == n, skills).otherwise(wrong).alias("skills"))
 
 
 def mixture(spark: SparkSession, entries: list[dict], order: str, seed: int = 0) -> DataFrame:
@@ -105,8 +163,8 @@ def prompts(spark: SparkSession, path: str, key: str = "prompt", strict: bool =
 
 def cache(spark: SparkSession, path: str, schema: str, key: str = "key") -> DataFrame:
     """JSON lines of a cache: torn lines are skipped, the last record of a key wins."""
-    d = numbered_lines(spark, path).withColumn("r", F.from_json("line", schema)).where(F.col(f"r.{key}").isNotNull() & F.col("line").rlike(r"\}\s*$"))
-    return latest(d.select("file", "at", "r.*").withColumn("_seq", F.struct("file", "at")), [key], "_seq").drop("_seq", "file", "at")
+    d = ordered_lines(spark, path).withColumn("r", F.from_json("line", schema)).where(F.col(f"r.{key}").isNotNull() & F.col("line").rlike(r"\}\s*$"))
+    return latest(d.select(F.struct("file", "seq").alias("_seq"), "r.*"), [key], "_seq").drop("_seq")
 
 
 def iteration_log(spark: SparkSession, path: str, metrics: list[str]) -> DataFrame:
@@ -144,3 +202,112 @@ def variants(columns: list[str], base: str = "conversations") -> list[str]:
     """base_<n> columns in order of n."""
     found = [(int(m[1]), c) for c in columns if (m := re.fullmatch(rf"{re.escape(base)}_(\d+)", c))]
     return [c for _, c in sorted(found)]
+
+
+def done_keys(spark: SparkSession, path: str, prefix: str = '{"key": "', end: str = '"end": 1}') -> DataFrame:
+    """Keys of whole lines by how they begin and end; nothing is parsed."""
+    line = F.col("value")
+    whole = spark.read.text(path).where(F.startswith(line, F.lit(prefix)) & F.endswith(line, F.lit(end)))
+    return whole.select(F.substring_index(F.substring(line, F.lit(len(prefix) + 1), F.length(line)), '"', 1).alias("key")).distinct()
+
+
+def at_least_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines; a path that is not there reads as no rows."""
+    return spark.read.schema(schema).json(path) if files(spark, path) else spark.createDataFrame([], schema)
+
+
+def named_texts(spark: SparkSession, pattern: str) -> DataFrame:
+    """(key, folder, text) of text files: the name up to its first dot, and the folder's name."""
+    name = F.col("_metadata.file_name")
+    d = spark.read.text(pattern, wholetext=True)
+    return d.select(F.substring_index(F.regexp_replace(name, "%20", " "), ".", 1).alias("key"), F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("folder"), F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("text"))
+
+
+def sample_folders(spark: SparkSession, root: str, done: DataFrame) -> DataFrame:
+    """Folders under root that hold both image.png and prompt.txt and are not done: folder."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    part = lambda name: d.where(F.endswith("path", F.lit("/" + name))).select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"))
+    return part("image.png").join(part("prompt.txt"), "folder").join(done.select("folder"), "folder", "left_anti")
+
+
+def keyed_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """(key, prompt) of a JSON object."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "prompt"))
+
+
+def metadata_of(text: Column) -> Column:
+    """The first JSON line of a file as a map; empty if there is none or it is broken."""
+    first = F.get(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), F.lit(0))
+    return F.coalesce(F.from_json(first, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def judgement_of(text: Column) -> Column:
+    """Questions, answers and predictions of a judgement file; null if it cannot be read, is empty, or the numbers differ."""
+    r = F.from_json(text, "questions array<string>, gts array<string>, preds array<string>")
+    return F.when((F.size(r["questions"]) > 0) & (F.size(r["preds"]) == F.size(r["gts"])), r)
+
+
+def result_paths(d: DataFrame, path: str, value: str) -> DataFrame:
+    """(prompt, image, value) from paths <root>/<prompt>/samples/<image>."""
+    part = lambda i: F.regexp_extract(path, r"([^/]+)/[^/]+/([^/]+)$", i)
+    return d.select(part(1).alias("prompt"), part(2).alias("image"), F.col(value))
+
+
+def slots_of(text: Column) -> Column:
+    """Slots of both iterations from a tree file; runs from before trees, without a file, have one each; none listed raises."""
+    t = F.from_json(text, "slots map<string,array<string>>, iter1_slots array<string>, iter2_slots array<string>")
+    listed = F.coalesce(t["slots"], F.create_map(F.lit("1"), t["iter1_slots"], F.lit("2"), t["iter2_slots"]))
+    missing = F.raise_error(F.lit("no slots listed for an iteration")).cast("map<string,array<string>>")
+    single = F.create_map(F.lit("1"), F.array(F.lit("d0")), F.lit("2"), F.array(F.lit("d0c0")))
+    return F.when(text.isNull(), single).otherwise(F.when((F.size(listed["1"]) > 0) & (F.size(listed["2"]) > 0), listed).otherwise(missing))
+
+
+def rejections(spark: SparkSession, path: str) -> DataFrame:
+    """(caption, counts, attempts) of a log of rejected replies, attempts in log order."""
+    d = ordered_lines(spark, path).select(F.struct("file", "seq").alias("at"), F.from_json("line", "caption string, attempt int, reply string, reason string").alias("r")).where("r.caption is not null")
+    caption = F.regexp_replace(F.substring_index("r.caption", "\n", 1), "^Caption: ", "")
+    rest = F.when(F.col("r.caption").contains("\n"), F.substr("r.caption", F.length(F.substring_index("r.caption", "\n", 1)) + 2)).otherwise("")
+    one = F.struct("at", F.col("r.attempt").alias("attempt"), F.col("r.reason").alias("reason"))
+    g = d.groupBy(caption.alias("caption")).agg(F.min_by(rest, "at").alias("counts"), F.array_sort(F.collect_list(one)).alias("m"))
+    return g.select("caption", "counts", F.transform("m", lambda x: F.struct(x["attempt"].alias("attempt"), x["reason"].alias("reason"))).alias("attempts"))
+
+
+def reflection_of(text: Column, sample: Column) -> Column:
+    """The reflection of one sample in a file of many; empty if it is not there."""
+    blocks = F.split(F.concat(F.lit("\n"), text), r"\n(?=Sample: )")
+    head = F.concat(F.lit("Sample: "), sample, F.lit("\nSelf-reflect:"))
+    found = F.get(F.filter(blocks, lambda b: F.startswith(b, head)), F.lit(0))
+    return F.coalesce(F.regexp_replace(F.substr(found, F.length(head) + 1), r"^\s+|\s+$", ""), F.lit(""))
+
+
+def image_codes(vocabulary: DataFrame, token: str, token_id: str) -> DataFrame:
+    """(token_id, code) of the tokens <I..>; none raises."""
+    found = vocabulary.where(F.col(token).rlike(r"^<I[0-9]+>$")).select(token_id, F.regexp_extract(token, "[0-9]+", 0).cast("int").alias("code"))
+    if found.isEmpty():
+        raise ValueError("the vocabulary holds no image tokens")
+    return found
+
+
+def only_match(names: list[str], pattern: str) -> str | None:
+    """The name that a pattern fits; none is null, several raise."""
+    found = [n for n in names if re.search(pattern, posixpath.basename(n))]
+    if len(found) > 1:
+        raise ValueError(f"several files fit {pattern}: {found}")
+    return found[0] if found else None
+
+
+def latest_checkpoint(spark: SparkSession, folder: str) -> str | None:
+    """The checkpoint of the largest step that holds state.json."""
+    steps = [(int(m[1]), p) for p in files(spark, folder) if (m := re.search(r"(\d+)$", p)) and any(f.endswith("/state.json") for f in files(spark, p))]
+    return max(steps)[1] if steps else None
+
+
+def striped(d: DataFrame, file: str, order: str, group: int, lane: int, lanes: int) -> DataFrame:
+    """Rows of every lanes-th group of `group` rows of each file, as a validation rank reads row groups."""
+    place = F.row_number().over(Window.partitionBy(file).orderBy(order)) - 1
+    return d.withColumn("_g", F.floor(place / group)).where(F.col("_g") % lanes == lane).drop("_g")
+
+
+def materialised(spark: SparkSession, paths: list[str], keys: list[str], choose) -> DataFrame:
+    """Whole rows of the keys that choose(key columns only) keeps: the wide columns are read for those alone."""
+    return parquet(spark, paths).join(choose(parquet(spark, paths, keys)).select(*keys), keys, "left_semi")

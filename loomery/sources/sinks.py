@@ -63,3 +63,48 @@ def text_table(headers: list[str], rows: list[tuple]) -> str:
     rule = "+" + "+".join("-" * (w + 2) for w in width) + "+"
     show = lambda r: "|" + "|".join(f" {v.ljust(w) if i == 0 else v.rjust(w)} " for i, (v, w) in enumerate(zip(r, width, strict=True))) + "|"
     return "\n".join([rule, show(cells[0]), rule.replace("-", "="), *map(show, cells[1:]), rule])
+
+
+def percent(part: float, whole: float) -> str:
+    return f"{part / whole:.2%}" if whole else "n/a"
+
+
+def score(value: float | None) -> str:
+    return "n/a" if value is None else f"{100 * value:.2f}"
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file under an exact name, through Hadoop's file system: written aside, then renamed."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    at, aside = jvm.Path(path), jvm.Path(path + ".tmp")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(aside, at):
+        raise OSError(f"cannot rename to {path}")
+
+
+def keep_newest(spark: SparkSession, paths: list[str], n: int) -> list[str]:
+    """Delete all but the n last paths in order; returns what stays."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    for p in paths[:-n] if n else paths:
+        at = jvm.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return paths[-n:] if n else []
+
+
+def mended(text: str) -> str:
+    """Lines to which more may be appended: a torn last line is ended."""
+    return text if not text or text.endswith("\n") else text + "\n"
+
+
+def progress(text: str | None) -> dict:
+    """A progress file's content; nothing if it is missing or half written."""
+    import json
+
+    try:
+        return json.loads(text) if text else {}
+    except json.JSONDecodeError:
+        return {}
