@@ -67,3 +67,55 @@ def first_reason(*rules: tuple) -> Callable:
         return F.coalesce(*(F.when(test(reply), F.lit(name)) for name, test in rules))
 
     return reason
+
+
+def dropped_if_bad(jobs: DataFrame, client: Callable[[], ModelClient], parse) -> DataFrame:
+    """(key, parsed): one try; replies that parse to null are dropped. parse: Column -> Column."""
+    return call(jobs, client).select("key", parse(F.col("reply")).alias("parsed")).where(F.col("parsed").isNotNull())
+
+
+def escalated(jobs: DataFrame, client: Callable[[], ModelClient], templates: list[str], reason, stage: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """jobs (key, question) -> (key, stage, reply, status): templates with {} are tried in turn until a reply stands; the last may ask less."""
+    open_, done = jobs.select("key", "question"), None
+    for n, template in enumerate(templates, 1):
+        prompts = open_.select("key", F.replace(F.lit(template), F.lit("{}"), F.col("question")).alias("prompt"))
+        got = stage(call(prompts, client).withColumn("reason", reason(F.col("reply"))), f"stage-{n}")
+        fine = F.col("reason").isNull()
+        now = got.where(fine | F.lit(n == len(templates))).select("key", F.lit(n).alias("stage"), "reply", F.when(fine, "ok").otherwise("failed").alias("status"))
+        done = now if done is None else done.unionByName(now)
+        open_ = open_.join(got.where(~fine).select("key"), "key", "left_semi")
+    return done
+
+
+def scored(d: DataFrame, key: str, items: str, scorer: Callable[[], Callable[[list], list[float]]]) -> DataFrame:
+    """(key, scores): a scorer, made once a task, over lists of items."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = scorer()
+        for p in parts:
+            yield pd.DataFrame({key: p[key], "scores": [score(list(x)) for x in p[items]]})
+
+    kind = d.schema[key].dataType.simpleString()
+    return d.select(key, items).mapInPandas(run, f"{key} {kind}, scores array<double>")
+
+
+#: Row transforms that a job can name.
+TRANSFORMS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def transform(name: str):
+    """Register a row transform under a name."""
+
+    def add(f):
+        if name in TRANSFORMS:
+            raise ValueError(f"{name} is registered already")
+        TRANSFORMS[name] = f
+        return f
+
+    return add
+
+
+def named(name: str) -> Callable[[DataFrame], DataFrame]:
+    if name not in TRANSFORMS:
+        raise ValueError(f"unknown transform {name}; there are {sorted(TRANSFORMS)}")
+    return TRANSFORMS[name]

@@ -52,13 +52,25 @@ def stratified(d: DataFrame, k: int, stratum: str, key: str, seed: int) -> DataF
     return d.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= k)
 
 
+def placed(d: DataFrame, key: str, order: Column, rows: int, *by: str) -> DataFrame:
+    """d with `place`, from 0, in the total order of a uniform hexadecimal key (then `key`), for each value of by.
+
+    No window runs over all rows: they are counted by the first digits of the order, about 100,000 rows for each value, the counts
+    are summed up (a few rows for each of them), and rows are numbered inside a value.
+    """
+    digits = max(1, math.ceil(math.log(max(rows, 1) / 100_000 + 1, 16)))
+    d = d.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, digits))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(*by, "_b").agg(F.count("*").alias("_n")).select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key)) - 1
+    return d.join(F.broadcast(counts), [*by, "_b"]).withColumn("place", F.col("_before") + inside).drop("_h", "_b", "_before")
+
+
 def epoch_plan(d: DataFrame, key: str, seed: int, epoch: int, world: int, batch: int) -> DataFrame:
     """Order of one epoch, dealt to ranks in strides and cut in whole batches: key, rank, step."""
-    # positions of one epoch need a total order; the rows hold only keys
     n = d.count()
     keep = n // (world * batch) * world * batch
-    order = Window.orderBy(seed_key(seed * 1_000_003 + epoch, F.col(key)), key)
-    place = d.select(key).withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < keep)
+    place = placed(d.select(key), key, seed_key(seed * 1_000_003 + epoch, F.col(key)), n).where(F.col("place") < keep)
     return place.select(key, (F.col("place") % world).alias("rank"), F.floor(F.col("place") / (world * batch)).alias("step"))
 
 
@@ -91,8 +103,7 @@ def weighted_order(d: DataFrame, source: str, key: str, weights: dict[str, float
 
 def length_batches(d: DataFrame, length: str, key: str, seed: int, mega: int, batch: int) -> DataFrame:
     """Length-grouped batches: random megabatches, longest first inside, separately by the sign of the length."""
-    side = F.signum(length)
-    place = F.row_number().over(Window.partitionBy(side).orderBy(seed_key(seed, F.col(key)), key)) - 1
-    d = d.withColumn("side", side).withColumn("mega", F.floor(place / mega))
+    d = placed(d.withColumn("side", F.signum(length)), key, seed_key(seed, F.col(key)), d.count(), "side")
+    d = d.withColumn("mega", F.floor(F.col("place") / mega)).drop("place")
     inside = F.row_number().over(Window.partitionBy("side", "mega").orderBy(F.abs(F.col(length)).desc(), key)) - 1
     return d.withColumn("batch", F.floor(inside / batch))

@@ -187,12 +187,12 @@ def role_mask_lengths(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.when(own, n)).alias("trained"), F.sum(F.when(~own, n)).alias("masked"))
 
 
-_MARKED = "'Self-reflect: ' || substr(text, 1, 30) || chr(10) || 'Correction: ' || CASE WHEN doc_id % 3 = 0 THEN 'Looks good' ELSE substr(text, 31, 20) END || chr(10) || '<image>'"
+_MARKED = "'Self-reflect: ' || text || chr(10) || 'Correction: ' || CASE WHEN doc_id % 3 = 0 THEN 'Looks good' ELSE source || lang END || chr(10) || '<image>'"
 
 
 @query(rf"SELECT doc_id, nullif(trim(regexp_extract({_MARKED}, '(?s)Correction\s*:\s*(.*?)(?:<image>|$)', 1), E' \n\t'), '') AS instruction, doc_id % 3 <> 0 AS needs FROM documents")
 def correction_markers(spark, sf):
-    text = F.concat(F.lit("Self-reflect: "), F.substring("text", 1, 30), F.lit("\nCorrection: "), F.when(F.col("doc_id") % 3 == 0, "Looks good").otherwise(F.substring("text", 31, 20)), F.lit("\n<image>"))
+    text = F.concat(F.lit("Self-reflect: "), "text", F.lit("\nCorrection: "), F.when(F.col("doc_id") % 3 == 0, "Looks good").otherwise(F.concat("source", "lang")), F.lit("\n<image>"))
     conv = turns.two_turns(F.lit("draw"), text)
     d = table(spark, sf, "documents").select("doc_id", conv.alias("conv"))
     return d.select("doc_id", F.btrim(turns.correction_of(F.col("conv")), F.lit(" \n\t")).alias("instruction"), turns.needs_correction(F.col("conv")).alias("needs"))
@@ -287,13 +287,14 @@ def json_extract(spark, sf):
 
 
 @query("""WITH d AS (SELECT doc_id, list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2), lambda w: substr(w, 1, 5))) s FROM documents),
-b AS (SELECT list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2), lambda w: substr(w, 1, 5))) s FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))
-SELECT doc_id, round(CASE WHEN len(b.s) = 0 THEN 1.0 ELSE len(list_intersect(b.s, d.s)) / len(b.s) END, 6) AS covered FROM d, b""")
+b AS (SELECT item_id, count(*) OVER () AS n, list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2), lambda w: substr(w, 1, 5))) s FROM benchmark)
+SELECT doc_id, item_id, round(CASE WHEN len(b.s) = 0 THEN 1.0 ELSE len(list_intersect(b.s, d.s)) / len(b.s) END, 6) AS covered FROM d JOIN b ON d.doc_id % b.n = b.item_id""")
 def stem_coverage(spark, sf):
-    bench = table(spark, sf, "benchmark")
-    first = bench.orderBy("item_id").limit(1).select(lexicon.prefix_stems(F.col("text")).alias("b"))
-    d = table(spark, sf, "documents").select("doc_id", lexicon.prefix_stems(F.col("text")).alias("s"))
-    return d.join(F.broadcast(first)).select("doc_id", r6(lexicon.coverage(F.col("b"), F.col("s"))).alias("covered"))
+    """Each document's coverage of the benchmark item of its turn."""
+    b = table(spark, sf, "benchmark").select("item_id", lexicon.prefix_stems(F.col("text")).alias("b"))
+    n = b.agg(F.count("*").alias("n"))  # one row
+    d = table(spark, sf, "documents").select("doc_id", lexicon.prefix_stems(F.col("text")).alias("s")).join(F.broadcast(n))
+    return d.withColumn("item_id", F.col("doc_id") % F.col("n")).join(b, "item_id").select("doc_id", "item_id", r6(lexicon.coverage(F.col("b"), F.col("s"))).alias("covered"))
 
 
 _WORDS = "['" + "','".join(lexicon.NUMBER_WORDS) + "']"
