@@ -29,7 +29,7 @@ from loomery.llm import bytescan
 from loomery.llm.common import table
 
 GRAM, MATCH, MISMATCH, GAP, THRESHOLD = 3, 2, -1, 1, 0.5
-BLOCK_ITEMS, BATCH = 20_000, 512
+BLOCK_ITEMS, CELLS = 20_000, 1 << 17
 U64 = np.uint64
 _APART = np.ones(256, bool)
 _APART[48:58] = _APART[65:91] = _APART[97:123] = _APART[128:] = False
@@ -199,8 +199,13 @@ def passages(found: Seeds, words: np.ndarray, text: np.ndarray, n_texts: int) ->
     lo = lo + at * step
     hi = np.minimum(lo + most, hi)
     order = np.lexsort((hi - lo, size[item]))
-    for cut in range(0, len(order), BATCH):
-        o = order[cut : cut + BATCH]
+    # pairs of like items and passages together, so many that their matrix has about CELLS cells; one pair alone may have more
+    width, cut = (hi - lo)[order], 0
+    while cut < len(order):
+        widest = np.maximum.accumulate(width[cut : cut + CELLS])
+        end = cut + max(1, int(np.searchsorted(widest * np.arange(1, len(widest) + 1), CELLS, side="right")))
+        o = order[cut:end]
+        cut = end
         yield doc[o], item[o], lo[o], hi[o], begin[doc[o]]
 
 

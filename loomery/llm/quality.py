@@ -98,9 +98,11 @@ class Model:
 
 
 def fit(known: DataFrame, pooled: float = POOLED, round_: float = ROUND) -> Model:
-    """known (f, y) -> the model; Spark adds up counts, sums and products."""
+    """known (f, y) -> the model; Spark adds up counts, sums and products, of values less their mean over both classes."""
     d = len(NAMES)
-    x = [F.col("f")[i] for i in range(d)]
+    centre = known.agg(F.array(*(F.avg(F.col("f")[i]) for i in range(d)))).first()[0]
+    centre = np.array([c or 0.0 for c in centre])
+    x = [F.col("f")[i] - float(centre[i]) for i in range(d)]
     up = [(i, j) for i in range(d) for j in range(i, d)]
     sums = known.groupBy("y").agg(F.count("*").alias("n"), F.array(*(F.sum(v) for v in x)).alias("s"), F.array(*(F.sum(x[i] * x[j]) for i, j in up)).alias("p")).collect()
     n, s, p = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
@@ -119,7 +121,7 @@ def fit(known: DataFrame, pooled: float = POOLED, round_: float = ROUND) -> Mode
         cov = (1 - round_) * cov + round_ * max(np.trace(cov) / d, 1e-9) * np.eye(d)
         lower = np.linalg.cholesky(cov)
         factors[c], logdet[c] = np.linalg.inv(lower), 2 * np.log(np.diag(lower)).sum()
-    return Model(means, factors, float(np.log(n[1] / n[0]) + (logdet[0] - logdet[1]) / 2))
+    return Model(means + centre, factors, float(np.log(n[1] / n[0]) + (logdet[0] - logdet[1]) / 2))
 
 
 def score(found: DataFrame, model: Model) -> DataFrame:

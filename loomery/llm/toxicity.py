@@ -77,8 +77,10 @@ class Model:
         if self.constant is not None:
             return np.full(n, self.constant)
         _, _, text, z = self.instance(data, at)
-        clean = np.bincount(text, np.logaddexp(0, z), n) + np.logaddexp(0, self.leak)
-        return -np.expm1(-clean)
+        return self.noisy_or(text, z, n)
+
+    def noisy_or(self, text: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
+        return -np.expm1(-np.bincount(text, np.logaddexp(0, z), n) - np.logaddexp(0, self.leak))
 
 
 def fit_bags(place: np.ndarray, word_bag: np.ndarray, bag_doc: np.ndarray, y: np.ndarray, odds: tuple[float, float], rounds: int = ROUNDS) -> Model:
@@ -161,19 +163,38 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
     return fit_bags(place, word_bag, np.repeat(np.arange(len(y)), many), y, (odds[0] / sum(odds), odds[1] / sum(odds)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every row of docs."""
+#: Own score from which a sentence is named as offending.
+NAMED = 0.5
+
+
+def score(docs: DataFrame, model: Model, named: float = NAMED) -> DataFrame:
+    """(doc_id, score, n_offending, offending) for every row of docs: offending lists start:end of the sentences whose own score
+    reaches `named`, in code points, end exclusive, comma-joined."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    least = float(np.log(named / (1 - named)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for rows, data, at in bytescan.slices(batches):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(model.score(data, at), pa.float64())], ["doc_id", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
-
-
-def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+                n = rows.num_rows
+                if model.constant is not None:
+                    found, many, listed = model.score(data, at), np.zeros(n, np.int64), [""] * n
+                else:
+                    starts, ends, text, z = model.instance(data, at)
+                    found = model.noisy_or(text, z, n)
+                    hit = np.flatnonzero(z >= least)
+                    point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    first = point[at[text[hit]]]
+                    places = [f"{a}:{b}" for a, b in zip((point[starts[hit]] - first).tolist(), (point[ends[hit]] - first).tolist(), strict=True)]
+                    many = np.bincount(text[hit], minlength=n)
+                    cut = np.concatenate([[0], np.cumsum(many)]).tolist()
+                    listed = [",".join(places[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.float64()), pa.array(many, pa.int64()), pa.array(listed, pa.string())], ["doc_id", "score", "n_offending", "offending"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, n_offending long, offending string")
+
+
+def offending(docs: DataFrame, model: Model, least: float = NAMED) -> DataFrame:
     """(doc_id, sentence, score) of the sentences whose own score reaches `least`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -192,13 +213,16 @@ def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, column: str = "toxic", threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    scored = score(docs, fit(docs, labels, column, sample))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = fit(docs, labels, column, sample)
+    bytescan.give_back()
+    scored = score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_offending", "offending")
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that the model rejects, columns as they are. Only texts go to Python, and a number for each comes back."""
     model = fit(docs, labels)
+    bytescan.give_back()
 
     @F.arrow_udf("double")
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
