@@ -34,4 +34,9 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomery-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/loomery/{name}-{uuid.uuid4().hex}"
+    folder = f"{found.rstrip('/')}/loomery-{spark.sparkContext.applicationId}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)  # what a session writes here goes with it
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
