@@ -150,6 +150,49 @@ def evidence_text(noun: Column, state: Column, lo: Column, hi: Column, target: C
     return text("- ", noun, ": ", seen, " (the caption asks for ", word(target), ")")
 
 
+COUNT_STEP = r"(?i)\bnumber of ([^,.;]+?)\b(?:from|to)\b"
+
+
+def names(text: Column, noun: Column) -> Column:
+    """Whether a text has the noun's head as a word."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\w'-]+"), F.lit(0))
+    return lexicon.let(head(noun), lambda last: F.exists(words, lambda w: lexicon.singular(w) == last))
+
+
+def count_reason(items: Column, steps: Column, noun: Column, target: Column, lo: Column, hi: Column, state: Column) -> Column:
+    """Why a reply's counts of one object disagree with the detector; the first rule that fails, or null.
+
+    change, replace: a step hides a number; total: a step implies one; said: an item says a count that was ruled out; add_unknown, not_end: the
+    steps, applied in order to every count that may be, do not end on the target; missing: a wrong count is not fixed; implies, states:
+    a count is touched or told although nothing speaks against it.
+    """
+    hidden = F.transform(steps, lambda s: F.when(F.startswith(s, F.lit("Change")) & s.rlike(COUNT_STEP), "change").when(replace_changes_count(s, noun), "replace"))
+    hidden = F.get(F.filter(hidden, lambda r: r.isNotNull()), F.lit(0))
+    said = F.filter(F.flatten(F.transform(items, lambda i: numbers_of(i, noun))), lambda v: v != target)
+    edits = F.filter(F.transform(steps, lambda s: count_edit(s, noun)), lambda e: e.isNotNull())
+    total = F.exists(steps, lambda s: s.rlike(TOTAL) & names(s, noun) & count_edit(s, noun).isNull())
+    replaced = F.exists(steps, lambda s: F.startswith(s, F.lit("Replace")) & F.array_contains(numbers_of(s, noun), target))
+    wrong = decisive(state, lo, hi, target)
+
+    def applied(found: Column) -> Column:
+        def one(counts: Column, e: Column) -> Column:
+            moved = F.transform(counts, lambda n: F.when(e["k"].isNull(), F.lit(0)).when(e["op"] == "add", n + e["k"]).otherwise(F.greatest(n - e["k"], F.lit(0))))
+            return F.array_distinct(F.when(e["k"].isNull() & e["relative"], F.transform(counts, lambda n: F.least(n, target))).otherwise(moved))
+
+        return F.aggregate(found, F.sequence(lo, F.greatest(lo, hi)), one)
+
+    def reason(found: Column, told: Column) -> Column:
+        first = F.get(found, F.lit(0))
+        whole = (F.size(found) == 1) & (first["op"] == "add") & (first["k"] == target) & (lo == 0)
+        unknown = F.exists(found, lambda e: e["k"].isNull() & (e["op"] == "add"))
+        ends = F.when(unknown, "add_unknown").when(~F.array_contains(applied(found), target) & ~F.coalesce(whole, F.lit(False)), "not_end")
+        open_ = F.when(F.exists(told, lambda v: ~consistent(state, lo, hi, v)), "said").when(F.size(found) > 0, ends).when(wrong & (target >= 2) & ~replaced, "missing")
+        touched = F.exists(found, lambda e: ~e["definite"] & ((e["op"] == "remove") | e["relative"] | ~F.coalesce(e["k"] == target, F.lit(False))))
+        return F.coalesce(hidden, F.when(total, "total"), F.when(wrong | narrow(state, lo, hi), open_).otherwise(F.when(touched, "implies").when(F.size(told) > 0, "states")))
+
+    return lexicon.let(edits, lambda found: lexicon.let(said, lambda told: reason(found, told)))
+
+
 def noun_phrase(caption: Column, noun: Column, extra: int = 3) -> Column:
     """The noun as the caption writes it, with up to `extra` words before it that end at no stop word; the noun itself if it is not there."""
 

@@ -48,19 +48,50 @@ def replaced_counts(spark, sf):
     return _texts(spark, sf).select("id", F.coalesce(f.replace_changes_count(F.col("t"), F.col("n")), F.lit(False)).alias("changes"))
 
 
-@query(f"""WITH {_B}, c AS (SELECT *, {_S_TOKENS('t')} AS w0 FROM b), d AS (SELECT id, t, n, w0[1] AS op, coalesce(list_min(list_filter(range(2, len(w0) + 1), lambda j: list_contains({_sql(f.PHRASE_END)}, w0[j]) OR NOT regexp_matches(w0[j], '^[a-z0-9]'))), len(w0) + 1) AS e, w0 FROM c),
-g AS (SELECT id, t, n, op, w0[2:e - 1] AS w, string_split(lower(n), ' ') AS parts FROM d), h AS (SELECT *, list_transform([parts[len(parts)]], lambda z: {_s_singular('z')})[1] AS hd, list_transform(w, lambda z: {_S_NUM('z')}) AS num, list_transform(w, lambda v: list_transform([{_S_WORD('v')}], lambda z: {_s_singular('z')})[1]) AS sg FROM g),
-k AS (SELECT *, list_min(list_filter(range(1, len(w) + 1), lambda j: sg[j] = hd AND (len(parts) = 1 OR j = 1 OR list_contains(parts, w[j - 1]) OR num[j - 1] IS NOT NULL OR list_contains({_sql(f.QUANTIFIERS)}, w[j - 1])))) AS pos FROM h),
+_EDIT_CHAIN = f"""c AS (SELECT *, {_S_TOKENS('t')} AS w0 FROM b), d AS (SELECT t, n, w0[1] AS op, coalesce(list_min(list_filter(range(2, len(w0) + 1), lambda j: list_contains({_sql(f.PHRASE_END)}, w0[j]) OR NOT regexp_matches(w0[j], '^[a-z0-9]'))), len(w0) + 1) AS e, w0 FROM c),
+g AS (SELECT t, n, op, w0[2:e - 1] AS w, string_split(lower(n), ' ') AS parts FROM d), h2 AS (SELECT *, list_transform([parts[len(parts)]], lambda z: {_s_singular('z')})[1] AS hd, list_transform(w, lambda z: {_S_NUM('z')}) AS num, list_transform(w, lambda v: list_transform([{_S_WORD('v')}], lambda z: {_s_singular('z')})[1]) AS sg FROM g),
+k AS (SELECT *, list_min(list_filter(range(1, len(w) + 1), lambda j: sg[j] = hd AND (len(parts) = 1 OR j = 1 OR list_contains(parts, w[j - 1]) OR num[j - 1] IS NOT NULL OR list_contains({_sql(f.QUANTIFIERS)}, w[j - 1])))) AS pos FROM h2),
 m AS (SELECT *, w[1:pos - 1] AS own, list_filter(num[1:pos - 1], lambda z: z IS NOT NULL)[1] AS nr, sg[pos] <> w[pos] AS plural FROM k WHERE pos IS NOT NULL AND op IN ('add', 'remove')),
-r AS (SELECT *, regexp_matches(array_to_string(own, ' '), {_q(f.RELATIVE)}) OR regexp_matches(t, {_q(f.TOTAL)}) AS rel, coalesce(own[1], '') AS first FROM m),
-s AS (SELECT id, op, CASE WHEN nr IS NOT NULL THEN 1 WHEN first IN ('a', 'an', 'another') OR list_has_any(own, {_sql(f.ORDINALS)}) THEN 2 WHEN first = 'the' AND op = 'remove' AND NOT rel THEN 3 WHEN rel THEN 4 END AS c, nr, rel, plural FROM r)
-SELECT b.id, CASE WHEN c > 0 THEN op END AS op, CASE c WHEN 1 THEN nr WHEN 2 THEN 1 WHEN 3 THEN CASE WHEN NOT plural THEN 1 END END AS k, CASE WHEN c IN (1, 2) THEN rel WHEN c = 3 THEN false WHEN c = 4 THEN true END AS relative, CASE WHEN c > 0 THEN c = 3 END AS definite FROM b LEFT JOIN s USING (id)""")
+q AS (SELECT *, regexp_matches(array_to_string(own, ' '), {_q(f.RELATIVE)}) OR regexp_matches(t, {_q(f.TOTAL)}) AS rel, coalesce(own[1], '') AS first FROM m),
+s AS (SELECT DISTINCT t, n, op, CASE WHEN nr IS NOT NULL THEN 1 WHEN first IN ('a', 'an', 'another') OR list_has_any(own, {_sql(f.ORDINALS)}) THEN 2 WHEN first = 'the' AND op = 'remove' AND NOT rel THEN 3 WHEN rel THEN 4 END AS c, nr, rel, plural FROM q)"""
+
+
+@query(f"""WITH {_B}, {_EDIT_CHAIN}
+SELECT b.id, CASE WHEN c > 0 THEN op END AS op, CASE c WHEN 1 THEN nr WHEN 2 THEN 1 WHEN 3 THEN CASE WHEN NOT plural THEN 1 END END AS k, CASE WHEN c IN (1, 2) THEN rel WHEN c = 3 THEN false WHEN c = 4 THEN true END AS relative, CASE WHEN c > 0 THEN c = 3 END AS definite FROM b LEFT JOIN s USING (t, n)""")
 def count_edits(spark, sf):
     """What Add and Remove steps do to a noun's count."""
     d = _texts(spark, sf).select("id", f.count_edit(F.col("t"), F.col("n")).alias("e"))
     return d.select("id", "e.op", "e.k", "e.relative", "e.definite")
 
 
+COUNT_TEXTS = [*TEXTS, "Change the number of cows from two to three", "Keep them at five cows in total", "Add two cows", "Remove one cow", "Replace the cow with two cows", "There are four cows"]
+COUNTED = ["cows", "cookies", "water bottles", "dog"]
+_NUM_LIST = "list_transform(list_filter(range(1, len(w) + 1), lambda k: num[k] IS NOT NULL AND num[k] <> 1 {free} AND " + _S_COUNTED + "), lambda k: num[k])"
+
+
+@query(f"""WITH b AS (SELECT * FROM (SELECT unnest({_sql(COUNT_TEXTS)}) AS t), (SELECT unnest({_sql(COUNTED)}) AS n)), {_S_WALK.replace('x AS', 'x0 AS', 1).replace('FROM x)', 'FROM x0)')},
+v AS (SELECT t, n, {_NUM_LIST.format(free=f"AND (k = 1 OR NOT list_contains({_sql(f.NOT_A_TOTAL)}, w[k - 1]))")} AS nums, {_NUM_LIST.format(free='')} AS every, list_contains(list_transform(regexp_extract_all(lower(t), '[\w''-]+'), lambda u: list_transform([{_S_WORD('u')}], lambda z: {_s_singular('z')})[1]), hd) AS named FROM y),
+{_EDIT_CHAIN}, z AS (SELECT v.t, v.n, v.nums, starts_with(v.t, 'Replace') AND len(every) >= 2 AND coalesce(every[1] <> every[len(every)], false) AS swaps, regexp_matches(v.t, {_q(f.TOTAL)}) AND named AS tot, s.op, CASE c WHEN 1 THEN nr WHEN 2 THEN 1 WHEN 3 THEN CASE WHEN NOT plural THEN 1 END END AS k, CASE WHEN c IN (1, 2) THEN rel WHEN c = 3 THEN false WHEN c = 4 THEN true END AS rel, c = 3 AS definite, c > 0 AS edit,
+starts_with(v.t, 'Change') AND regexp_matches(v.t, {_q(f.COUNT_STEP)}) AS hides FROM v LEFT JOIN s ON s.t = v.t AND s.n = v.n),
+r AS (SELECT p_partkey AS id, {_s_pick(COUNT_TEXTS, 'p_partkey')} AS i, {_s_pick(COUNT_TEXTS, 'p_partkey * 5 + 3')} AS a, {_s_pick(COUNT_TEXTS, 'p_partkey * 7 + 11')} AS b, {_s_pick(COUNTED, 'p_partkey // 22')} AS n, (1 + p_partkey % 4)::INT AS target, (p_size % 4)::INT AS lo, (p_size % 4 + p_partkey % 3)::INT AS hi,
+CASE WHEN p_partkey % 10 = 0 THEN 'unmeasured' WHEN p_partkey % 3 = 0 THEN 'exact' ELSE 'range' END AS state FROM part),
+j AS (SELECT r.*, list_filter(zi.nums, lambda q: q <> target) AS told, za.swaps AS as_, zb.swaps AS bs, za.hides AS ah, zb.hides AS bh, za.tot AND NOT coalesce(za.edit, false) OR zb.tot AND NOT coalesce(zb.edit, false) AS tot, list_filter([{{'op': za.op, 'k': za.k, 'rel': za.rel, 'def': za.definite, 'e': coalesce(za.edit, false)}}, {{'op': zb.op, 'k': zb.k, 'rel': zb.rel, 'def': zb.definite, 'e': coalesce(zb.edit, false)}}], lambda q: q.e) AS ed,
+starts_with(a, 'Replace') AND list_contains(za.nums, target) OR starts_with(b, 'Replace') AND list_contains(zb.nums, target) AS replaced, state <> 'unmeasured' AND (target < lo OR target > hi) AS wrong, state = 'range' AND hi - lo = 1 AS narrow FROM r JOIN z zi ON zi.t = i AND zi.n = r.n JOIN z za ON za.t = a AND za.n = r.n JOIN z zb ON zb.t = b AND zb.n = r.n),
+o AS (SELECT *, list_transform(range(lo, hi + 1), lambda q: CASE WHEN len(ed) < 1 THEN q WHEN ed[1].k IS NULL AND ed[1].rel THEN least(q, target) WHEN ed[1].k IS NULL THEN 0 WHEN ed[1].op = 'add' THEN q + ed[1].k ELSE greatest(q - ed[1].k, 0) END) AS c1 FROM j),
+u AS (SELECT *, list_transform(c1, lambda q: CASE WHEN len(ed) < 2 THEN q WHEN ed[2].k IS NULL AND ed[2].rel THEN least(q, target) WHEN ed[2].k IS NULL THEN 0 WHEN ed[2].op = 'add' THEN q + ed[2].k ELSE greatest(q - ed[2].k, 0) END) AS c2 FROM o)
+SELECT id, CASE WHEN ah THEN 'change' WHEN as_ THEN 'replace' WHEN bh THEN 'change' WHEN bs THEN 'replace' WHEN tot THEN 'total' WHEN wrong OR narrow THEN CASE WHEN len(list_filter(told, lambda q: NOT (state <> 'unmeasured' AND q BETWEEN lo AND hi))) > 0 THEN 'said' WHEN len(ed) > 0 THEN CASE WHEN len(list_filter(ed, lambda q: q.k IS NULL AND q.op = 'add')) > 0 THEN 'add_unknown'
+WHEN NOT list_contains(c2, target) AND NOT coalesce(len(ed) = 1 AND ed[1].op = 'add' AND ed[1].k = target AND lo = 0, false) THEN 'not_end' END WHEN wrong AND target >= 2 AND NOT replaced THEN 'missing' END WHEN len(list_filter(ed, lambda q: NOT q.def AND (q.op = 'remove' OR q.rel OR NOT coalesce(q.k = target, false)))) > 0 THEN 'implies' WHEN len(told) > 0 THEN 'states' END AS reason FROM u""")
+def count_reasons(spark, sf):
+    """why a reply's counts disagree with the detector, first rule first."""
+    i, size = F.col("p_partkey"), F.col("p_size")
+    lo = (size % 4).cast("int")
+    d = table(spark, sf, "part").select(
+        i.alias("id"), F.array(_pick(COUNT_TEXTS, i)).alias("items"), F.array(_pick(COUNT_TEXTS, i * 5 + 3), _pick(COUNT_TEXTS, i * 7 + 11)).alias("steps"), _pick(COUNTED, F.floor(i / 22)).alias("n"), (1 + i % 4).cast("int").alias("target"),
+        lo.alias("lo"), (lo + i % 3).cast("int").alias("hi"), F.when(i % 10 == 0, "unmeasured").when(i % 3 == 0, "exact").otherwise("range").alias("state"),
+    )
+    return d.select("id", f.count_reason(F.col("items"), F.col("steps"), F.col("n"), F.col("target"), F.col("lo"), F.col("hi"), F.col("state")).alias("reason"))
+
+
 @query(f"""WITH b AS (SELECT p_partkey AS id, {_s_pick(CAPTIONS, 'p_partkey')} AS t, {_s_pick(NOUNS, 'p_partkey // 12')} AS n FROM part), x AS (SELECT *, {_S_TOKENS('t')} AS w, string_split(lower(n), ' ') AS parts FROM b),
 h AS (SELECT *, list_transform([parts[len(parts)]], lambda z: {_s_singular('z')})[1] AS hd, list_transform(w, lambda v: list_transform([{_S_WORD('v')}], lambda z: {_s_singular('z')})[1]) AS sg FROM x), p AS (SELECT *, list_position(sg, hd) - len(parts) + 1 AS st, coalesce(list_position(sg, hd), 0) AS pl FROM h),
 s AS (SELECT *, coalesce(list_min(list_filter([1, 2, 3], lambda k: st - k < 1 OR NOT regexp_matches(w[st - k], '^[a-z]') OR list_contains({_sql(f.PHRASE_STOP + lexicon.NUMBER_WORDS)}, w[st - k]) OR w[st - k] LIKE '%ing')) - 1, 3) AS many FROM p)
