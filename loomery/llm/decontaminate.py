@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment decides.
 
-An item's seeds are the rarer half of its word 3-grams. How rare a 3-gram is follows from how often each of its words
+An item's seeds are the rarer three quarters of its word 3-grams. How rare a 3-gram is follows from how often each of its words
 occurs in all documents (counted in one scan, for the items' words only), so that an item leaked into many documents
 keeps its seeds. A second scan finds seeds in whole texts by hash; every hit names an item and a diagonal, hits on near
 diagonals make one passage, and the passage with some words on both sides is aligned with the item word by word (letters and digits, without case):
@@ -123,7 +123,7 @@ class Seeds:
 
 
 def seeds(items: Items, docs: DataFrame) -> Seeds:
-    """The rarer half of each item's 3-grams."""
+    """The rarer three quarters of each item's 3-grams."""
     vocabulary, count = word_counts(docs, items.words)
     rare = np.log(count[np.searchsorted(vocabulary, items.words)] + 0.5)
     gram, item, place = items.grams()
@@ -133,7 +133,7 @@ def seeds(items: Items, docs: DataFrame) -> Seeds:
     per = np.bincount(item, minlength=len(items.ids))
     rank = np.empty(len(gram), np.int64)
     rank[order] = np.arange(len(gram)) - np.repeat(np.cumsum(per) - per, per)
-    keep = rank < (per[item] + 1) // 2
+    keep = rank < (3 * per[item] + 3) // 4
     gram, item, place = gram[keep], item[keep], place[keep]
     order = np.lexsort((place, item, gram))
     known = Hashes(gram)
