@@ -3,6 +3,10 @@
 Toxic documents go, one document of each near-duplicate class stays, documents that hold a benchmark item go, sources
 are mixed to their target weights (documents repeat as often as they are drawn), and what is left is written as
 range-coded token blocks, of which the last stage returns one row for each document: its place and checksum.
+
+Defined results: stages take any columns beside doc_id, text and source and return them unchanged; rows are judged by their own text, so rows
+without an id are scored, de-duplicated (one of equal sets stays, unless a document with an id stands for it), decontaminated, mixed and
+stored (first) like others. Null and empty texts are clean, link with nothing, leak nothing, and are drawn at the rate of their source. Of rows that repeat an id and a text one stays. Empty tables give empty tables; without labels or benchmark items nothing is rejected for them.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ score of a document that has neutral sentences only. Gradient steps on the docum
 sentences that explain it, so that the model then also names the offending sentences.
 
 The model is fitted on a bounded sample of labelled rows: at most SAMPLE toxic documents and twice as many others, those of smallest
-id hash, weighted to the true odds. Everything else covers all rows: the model (1 MB) goes to every task, and whole
+id hash whose whole texts fit into SAMPLE_BYTES and twice that, weighted to the true odds. Everything else covers all rows: the model (1 MB) goes to every task, and whole
 texts are scored by vectorised byte scans without any shuffle.
 
 Defined results: null text counts as empty and has no sentences, so its score is the leak; with no
@@ -30,6 +30,8 @@ from loomery.llm.common import table
 from loomery.llm.labelled import held_out, teachers
 
 BITS, SAMPLE, ROUNDS, RATE, DECAY, LEAST_DOCS, APART, THRESHOLD = 18, 1200, 200, 0.5, 1e-3, 4, 5.5, 0.7
+#: Text bytes of the toxic teachers at most, and half of those of the others.
+SAMPLE_BYTES = 16 << 20
 #: Bytes of the stems by which words that share a beginning are known.
 STEMS = (4, 5)
 _NO_LETTER = np.ones(256, bool)
@@ -129,8 +131,17 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
         return Model(np.zeros(0, np.float32), 0.0, (odds[1] + 1) / (sum(odds) + 2))
     order = F.xxhash64("doc_id", F.lit(11))
     chosen = known.where("y = 0").orderBy(order, "doc_id").limit(2 * sample).unionByName(known.where("y = 1").orderBy(order, "doc_id").limit(sample))
-    # at most 3 * sample rows of two numbers
-    taught = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
+    # at most 3 * sample rows of a few numbers; of rows that repeat an id the text of smallest hash teaches
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sizes = rows.groupBy("doc_id", "y", order.alias("h")).agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).collect()
+    kept, held = [], [0, 0]
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        if held[r.y] + r.n <= SAMPLE_BYTES * (2 - r.y):
+            held[r.y] += r.n
+            kept.append((r.doc_id,))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    one = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, f"doc_id {kind}")), "doc_id", "left_semi")
+    taught = one.groupBy("doc_id", "y").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text")).select("y", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
