@@ -70,7 +70,7 @@ _NUM_LIST = "list_transform(list_filter(range(1, len(w) + 1), lambda k: num[k] I
 
 
 @query(f"""WITH b AS (SELECT * FROM (SELECT unnest({_sql(COUNT_TEXTS)}) AS t), (SELECT unnest({_sql(COUNTED)}) AS n)), {_S_WALK.replace('x AS', 'x0 AS', 1).replace('FROM x)', 'FROM x0)')},
-v AS (SELECT t, n, {_NUM_LIST.format(free=f"AND (k = 1 OR NOT list_contains({_sql(f.NOT_A_TOTAL)}, w[k - 1]))")} AS nums, {_NUM_LIST.format(free='')} AS every, list_contains(list_transform(regexp_extract_all(lower(t), '[\w''-]+'), lambda u: list_transform([{_S_WORD('u')}], lambda z: {_s_singular('z')})[1]), hd) AS named FROM y),
+v AS (SELECT t, n, {_NUM_LIST.format(free=f"AND (k = 1 OR NOT list_contains({_sql(f.NOT_A_TOTAL)}, w[k - 1]))")} AS nums, {_NUM_LIST.format(free='')} AS every, list_contains(list_transform(regexp_extract_all(lower(t), '[\\w''-]+'), lambda u: list_transform([{_S_WORD('u')}], lambda z: {_s_singular('z')})[1]), hd) AS named FROM y),
 {_EDIT_CHAIN}, z AS (SELECT v.t, v.n, v.nums, starts_with(v.t, 'Replace') AND len(every) >= 2 AND coalesce(every[1] <> every[len(every)], false) AS swaps, regexp_matches(v.t, {_q(f.TOTAL)}) AND named AS tot, s.op, CASE c WHEN 1 THEN nr WHEN 2 THEN 1 WHEN 3 THEN CASE WHEN NOT plural THEN 1 END END AS k, CASE WHEN c IN (1, 2) THEN rel WHEN c = 3 THEN false WHEN c = 4 THEN true END AS rel, c = 3 AS definite, c > 0 AS edit,
 starts_with(v.t, 'Change') AND regexp_matches(v.t, {_q(f.COUNT_STEP)}) AS hides FROM v LEFT JOIN s ON s.t = v.t AND s.n = v.n),
 r AS (SELECT p_partkey AS id, {_s_pick(COUNT_TEXTS, 'p_partkey')} AS i, {_s_pick(COUNT_TEXTS, 'p_partkey * 5 + 3')} AS a, {_s_pick(COUNT_TEXTS, 'p_partkey * 7 + 11')} AS b, {_s_pick(COUNTED, 'p_partkey // 22')} AS n, (1 + p_partkey % 4)::INT AS target, (p_size % 4)::INT AS lo, (p_size % 4 + p_partkey % 3)::INT AS hi,
