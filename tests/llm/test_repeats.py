@@ -59,6 +59,7 @@ def test_edges(spark):
     s = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMN"
     assert len(s) == 50
     rows = [(3, s), (3, s), (1, "x" + s + "y"), (5, None), (6, ""), (None, s), (7, s[:49]), (8, "a" * 300), (9, "a" * 120 + "b"), (9, "other " + "a" * 60), (10, s * 3), (11, s + "é" * 40), (12, "é" * 40), (13, "é" * 24)]
+    rows += [(20, "ab cde f " * 30_000), (21, "ab cde f " * 20_000 + "end"), (22, "".join(chr(97 + i * i % 26) + chr(97 + i * 7 % 25) + str(i) for i in range(30_000)))]
     check(spark, rows)
     check(spark, [])
 
