@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 TURNS = "array<struct<from:string,value:string>>"
 #: Names that mean the assistant and the human side.
 ASSISTANT, HUMAN = ("gpt", "assistant"), ("human", "user")
+#: Fixed value: words that an image counts for.
+IMAGE_WORDS = 128
 
 
 def strip(text: Column) -> Column:
@@ -85,7 +87,7 @@ def words(text: Column) -> Column:
     return F.when(x.isNull() | (x == ""), 0).otherwise(F.size(F.split(x, " ")))
 
 
-def length_of(conv: Column, has_image: Column, image_tokens: int = 128) -> Column:
+def length_of(conv: Column, has_image: Column, image_tokens: int = IMAGE_WORDS) -> Column:
     """Words of all turns plus a constant for an image; negative without an image, so that batches can part by sign."""
     n = F.aggregate(conv, F.lit(0), lambda a, t: a + words(t["value"]))
     return F.when(has_image, n + image_tokens).otherwise(-n)

@@ -167,12 +167,17 @@ def cache(spark: SparkSession, path: str, schema: str, key: str = "key") -> Data
     return latest(d.select(F.struct("file", "seq").alias("_seq"), "r.*"), [key], "_seq").drop("_seq")
 
 
+# How evaluation logs and summaries are written.
+ITERATION, ITERATION_NUMBER, OVERALL, NUMBER = r"^\s*ITER-\d+\s*:", r"ITER-(\d+)", "Tag Group: overall", r"-?\d+\.\d+"
+SECTION, SECTION_ROW = r"^====+\s*(.*?)\s*====+\s*$", r"^\s*(\S+)_iter(\d+)\s+([\d.]+)\s+([\d.]+)\s*$"
+
+
 def iteration_log(spark: SparkSession, path: str, metrics: list[str]) -> DataFrame:
     """(file, iteration, metric, value) from logs: "ITER-n:" sets the iteration, values stand two lines below the overall group."""
     w = Window.partitionBy("file").orderBy("at")
-    d = numbered_lines(spark, path).withColumn("iteration", F.last(F.when(F.regexp_like("line", F.lit(r"^\s*ITER-\d+\s*:")), F.regexp_extract("line", r"ITER-(\d+)", 1).cast("int")), True).over(w))
-    d = d.withColumn("values", F.regexp_extract_all(F.lead("line", 2).over(w), F.lit(r"-?\d+\.\d+"), F.lit(0)))
-    d = d.where(F.startswith("line", F.lit("Tag Group: overall")) & F.col("iteration").isNotNull())
+    d = numbered_lines(spark, path).withColumn("iteration", F.last(F.when(F.regexp_like("line", F.lit(ITERATION)), F.regexp_extract("line", ITERATION_NUMBER, 1).cast("int")), True).over(w))
+    d = d.withColumn("values", F.regexp_extract_all(F.lead("line", 2).over(w), F.lit(NUMBER), F.lit(0)))
+    d = d.where(F.startswith("line", F.lit(OVERALL)) & F.col("iteration").isNotNull())
     wrong = F.raise_error(F.concat(F.col("file"), F.lit(f": expected {len(metrics)} values")))
     fine = F.when(F.size("values") == len(metrics), F.col("values")).otherwise(wrong.cast("array<string>"))
     names = F.array(*map(F.lit, metrics))
@@ -183,12 +188,11 @@ def iteration_log(spark: SparkSession, path: str, metrics: list[str]) -> DataFra
 def sections(spark: SparkSession, path: str, known: dict[str, str]) -> DataFrame:
     """(file, iteration, section, short, long) from "==== title ====" sections; unknown ones are left out."""
     w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    title = F.regexp_extract("line", r"^====+\s*(.*?)\s*====+\s*$", 1)
+    title = F.regexp_extract("line", SECTION, 1)
     d = numbered_lines(spark, path).withColumn("section", F.last(F.when(title != "", title), True).over(w))
     names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    row = r"^\s*(\S+)_iter(\d+)\s+([\d.]+)\s+([\d.]+)\s*$"
-    d = d.withColumn("section", F.element_at(names, F.col("section"))).where(F.col("section").isNotNull() & F.col("line").rlike(row))
-    take = lambda i, t: F.regexp_extract("line", row, i).cast(t)
+    d = d.withColumn("section", F.element_at(names, F.col("section"))).where(F.col("section").isNotNull() & F.col("line").rlike(SECTION_ROW))
+    take = lambda i, t: F.regexp_extract("line", SECTION_ROW, i).cast(t)
     return d.select("file", take(2, "int").alias("iteration"), "section", take(3, "double").alias("short"), take(4, "double").alias("long"))
 
 
