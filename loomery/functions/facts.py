@@ -208,6 +208,25 @@ def noun_phrase(caption: Column, noun: Column, extra: int = 3) -> Column:
     return let(tokens(caption), lambda words: let(head(noun), lambda last: let(F.split(F.lower(noun), r"\s+"), lambda parts: phrase(words, last, parts))))
 
 
+def caption_count(caption: Column, name: Column, plural: Column) -> Column:
+    """The number that a caption gives an object, null if none: a number word, digits, an article or a pair up to three words before the noun.
+
+    Vague quantities between the two are no number, and an article counts only its own singular noun.
+    """
+    numbers = "|".join([*lexicon.NUMBER_WORDS[1:13], "a", "an", "single", "pair of", r"\d+"])
+    pattern = F.concat(F.lit(rf"(?i)(?=\b({numbers})\b((?:\s+[\w-]+){{0,3}}?)\s+("), name, F.lit("|"), plural, F.lit(r")\b)"))
+    group = lambda i: F.regexp_extract_all(F.lower(caption), pattern, F.lit(i))
+
+    def value(m: Column) -> Column:
+        between, word = F.regexp_extract_all(m["between"], F.lit("[a-z]+"), F.lit(0)), m["word"]
+        article = word.isin("a", "an", "single") & (plural != name) & (m["noun"] == plural)
+        number = F.coalesce(lexicon.number_of(word), F.when(word == "pair of", 2).otherwise(1))
+        return F.when(F.arrays_overlap(between, F.array(*map(F.lit, VAGUE))), F.lit(None)).when(F.array_contains(between, F.lit("pair")), 2).when(~article, number)
+
+    found = F.transform(F.arrays_zip(group(1).alias("word"), group(2).alias("between"), group(3).alias("noun")), value)
+    return F.get(F.filter(found, lambda n: n.isNotNull()), F.lit(0))
+
+
 def pluralize(noun: Column) -> Column:
     n = F.length(noun)
     return F.when(noun.rlike("(s|x|ch|sh)$"), F.concat(noun, F.lit("es"))).when(noun.rlike("([^aeiou]|^)y$"), F.concat(F.substring(noun, F.lit(1), n - 1), F.lit("ies"))).otherwise(F.concat(noun, F.lit("s")))

@@ -249,3 +249,17 @@ def box_conflicts(spark, sf):
     low = F.col("score1") < F.col("score2")
     c = p.select("image", *(F.when(low, F.col(f"{k}1")).otherwise(F.col(f"{k}2")).alias(k) for k in ("noun", "i"))).distinct()
     return c.groupBy("image", "noun").agg(F.count("*").alias("lost"))
+
+
+COUNT_CAPTIONS = ["two red cows and a dog", "a group of cows near 3 dogs", "a pair of cows", "one dog, twelve cows", "a dogs show with a single dog", "several brown cows", "an old small tired grey dog", "a stack of five dogs", "cows", "a herd of two cows", "an old grey dog by ten or more big cows"]
+
+
+@query(f"""WITH b AS (SELECT p_partkey AS id, {_s_pick(COUNT_CAPTIONS, 'p_partkey')} AS t, {_s_pick(['cow', 'dog'], 'p_partkey // 11')} AS n FROM part), w AS (SELECT id, n, n || 's' AS m, list_transform(string_split(t, ' '), lambda x: replace(x, ',', '')) AS w, string_split(t, ' ') AS raw FROM b),
+k AS (SELECT id, n, m, w, raw, list_filter(range(1, len(w) + 1), lambda i: list_contains({_sql([*lexicon.NUMBER_WORDS[1:13], 'a', 'an', 'single'])}, w[i]) OR regexp_matches(w[i], '^[0-9]+$')) AS k FROM w),
+j AS (SELECT id, n, m, w, list_filter(list_transform(k, lambda i: [i, list_min(list_filter(range(i + 1, i + 5), lambda j: j <= len(w) AND (w[j] = n OR w[j] = m) AND len(list_filter(range(i, j), lambda q: raw[q] LIKE '%,')) = 0))]), lambda z: z[2] IS NOT NULL) AS z FROM k),
+v AS (SELECT id, list_filter(list_transform(z, lambda z: CASE WHEN list_has_any(w[z[1] + 1:z[2] - 1], {_sql(f.VAGUE)}) THEN NULL WHEN list_contains(w[z[1] + 1:z[2] - 1], 'pair') THEN 2 WHEN w[z[1]] IN ('a', 'an', 'single') THEN CASE WHEN w[z[2]] = n THEN 1 END WHEN regexp_matches(w[z[1]], '^[0-9]+$') THEN w[z[1]]::INT ELSE (list_position({_sql(lexicon.NUMBER_WORDS)}, w[z[1]]) - 1)::INT END), lambda x: x IS NOT NULL) AS v FROM j) SELECT id, v[1] AS n FROM v""")
+def caption_counts(spark, sf):
+    """The number that a caption gives an object."""
+    n = F.col("n")
+    d = _parts(spark, sf).select("id", _pick(COUNT_CAPTIONS, _id()).alias("t"), _pick(["cow", "dog"], F.floor(_id() / 11)).alias("n"))
+    return d.select("id", f.caption_count(F.col("t"), n, F.concat(n, F.lit("s"))).cast("int").alias("n"))
