@@ -12,6 +12,7 @@ from loomery.session import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,9 +21,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return scratch(spark, name)
 
 
+#: Bytes of an Arrow batch; a task holds a batch some times over, in Spark and in Python. One row may be larger.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, unless they are bounded lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: written to the shared folder as Parquet and read again, so that a lost executor costs one stage."""
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     # Spark drops the shuffle files of finished steps when the driver collects its garbage; twice, as listeners hold the last step a moment longer

@@ -1,7 +1,6 @@
 """Token ids of all documents in ascending id order, as independent range-coded blocks.
 
-Documents are range-partitioned by id (and by a hash of the text, so that one id, or none, can fill no partition) and sorted, so partition k
-holds ids not above those of partition k + 1. Each task
+Documents are range-partitioned by id and sorted, so partition k holds ids below those of partition k + 1. Each task
 encodes its texts with a public tokenizer, appends the end id to each document and cuts blocks of whole documents,
 about BLOCK ids each. A block is one row of the store: partition, number in it, counts, the documents' ids and
 lengths, and the coded ids (range_coder.py). Spark's committer writes the rows as Parquet, so a retried task
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomery.llm import bytescan, range_coder
-from loomery.llm.common import shared_path, sized, staged, table
+from loomery.llm.common import shared_path, sized, small_batches, staged, table
 
 TOKENIZER, END, BLOCK, PIECES = "byte_bpe_50k.json", 0, 1 << 20, 150_000
 SCHEMA = "part int, block int, n_docs long, n_ids long, docs binary, ids binary"
@@ -196,10 +195,9 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, block: int = B
             with np.errstate(over="ignore"):
                 yield closed()
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
-    # many rows of one id, or without one, are cut by the hash of their texts
-    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
-    d = d.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    d = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    small_batches(docs.sparkSession)
     d.mapInArrow(encode, SCHEMA).write.option("compression", "none").parquet(path)
 
 
