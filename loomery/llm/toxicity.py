@@ -131,17 +131,16 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
         return Model(np.zeros(0, np.float32), 0.0, (odds[1] + 1) / (sum(odds) + 2))
     order = F.xxhash64("doc_id", F.lit(11))
     chosen = known.where("y = 0").orderBy(order, "doc_id").limit(2 * sample).unionByName(known.where("y = 1").orderBy(order, "doc_id").limit(sample))
-    # at most 3 * sample rows of a few numbers; of rows that repeat an id the text of smallest hash teaches
+    # at most 3 * sample rows of a few numbers; rows that repeat an id count with all their bytes
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sizes = rows.groupBy("doc_id", "y", order.alias("h")).agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).collect()
+    sizes = rows.groupBy("doc_id", "y", order.alias("h")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).collect()
     kept, held = [], [0, 0]
     for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
         if held[r.y] + r.n <= SAMPLE_BYTES * (2 - r.y):
             held[r.y] += r.n
             kept.append((r.doc_id,))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    one = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, f"doc_id {kind}")), "doc_id", "left_semi")
-    taught = one.groupBy("doc_id", "y").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text")).select("y", "text")
+    taught = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, f"doc_id {kind}")), "doc_id", "left_semi").select("y", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
