@@ -66,9 +66,12 @@ def error_tags(spark, sf):
 def log_values(spark, sf):
     """Values of an evaluation log, two lines below the overall group, under the iteration before."""
     at = scratch(spark, "logs")
-    users = [r[0] for r in table(spark, sf, "events").select("user_id").distinct().collect()]  # users of the small fixture make one log
-    lines = [x for i in range(1, len(users) + 1) for x in (f"ITER-{i}: run", "noise 1.0", "Tag Group: other", "x", "9.0 9.0", "Tag Group: overall", "basic advanced overall", f"{i + 0.5} {2 * i + 0.5} {3 * i + 0.5}")]
-    _lines(spark.createDataFrame(list(enumerate(lines)), "o int, value string"), f"{at}/eval.log")
+    n = table(spark, sf, "events").select("user_id").distinct().count()  # the null user is one too
+    i = F.col("id")
+    values = F.concat_ws(" ", *(F.concat((k * i).cast("string"), F.lit(".5")) for k in (1, 2, 3)))  # a double from 10**7 on would be spelled with an exponent
+    run = F.concat(F.lit("ITER-"), i.cast("string"), F.lit(": run"))
+    lines = F.concat_ws("\n", run, F.lit("noise 1.0\nTag Group: other\nx\n9.0 9.0\nTag Group: overall\nbasic advanced overall"), values)
+    _lines(spark.range(1, n + 1).select(lines.alias("value"), i.alias("o")), f"{at}/eval.log")  # an iteration is one row, so that no file ends inside it
     return readers.iteration_log(spark, f"{at}/eval.log", ["basic", "advanced", "overall"]).select("iteration", "metric", "value")
 
 
