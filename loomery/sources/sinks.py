@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,9 +51,9 @@ def split_files(names: DataFrame, file: str, share: float, seed: int) -> DataFra
     return d.withColumn("part", F.when(place <= F.greatest(F.lit(1), F.round(F.count("*").over(w) * share)), "val").otherwise("train"))
 
 
-def merged_paths(d: DataFrame, key: str, path: str, rank: str) -> DataFrame:
-    """One path for each key; the later rank wins."""
-    return d.groupBy(key).agg(F.max_by(path, rank).alias(path))
+def merged_paths(d: DataFrame, key: str, path: str, rank: str, *more: Column) -> DataFrame:
+    """One path for each key, the null key too; the later rank wins. more: further aggregates of a key's rows."""
+    return d.groupBy(key).agg(F.max_by(path, rank).alias(path), *more)
 
 
 def text_table(headers: list[str], rows: list[tuple]) -> str:

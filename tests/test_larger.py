@@ -27,3 +27,9 @@ def test_log_values_with_many_users(spark, tmp_path, users):
     d = spark.range(2 * users).select(F.col("id").alias("event_id"), F.when(F.col("id") % 151 != 7, F.col("id") % max(users, 1)).alias("user_id"))
     d.write.parquet(str(tmp_path / "events.parquet"))
     assert same_as_sql(spark, tmp_path, "log_values", ["events"]) >= 3 * users
+
+
+def test_merged_paths_with_large_and_missing_keys(spark, tmp_path):
+    rows = [(1, 3), (1, 2_000_002), (2, 999_999), (2, 1_000_000), (2, 5_000_001), (3, 2_000_000), (3, 1_000_003), (None, 5), (None, 4_000_000), (4, None), (5, None), (5, 2)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    assert same_as_sql(spark, tmp_path, "merged_paths", ["orders"]) == 6
