@@ -287,7 +287,8 @@ def evaluation_steps(spark, sf):
 def page_names(spark, sf):
     """Names from paths, the first id that is there, and bytes as base64."""
     u = F.col("url")
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract(u, "([^/?]+)(?:[?].*)?$", 1).alias("name"), F.coalesce(F.nullif(F.regexp_extract(u, "utm_source=([a-z]+)", 1), F.lit("")), F.col("page_id").cast("string")).alias("id"), F.base64(F.encode(u, "utf-8")).alias("data"))
+    data = F.translate(F.base64(F.encode(u, "utf-8")), "\r\n", "")  # Spark may break base64 into lines of 76
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract(u, r"([^/?]+)(?:[?][^\n]*)?\z", 1).alias("name"), F.coalesce(F.nullif(F.regexp_extract(u, "utm_source=([a-z]+)", 1), F.lit("")), F.col("page_id").cast("string")).alias("id"), data.alias("data"))
 
 
 @query("WITH c AS (SELECT user_id, event_id, value, event_type = 'click' AS good FROM events) SELECT user_id || '/' || (event_id % 3) AS grp, count(*) AS nodes, round(avg(value) + 1e-9, 6) AS mean, count(DISTINCT event_id % 4) FILTER (event_id % 4 > 1) AS repeats_left FROM c WHERE NOT good GROUP BY 1")

@@ -33,3 +33,9 @@ def test_merged_paths_with_large_and_missing_keys(spark, tmp_path):
     rows = [(1, 3), (1, 2_000_002), (2, 999_999), (2, 1_000_000), (2, 5_000_001), (3, 2_000_000), (3, 1_000_003), (None, 5), (None, 4_000_000), (4, None), (5, None), (5, 2)]
     spark.createDataFrame(rows, "o_custkey long, o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
     assert same_as_sql(spark, tmp_path, "merged_paths", ["orders"]) == 6
+
+
+def test_page_names_with_long_and_odd_urls(spark, tmp_path):
+    urls = ["http://a/" + "b" * n for n in (47, 48, 49, 66, 67, 200)] + ["https://a/é" * 8, "http://a/b?x\n", "a/b?x\ny?z", "a/b\n", "a/b\r\n", "a/b?c\u0085d/e", "a/b?c d", "", None, "a/", "/?utm_source=feed", "a/b?utm_source="]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert same_as_sql(spark, tmp_path, "page_names", ["pages"]) == len(urls)
