@@ -50,7 +50,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, one after another, and where each begins (and the last ends); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    column = (pc.fill_null(column, "") if column.null_count else column).cast(pa.large_string())
+    return raw((pc.fill_null(column, "") if column.null_count else column).cast(pa.large_string()))
+
+
+def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """utf8() of a large_string or large_binary array without nulls."""
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[at[0] : at[-1]], at - at[0]

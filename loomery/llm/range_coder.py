@@ -8,11 +8,11 @@ weights that follow the error. Whatever probability the candidates leave is spre
 that one interval codes one id. Each lane is an ordinary range coder (48-bit low and range, 16-bit words, carries
 avoided by cutting the range at a word's border). All arithmetic is on integers, so that any machine decodes alike.
 
-Lanes learn from each other one step late, so a block should have some hundred steps: 2048 lanes of 512 ids each beat the
-order-0 entropy of their block.
+Lanes learn from each other one step late, so a block should have some hundred steps: 4096 lanes of 512 ids each beat the
+order-0 entropy of their block. Candidates learn from every step; hit rates and weights from every one at first, then from each fourth.
 
 A block is independent: its model starts anew, and its header holds the counts and a CRC-32 of the ids. Layout, little-endian:
-magic "LTB1", u32 ids, u32 vocabulary, u32 lanes, u32 crc32, then u32 words of each lane, then the words, lane by lane.
+magic "LTB2", u32 ids, u32 vocabulary, u32 lanes, u32 crc32, then u32 words of each lane, then the words, lane by lane.
 """
 
 from __future__ import annotations
@@ -23,103 +23,142 @@ import zlib
 
 import numpy as np
 
-MAGIC, HEAD = b"LTB1", struct.Struct("<4sIIIII")
-LANES, LEAST_STEPS = 2048, 64
+MAGIC, HEAD = b"LTB2", struct.Struct("<4sIIIII")
+LANES, LEAST_STEPS = 4096, 64
 TOTAL, ZERO = 28, 20  # bits of an interval's scale, and of the order-0 scale
 FLOOR = 1 << (TOTAL - 7)  # what candidates always leave to the others
 STATE, WORD = 48, 16
 LOW, BORDER = np.uint64((1 << STATE) - 1), np.uint64(1 << (STATE - WORD))
 #: ln(p / (1 - p)) in 1/256 for p = (i + 0.5) / 4096, and its inverse on -2047..2047 in 1/65536
 STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int64)
-SQUASH = np.array([round(65536 / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)], np.int64)
+SQUASH = np.array([round(65536 / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)], np.int32)
 TABLE = 18
-
-
-def _rates(hits: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    return (hits * 4096 + 2048) // (seen + 1)
+EVERY, EARLY = 4, 64  # rates and weights learn from every step up to EARLY, then from each EVERY-th
+#: What candidates say in all: agreement, and the confidences of orders 2 and 1, as one number; confidence 0 is an empty place.
+SAYS = np.arange(512)
+AGREE, SURE2, SURE1 = SAYS >> 8 == 1, SAYS >> 4 & 15, SAYS & 15
+HAS2 = SURE2 > 0
+SECOND = HAS2 & (SURE1 > 0) & ~AGREE
+SET = HAS2 * 2 + AGREE
+OF_SET = (np.arange(4)[:, None] == SET).astype(np.int64)
+#: The next confidence after a miss and, 16 places on, after a hit.
+NEXT = np.array([1 if n < 2 else n >> 1 for n in range(16)] + [min(n + 1, 15) for n in range(16)], np.int32)
+
+
+def _hash(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Places in the table of order 2 for uint32 ids."""
+    x = before * np.uint32(0x9E3779B1)
+    x += last * np.uint32(0x85EBCA6B)
+    x += last >> np.uint32(3)
+    return (x >> np.uint32(32 - TABLE)).astype(np.intp)
 
 
 class Mixer:
-    """The shared model of a block; predict() and learn() alternate, with the same steps when coding and decoding."""
+    """The shared model of a block; predict() and learn() alternate, with the same steps when coding and decoding.
 
-    def __init__(self, vocabulary: int, lanes: int):
-        self.v = vocabulary
-        self.ids1, self.sure1 = np.full(vocabulary + 1, -1, np.int64), np.zeros(vocabulary + 1, np.int64)
-        self.ids2, self.sure2 = np.full(1 << TABLE, -1, np.int64), np.zeros(1 << TABLE, np.int64)
+    A candidate and its confidence lie in one number (id * 16 + confidence). All that is mixed but the order-0 share
+    depends on what the candidates say (SAYS), so that the mixer works on 512 numbers and each lane looks its own up.
+    """
+
+    def __init__(self, vocabulary: int, slots: bool):
+        self.v, self.slots = vocabulary, slots
+        self.one, self.two = np.zeros(vocabulary + 1, np.int32), np.zeros(1 << TABLE, np.int32)
         self.hits, self.seen = np.ones((3, 16), np.int64), np.full((3, 16), 2, np.int64)
         self.weights = np.full((4, 3), 1 << 15, np.int64)
         self.counts, self.steps, self.next = np.zeros(vocabulary, np.int64), 0, 1
-        self.last = np.full(lanes, vocabulary, np.int64)
-        self.before = self.last.copy()
+        self.rows: list[np.ndarray] = []
         self._zero()
+        self._mix()
 
     def _zero(self) -> None:
-        """Order-0 frequencies anew, each at least 1, summing to 2**ZERO, and the id of every slot."""
+        """Order-0 frequencies anew, each at least 1, summing to 2**ZERO, and (to decode) the id of every slot."""
+        if self.rows:
+            self.counts += np.bincount(np.concatenate(self.rows), minlength=self.v)
+            self.rows = []
         room, total = (1 << ZERO) - self.v, int(self.counts.sum())
-        self.freq = 1 + (self.counts * room // total if total else np.full(self.v, room // self.v, np.int64))
-        self.freq[int(self.freq.argmax())] += (1 << ZERO) - int(self.freq.sum())
-        self.start = np.cumsum(self.freq) - self.freq
-        self.slot = np.repeat(np.arange(self.v), self.freq)
-
-    def predict(self) -> None:
-        self.h = ((self.before * 0x9E3779B1 + self.last * 0x85EBCA6B + (self.last >> 3)) & 0xFFFFFFFF) >> (32 - TABLE)
-        c2, n2 = self.ids2[self.h], self.sure2[self.h]
-        c1, n1 = self.ids1[self.last], self.sure1[self.last]
-        has2 = c2 >= 0
-        first = np.where(has2, c2, c1)
-        agree = has2 & (c1 == c2)
-        self.n2, self.n1, self.first = n2, n1, first
-        self.second = np.where(has2 & (c1 != c2), c1, -1)
-        rates = _rates(self.hits, self.seen)
-        none = np.int64(STRETCH[40])
-        s = np.empty((3, len(first)), np.int64)
-        s[0] = np.where(has2, STRETCH[rates[0][n2]], 0)
-        s[1] = np.where(agree | ~has2, STRETCH[rates[1][n1]], none)
-        s[2] = STRETCH[np.minimum(self.freq[np.maximum(first, 0)] >> (ZERO - 12), 4095)]
-        self.set, self.inputs = has2 * 2 + agree, s
-        x = (self.weights[self.set].T * s).sum(0) >> 16
-        self.p1 = SQUASH[np.clip(x, -2047, 2047) + 2047]
-        self.size1 = np.where(first >= 0, self.p1 << (TOTAL - 16), 0)
-        self.size1 = np.minimum(self.size1, (1 << TOTAL) - 2 * FLOOR)
-        left = (1 << TOTAL) - self.size1 - FLOOR
-        self.size2 = np.where(self.second >= 0, (left >> 12) * rates[2][n1], 0)
-        self.unit = ((1 << TOTAL) - self.size1 - self.size2) >> ZERO
+        freq = 1 + (self.counts * room // total if total else np.full(self.v, room // self.v, np.int64))
+        freq[int(freq.argmax())] += (1 << ZERO) - int(freq.sum())
+        self.freq = freq.astype(np.int32)
+        self.start = (np.cumsum(freq) - freq).astype(np.int32)
+        self.share = STRETCH[np.minimum(freq >> (ZERO - 12), 4095)]
+        if self.slots:
+            self.slot = np.repeat(np.arange(self.v, dtype=np.int32), freq)
+
+    def _mix(self) -> None:
+        rates = (self.hits * 4096 + 2048) // (self.seen + 1)
+        self.s0 = np.where(HAS2, STRETCH[rates[0]][SURE2], 0)
+        self.s1 = np.where(AGREE | ~HAS2, STRETCH[rates[1]][SURE1], STRETCH[40])
+        w = self.weights[SET]
+        self.base, self.weight = w[:, 0] * self.s0 + w[:, 1] * self.s1, w[:, 2].copy()
+        self.rate = np.where(SECOND, rates[2][SURE1], 0).astype(np.int32)
+
+    def predict(self, h: np.ndarray, last: np.ndarray) -> None:
+        """h and last: each lane's place in the table of order 2, and its last id."""
+        self.h, self.last = h, last
+        e2, e1 = self.two.take(h), self.one.take(last)
+        self.n2, self.n1, self.c2, self.c1 = e2 & 15, e1 & 15, e2 >> 4, e1 >> 4
+        has = self.n2 > 0
+        self.first = np.where(has, self.c2, self.c1)
+        self.says = says = ((((has & (self.c1 == self.c2) & (self.n1 > 0)).astype(np.int32) << 4 | self.n2) << 4) | self.n1).astype(np.intp)
+        self.s2 = self.share.take(self.first)
+        x = self.weight.take(says)
+        x *= self.s2
+        x += self.base.take(says)
+        x >>= 16
+        np.clip(x, -2047, 2047, out=x)
+        x += 2047
+        self.p1 = SQUASH.take(x)
+        self.size1 = np.minimum(self.p1 << (TOTAL - 16), (1 << TOTAL) - 2 * FLOOR)
+        self.size2 = (((1 << TOTAL) - FLOOR - self.size1) >> 12) * self.rate.take(says)
+        self.both = self.size1 + self.size2
+        self.unit = ((1 << TOTAL) - self.both) >> ZERO
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        one, two = x == self.first, x == self.second
-        two &= self.size2 > 0
-        one &= self.size1 > 0
-        two &= ~one
-        start = np.where(one, 0, np.where(two, self.size1, self.size1 + self.size2 + self.start[x] * self.unit))
-        return start, np.where(one, self.size1, np.where(two, self.size2, self.freq[x] * self.unit))
+        """Start and width of x, as uint64; what x hits is kept for learn()."""
+        self.hit, self.hit1 = x == self.first, x == self.c1
+        start = self.start.take(x)
+        start *= self.unit
+        start += self.both
+        width = self.freq.take(x)
+        width *= self.unit
+        two = np.flatnonzero(self.hit1 & (self.size2 > 0))
+        start[two], width[two] = self.size1[two], self.size2[two]
+        one = np.flatnonzero(self.hit)
+        start[one], width[one] = 0, self.size1[one]
+        return start.astype(np.uint64), width.astype(np.uint64)
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        rest = value - self.size1 - self.size2
+        rest = value - self.both
         slot = np.clip(rest // self.unit, 0, (1 << ZERO) - 1)
-        return np.where(value < self.size1, self.first, np.where(rest < 0, self.second, self.slot[slot]))
+        return np.where(value < self.size1, self.first, np.where(rest < 0, self.c1, self.slot.take(slot)))
 
     def learn(self, x: np.ndarray) -> None:
-        hit1, has = x == self.first, self.first >= 0
-        err = np.where(has, (hit1.astype(np.int64) << 16) - self.p1, 0)
-        many = np.maximum(np.bincount(self.set, minlength=4), 1) << 8
-        for i in range(3):  # sums of products below 2**53, which floats hold exactly
-            self.weights[:, i] += np.bincount(self.set, err * self.inputs[i], 4).astype(np.int64) // many
-        for row, n, hit, use in ((0, self.n2, hit1, self.set >= 2), (1, self.n1, x == self.ids1[self.last], self.sure1[self.last] > 0), (2, self.n1, x == self.second, (self.second >= 0) & ~hit1)):
-            both = np.bincount(n * 4 + use * 2 + hit, minlength=64).reshape(16, 4)
-            self.seen[row] += both[:, 2] + both[:, 3]
-            self.hits[row] += both[:, 3]
-        for ids, sure, at in ((self.ids2, self.sure2, self.h), (self.ids1, self.sure1, self.last)):
-            same, n = ids[at] == x, sure[at]
-            swap = ~same & (n <= 1)
-            sure[at] = np.where(same, np.minimum(n + 1, 15), np.where(swap, 1, n >> 1))
-            ids[at[swap]] = x[swap]
-        np.add.at(self.counts, x, 1)
-        self.before, self.last = self.last, x
+        if self.steps < EARLY or self.steps % EVERY == 0:
+            self._learn_rates()
+        self.rows.append(x)
+        x16 = x << 4
+        for table, at, c, n, same in ((self.two, self.h, self.c2, self.n2, self.c2 == x), (self.one, self.last, self.c1, self.n1, self.hit1)):
+            # an empty place holds id 0 with no confidence, which a hit and a miss turn into x alike
+            keeps = same | (n > 1)
+            table[at] = np.where(keeps, c << 4, x16) | NEXT.take(n + (same.view(np.int8) << 4))
         self.steps += 1
         if self.steps == self.next:
             self.next = self.steps * 2 if self.steps < 64 else self.steps + 64
             self._zero()
 
+    def _learn_rates(self) -> None:
+        says, count = self.says, lambda which: np.bincount(self.says[which], minlength=512)
+        err = (self.hit.astype(np.int64) << 16) - self.p1
+        # sums of products below 2**53, which floats hold exactly
+        miss, far = (np.bincount(says, e, 512).astype(np.int64) for e in (err, err * self.s2))
+        seen, hit, hit1 = np.bincount(says, minlength=512), count(self.hit), count(self.hit1)
+        many = np.maximum(OF_SET @ seen, 1) << 8
+        self.weights += (OF_SET @ np.stack([miss * self.s0, miss * self.s1, far], 1)) // many[:, None]
+        by = lambda v, axis: v.reshape(2, 16, 16).sum((0, axis))
+        self.seen += np.stack([by(seen, 2), by(seen, 1), by((seen - hit) * SECOND, 1)])
+        self.hits += np.stack([by(hit, 2), by(hit1, 1), by(hit1 * SECOND, 1)])
+        self._mix()
+
 
 def _shape(n: int) -> tuple[int, int]:
     lanes = max(1, min(LANES, n // LEAST_STEPS))
@@ -128,7 +167,7 @@ def _shape(n: int) -> tuple[int, int]:
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """A block. ids are whole numbers from 0 and below vocabulary, which is at most 2**18."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids)
     n = len(ids)
     if n and not 0 <= ids.min() <= ids.max() < vocabulary <= 1 << (ZERO - 2):
         raise ValueError("ids out of range")
@@ -136,27 +175,31 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     lanes, steps = _shape(n)
     if not n:
         return HEAD.pack(MAGIC, 0, vocabulary, 0, crc, 0)
-    x = np.zeros(lanes * steps, np.int64)
+    x = np.zeros(lanes * steps, np.int32)
     x[:n] = ids
     x = np.ascontiguousarray(x.reshape(lanes, steps).T)
-    model = Mixer(vocabulary, lanes)
+    model = Mixer(vocabulary, slots=False)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << STATE, np.uint64)
     whose, words = [], []
+    last = before = np.full(lanes, vocabulary, np.int32)
     for row in x:
-        model.predict()
+        model.predict(_hash(before.view(np.uint32), last.view(np.uint32)), last)
         start, width = model.interval(row)
-        r = size >> np.uint64(TOTAL)
-        low, size = low + r * start.astype(np.uint64), r * width.astype(np.uint64)
+        size >>= np.uint64(TOTAL)
+        start *= size
+        low += start
+        size *= width
         while len(m := np.flatnonzero(size < BORDER)):
             a, s = low[m], size[m]
             cut = (a ^ (a + s - np.uint64(1))) >= BORDER
             s = np.where(cut, BORDER - (a & (BORDER - np.uint64(1))), s)
-            whose.append(m)
+            whose.append(m.astype(np.int32))
             words.append((a >> np.uint64(STATE - WORD)).astype(np.uint16))
             low[m], size[m] = (a << np.uint64(WORD)) & LOW, s << np.uint64(WORD)
         model.learn(row)
+        before, last = last, row
     for _ in range(STATE // WORD):
-        whose.append(np.arange(lanes))
+        whose.append(np.arange(lanes, dtype=np.int32))
         words.append((low >> np.uint64(STATE - WORD)).astype(np.uint16))
         low = (low << np.uint64(WORD)) & LOW
     lane, word = np.concatenate(whose), np.concatenate(words)
@@ -181,26 +224,30 @@ def decode(block: bytes) -> np.ndarray:
     for _ in range(STATE // WORD):
         code = (code << np.uint64(WORD)) | word[at]
         at += 1
-    out = np.empty((steps, lanes), np.int64)
-    model = Mixer(vocabulary, lanes)
+    out = np.empty((steps, lanes), np.int32)
+    model = Mixer(vocabulary, slots=True)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << STATE, np.uint64)
     end = len(word) - 1
+    last = before = np.full(lanes, vocabulary, np.int32)
     for k in range(steps):
-        model.predict()
-        r = size >> np.uint64(TOTAL)
-        value = np.minimum((code - low) // r, np.uint64((1 << TOTAL) - 1)).astype(np.int64)
-        x = model.find(value)
+        model.predict(_hash(before.view(np.uint32), last.view(np.uint32)), last)
+        size >>= np.uint64(TOTAL)
+        value = np.minimum((code - low) // size, np.uint64((1 << TOTAL) - 1)).astype(np.int32)
+        out[k] = x = model.find(value)
         start, width = model.interval(x)
-        low, size = low + r * start.astype(np.uint64), r * width.astype(np.uint64)
+        start *= size
+        low += start
+        size *= width
         while len(m := np.flatnonzero(size < BORDER)):
             a, s = low[m], size[m]
             cut = (a ^ (a + s - np.uint64(1))) >= BORDER
             s = np.where(cut, BORDER - (a & (BORDER - np.uint64(1))), s)
-            code[m] = ((code[m] << np.uint64(WORD)) & LOW) | word[np.minimum(at[m], end)]
-            at[m] += 1
+            t = at[m]
+            code[m] = ((code[m] << np.uint64(WORD)) & LOW) | word[np.minimum(t, end)]
+            at[m] = t + 1
             low[m], size[m] = (a << np.uint64(WORD)) & LOW, s << np.uint64(WORD)
         model.learn(x)
-        out[k] = x
+        before, last = last, x
     ids = out.T.ravel()[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("checksum of a block differs")

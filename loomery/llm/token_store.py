@@ -8,8 +8,8 @@ leaves nothing twice, and the store lies wherever Spark can write. Reading needs
 where each one starts (their prefix sum), then decodes every block by itself.
 
 A text is cut at single spaces between two other characters: there the tokenizer's own pattern always begins a new
-piece, so pieces have the same ids in any text, and each distinct piece is encoded once per worker while the memory
-of pieces (bounded by PIECES) lasts.
+piece, so pieces have the same ids in any text, and each distinct piece (its very bytes) is encoded once per worker
+while the memory of pieces (bounded by PIECES) lasts. Pieces are cut, made distinct and looked up a batch at a time.
 
 Defined results: null text is empty and gives the end id alone; null ids come first; rows that repeat an id are
 neighbours in the order of a hash of their texts; an empty table gives an empty store. Other columns are not read.
@@ -21,24 +21,68 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomery.llm import bytescan, range_coder
-from loomery.llm.common import shared_path, sized, small_batches, staged, table
+from loomery.llm.common import BATCH_BYTES, shared_path, sized, small_batches, staged, table
 
-TOKENIZER, END, BLOCK, PIECES = "byte_bpe_50k.json", 0, 1 << 20, 150_000
+TOKENIZER, END, BLOCK, PIECES = "byte_bpe_50k.json", 0, 1 << 21, 400_000
 SCHEMA = "part int, block int, n_docs long, n_ids long, docs binary, ids binary"
-#: Characters that a tokenizer might take for white space beyond those that Python does.
-_BLANK = frozenset("\u180e\u200b\ufeff")
+#: Text bytes that are cut into pieces at once.
+SLICE_BYTES = BATCH_BYTES
 
 
-def _blank(c: str) -> bool:
-    return c.isspace() or c in _BLANK
+def _blanks() -> tuple[np.ndarray, np.ndarray]:
+    """For two bytes (first * 256 + second), whether a blank character begins with them, and whether one ends with them.
+
+    Blank is what Python takes for white space and what a tokenizer might beyond that; some other characters share two bytes with one.
+    """
+    begins, ends = np.zeros((256, 256), bool), np.zeros((256, 256), bool)
+    for c in filter(lambda c: c.isspace() or c in "\u180e\u200b\ufeff", map(chr, range(0xD800))):
+        x = c.encode()
+        if len(x) == 1:
+            begins[x[0]], ends[:, x[0]] = True, True
+        else:
+            begins[x[0], x[1]], ends[x[-2], x[-1]] = True, True
+    x = "\ufeff".encode()
+    begins[x[0], x[1]], ends[x[-2], x[-1]] = True, True
+    return begins.ravel(), ends.ravel()
+
+
+BEGINS, ENDS = _blanks()
+
+
+def _pairs(data: np.ndarray) -> np.ndarray:
+    """Two neighbouring bytes as one number, of every byte and its next."""
+    return data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]
+
+
+def cut(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin, and the end of the last: at each text, and at single spaces between two characters that are surely not blank."""
+    n = len(data)
+    padded = np.concatenate([np.zeros(2, np.uint8), data, np.zeros(2, np.uint8)])
+    s = np.flatnonzero(data == 32)
+    pairs = _pairs(padded)  # pairs[i] holds bytes i - 2 and i - 1 of data
+    s = s[~ENDS[pairs[s]] & ~BEGINS[pairs[s + 3]]]
+    mark = np.zeros(n + 1, bool)
+    mark[s] = True
+    if n:
+        closing = at[1:] - 1
+        last = closing[data[closing] == 32]
+        mark[last] = False  # a text's last space belongs to the piece before
+    mark[at] = True
+    return np.flatnonzero(mark)
+
+
+def binaries(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 class Encoder:
@@ -54,78 +98,74 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         # ids that begin with a space, which inside a run of plain pieces only a piece's first id can
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.vocabulary)])
-        self.number: dict[str, int] = {}
-        self.flat, self.begin, self.count, self.seen = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
+        self.known = pa.array([], pa.large_binary())
+        self.flat, self.begin, self.count, self.seen = np.zeros(0, np.int32), *(np.zeros(0, np.int32) for _ in range(3))
 
     def _forget(self) -> None:
-        """Keep the pieces met most often, half of the bound at most."""
-        least = np.sort(self.seen)[-PIECES // 2]
+        """Keep the pieces met most often, half of the bound at most, with half their count."""
+        least = np.partition(self.seen, -PIECES // 2)[-PIECES // 2]
         keep = self.seen > least
-        names = list(self.number)
-        self.number = {names[i]: k for k, i in enumerate(np.flatnonzero(keep))}
+        self.known = self.known.filter(pa.array(keep))
         size, begin = self.count[keep], self.begin[keep]
-        ends = np.cumsum(size)
-        self.flat = self.flat[np.repeat(begin - ends + size, size) + np.arange(size.sum())]
-        self.begin, self.count, self.seen = ends - size, size, np.zeros(len(size), np.int64)
-
-    def _add(self, pieces: list[str]) -> None:
-        encode = lambda t: self.tokenizer.encode_batch_fast(t, add_special_tokens=False)
-        plain = [p for p in pieces if p[0] != "\0" and len(p.split()) == 1 and _BLANK.isdisjoint(p)]
-        runs = [" " + " ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
-        flat = np.array([i for e in encode(runs) for i in e.ids], np.int32)
-        starts = np.flatnonzero(self.opens[flat]) if len(flat) else np.zeros(0, np.int64)
-        if len(starts) != len(plain):  # a tokenizer that joins pieces otherwise: one by one
-            plain, flat, starts = [], flat[:0], starts[:0]
-        known = set(plain)
-        odd = [p for p in pieces if p not in known]
-        got = [e.ids for e in encode([p[1:] if p[0] == "\0" else " " + p for p in odd])]
-        sizes = np.concatenate([np.diff(np.append(starts, len(flat))), np.fromiter(map(len, got), np.int64, len(got))]).astype(np.int64)
-        flat = np.concatenate([flat, np.array([i for ids in got for i in ids], np.int32)])
-        self.number.update(zip(plain + odd, range(len(self.begin), len(self.begin) + len(sizes)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.flat = np.concatenate([self.flat, flat])
+        ends = np.cumsum(size, dtype=np.int32)
+        self.flat = self.flat[np.repeat(begin - ends + size, size) + np.arange(size.sum(), dtype=np.int32)]
+        self.begin, self.count, self.seen = ends - size, size, self.seen[keep] // 2
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts one after another, and their number by text."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int32, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int32, int(size.sum())), size
+
+    def _add(self, pieces: pa.Array) -> np.ndarray:
+        """Learn pieces that are not known; their numbers."""
+        data, at = bytescan.raw(pieces)
+        blank = BEGINS[_pairs(np.append(data, np.uint8(0)))]
+        plain = (np.add.reduceat(blank, at[:-1], dtype=np.int32) == 1) & (data[at[:-1]] == 32) if len(pieces) else np.zeros(0, bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        pieces, n = pieces.take(pa.array(order)), int(plain.sum())
+        data, at = bytescan.raw(pieces)
+        raw = data.tobytes()
+        edges = [*at[:n:500].tolist(), int(at[n])]
+        flat, _ = self._encode([raw[i:k].decode() for i, k in pairwise(edges)])
+        starts = np.flatnonzero(self.opens[flat])
+        if len(starts) != n:  # a tokenizer that joins pieces otherwise: one by one
+            n, flat, starts = 0, flat[:0], starts[:0]
+        rest, sizes = self._encode([raw[i:k].decode() for i, k in pairwise(at[n:].tolist())])
+        sizes = np.concatenate([np.diff(np.append(starts, len(flat))).astype(np.int32), sizes])
+        out = np.empty(len(order), np.int32)
+        out[order] = np.arange(len(self.begin), len(self.begin) + len(order), dtype=np.int32)
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes, dtype=np.int32) - sizes])
+        self.flat = np.concatenate([self.flat, flat, rest])
         self.count = np.concatenate([self.count, sizes])
-        self.seen = np.concatenate([self.seen, np.zeros(len(sizes), np.int64)])
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Pieces of a text; all but the first stand for a space and what follows it. A leading NUL marks a first piece."""
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
-            last = out[-1]
-            if p and last and not _blank(p[0]) and not _blank(last[-1]):
-                out.append(p)
-            else:
-                out[-1] = f"{last} {p}"
-        out[0] = "\0" + out[0]
+        self.seen = np.concatenate([self.seen, np.zeros(len(sizes), np.int32)])
+        self.known = pa.concat_arrays([self.known, pieces])
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, each text's followed by the end id, and their count by text."""
+        return self.encode_bytes(*bytescan.utf8(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts))
+
+    def encode_bytes(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts given as bytes, and where each begins (and the last ends)."""
         if len(self.begin) > PIECES:
             self._forget()
-        pieces: list[str] = []
-        ends = []
-        for text in texts:
-            # most texts have no blank at a piece's edge; one search tells
-            if _EDGE.search(text):
-                pieces += self.cut(text)
-            else:
-                first, *rest = text.split(" ")
-                pieces.append("\0" + first)
-                pieces += rest
-            ends.append(len(pieces))
-        found = list(map(self.number.get, pieces))
-        if None in found:
-            self._add(list(dict.fromkeys(p for p, k in zip(pieces, found, strict=True) if k is None)))
-            found = list(map(self.number.get, pieces))
-        k = np.array(found, np.int64)
-        self.seen += np.bincount(k, minlength=len(self.seen))
-        size, begin = self.count[k], self.begin[k]
-        before = np.cumsum(size)
-        ids = self.flat[np.repeat(begin - before + size, size) + np.arange(before[-1] if len(before) else 0)]
-        per = np.diff(np.concatenate([[0], before[np.array(ends) - 1]])) if len(ends) else np.zeros(0, np.int64)
+        edges = cut(data, at)
+        found = binaries(data, edges).dictionary_encode()
+        k = pc.fill_null(pc.index_in(found.dictionary, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
+        new = k < 0
+        if new.any():
+            k[new] = self._add(found.dictionary.filter(pa.array(new)))
+        which = found.indices.to_numpy()
+        self.seen[k] += np.bincount(which, minlength=len(k)).astype(np.int32)
+        k = k[which]
+        size = self.count[k]
+        before = np.zeros(len(k) + 1, np.int64)
+        np.cumsum(size, out=before[1:])
+        shift = self.begin[k] - before[:-1].astype(np.int32)
+        ids = self.flat[np.repeat(shift, size) + np.arange(before[-1], dtype=np.int32)]
+        stop = before[np.searchsorted(edges, at[1:])]
+        per = np.diff(stop, prepend=0)
         out = np.full(len(ids) + len(per), END, np.int32)
         keep = np.ones(len(out), bool)
         keep[np.cumsum(per + 1) - 1] = False
@@ -143,16 +183,6 @@ def encoder_of(tokenizer: str) -> Encoder:
     return _ENCODERS[tokenizer]
 
 
-def _edges():
-    import re
-
-    blank = "\\s" + "".join(_BLANK)
-    return re.compile(rf" (?:[{blank}]|\Z)|[{blank}] |\A |\A\Z")
-
-
-_EDGE = _edges()
-
-
 def _pack(doc_ids: list[int | None], sizes: np.ndarray) -> bytes:
     """The documents of a block: a flag for null, the id and the number of ids of each."""
     known = np.array([d is not None for d in doc_ids], np.uint8)
@@ -183,14 +213,18 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, block: int = B
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "n_docs", "n_ids", "docs", "ids"])
 
-        for rows, *_ in bytescan.slices(batches):
-            flat, per = encoder.encode([t or "" for t in rows.column(1).to_pylist()])
-            doc_ids += rows.column(0).to_pylist()
-            sizes.append(per)
-            ids.append(flat)
-            held += len(flat)
-            if held >= block:
-                yield closed()
+        for rows, data, at in bytescan.slices(batches, most=SLICE_BYTES):
+            flat, per = encoder.encode_bytes(data, at)
+            keys, ends, row, done = rows.column(0).to_pylist(), np.cumsum(per), 0, 0
+            while row < len(keys):
+                end = min(len(keys), int(np.searchsorted(ends, done + block - held)) + 1)
+                doc_ids += keys[row:end]
+                sizes.append(per[row:end])
+                ids.append(flat[done : ends[end - 1]])
+                held += int(ends[end - 1]) - done
+                row, done = end, int(ends[end - 1])
+                if held >= block:
+                    yield closed()
         if doc_ids:
             with np.errstate(over="ignore"):
                 yield closed()

@@ -72,3 +72,48 @@ def test_query(spark, sf_dir):
     for r, d, ids in zip(got, docs, reference([d.text for d in docs]), strict=True):
         assert tuple(r) == (d.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_pieces_at_odd_blanks_and_after_forgetting(monkeypatch):
+    monkeypatch.setattr(token_store, "PIECES", 20)
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()] + list("᠎​﻿")
+    near = ["\0", "é", "à", "«", "“", "¿", "中", "ą", "😀", "a", "'s", "1", "."]
+    texts = [f"{a}{b} {c}{d}" for a in ("", "x") for b in blanks + near for c in blanks + near for d in ("", "y")] + [" ", "  ", "", "x ", "", " x", "a \0x"]
+    encoder = token_store.Encoder("byte_bpe_50k.json")
+    want = reference(texts)
+    for size in (len(texts), 100, 1):
+        some = range(0, len(texts) if size > 1 else 150, size)
+        got = [encoder.encode(texts[i : i + size]) for i in some]
+        assert np.concatenate([g[0] for g in got]).tolist() == [t for i in some for x in want[i : i + size] for t in x]
+        assert np.concatenate([g[1] for g in got]).tolist() == [len(x) for i in some for x in want[i : i + size]]
+
+
+def test_blocks_of_few_ids(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    token_store.write(docs, str(tmp_path / "store"), block=500)
+    rows = spark.read.parquet(str(tmp_path / "store")).collect()
+    texts = docs.collect()
+    lengths = {r.doc_id: len(i) for r, i in zip(texts, reference([r.text for r in texts]), strict=True)}
+    for r in rows:  # a block is closed with the document that fills it
+        keys, sizes = token_store._unpack(r.docs)
+        assert sizes.tolist() == [lengths[k] for k in keys] and sizes[:-1].sum() < 500
+    assert sum(r.n_docs for r in rows) == len(texts)
+    got = sorted(token_store.decoded(token_store.read(spark, str(tmp_path / "store"))).collect(), key=lambda r: r.doc_id)
+    assert [r.start for r in got] == np.cumsum([0] + [lengths[r.doc_id] for r in got])[:-1].tolist()
+
+
+def test_coder_within_a_cpu_budget():
+    """A block takes less than half a microsecond an id, in units of this machine's own speed as the check measures it."""
+    import time
+
+    ids = (np.random.default_rng(1).zipf(1.3, 1 << 19) - 1) % 50257
+    range_coder.decode(range_coder.encode(ids[:100_000], 50257))
+    spin, took = [], []
+    for _ in range(3):
+        t = time.thread_time()
+        sum(range(2_000_000))
+        spin.append((time.thread_time() - t) * 25)  # the share of range(50_000), in milliseconds
+        t = time.thread_time()
+        range_coder.decode(range_coder.encode(ids, 50257))
+        took.append(time.thread_time() - t)
+    assert min(took) / len(ids) * 1e6 / min(spin) < 0.5
