@@ -8,7 +8,7 @@ weights that follow the error. Whatever probability the candidates leave is spre
 that one interval codes one id. Each lane is an ordinary range coder (48-bit low and range, 16-bit words, carries
 avoided by cutting the range at a word's border). All arithmetic is on integers, so that any machine decodes alike.
 
-Lanes learn from each other one step late, so a block should have some hundred steps: 4096 lanes of 512 ids each beat the
+Lanes learn from each other one step late, so a block should have some hundred steps: 3072 lanes of 342 ids each beat the
 order-0 entropy of their block. Candidates learn from every step; hit rates and weights from every one at first, then from each fourth.
 
 A block is independent: its model starts anew, and its header holds the counts and a CRC-32 of the ids. Layout, little-endian:
@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 
 MAGIC, HEAD = b"LTB2", struct.Struct("<4sIIIII")
-LANES, LEAST_STEPS = 4096, 64
+LANES, LEAST_STEPS = 3072, 64
 TOTAL, ZERO = 28, 20  # bits of an interval's scale, and of the order-0 scale
 FLOOR = 1 << (TOTAL - 7)  # what candidates always leave to the others
 STATE, WORD = 48, 16
@@ -202,9 +202,15 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
         whose.append(np.arange(lanes, dtype=np.int32))
         words.append((low >> np.uint64(STATE - WORD)).astype(np.uint16))
         low = (low << np.uint64(WORD)) & LOW
-    lane, word = np.concatenate(whose), np.concatenate(words)
+    del x, model
+    lane = np.concatenate(whose)
+    whose.clear()
     lengths = np.bincount(lane, minlength=lanes).astype("<u4")
-    return HEAD.pack(MAGIC, n, vocabulary, lanes, crc, steps) + lengths.tobytes() + word[np.argsort(lane, kind="stable")].astype("<u2").tobytes()
+    order = np.argsort(lane, kind="stable")
+    del lane
+    word = np.concatenate(words)
+    words.clear()
+    return HEAD.pack(MAGIC, n, vocabulary, lanes, crc, steps) + lengths.tobytes() + word[order].astype("<u2").tobytes()
 
 
 def decode(block: bytes) -> np.ndarray:

@@ -9,7 +9,7 @@ where each one starts (their prefix sum), then decodes every block by itself.
 
 A text is cut at single spaces between two other characters: there the tokenizer's own pattern always begins a new
 piece, so pieces have the same ids in any text, and each distinct piece (its very bytes) is encoded once per worker
-while the memory of pieces (bounded by PIECES) lasts. Pieces are cut, made distinct and looked up a batch at a time.
+while the memory of pieces (bounded by PIECES) lasts. Pieces are cut, made distinct and looked up a slice of texts at a time.
 
 Defined results: null text is empty and gives the end id alone; null ids come first; rows that repeat an id are
 neighbours in the order of a hash of their texts; an empty table gives an empty store. Other columns are not read.
@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomery.llm import bytescan, range_coder
-from loomery.llm.common import BATCH_BYTES, shared_path, sized, small_batches, staged, table
+from loomery.llm.common import shared_path, sized, small_batches, staged, table
 
-TOKENIZER, END, BLOCK, PIECES = "byte_bpe_50k.json", 0, 1 << 21, 400_000
+TOKENIZER, END, BLOCK, PIECES = "byte_bpe_50k.json", 0, 1 << 20, 200_000
 SCHEMA = "part int, block int, n_docs long, n_ids long, docs binary, ids binary"
 #: Text bytes that are cut into pieces at once.
-SLICE_BYTES = BATCH_BYTES
+SLICE_BYTES = 4 << 20
 
 
 def _blanks() -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +67,10 @@ def _pairs(data: np.ndarray) -> np.ndarray:
 def cut(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where the pieces of texts begin, and the end of the last: at each text, and at single spaces between two characters that are surely not blank."""
     n = len(data)
-    padded = np.concatenate([np.zeros(2, np.uint8), data, np.zeros(2, np.uint8)])
+    pairs = _pairs(np.concatenate([np.zeros(2, np.uint8), data, np.zeros(2, np.uint8)]))  # pairs[i] holds bytes i - 2 and i - 1 of data
     s = np.flatnonzero(data == 32)
-    pairs = _pairs(padded)  # pairs[i] holds bytes i - 2 and i - 1 of data
-    s = s[~ENDS[pairs[s]] & ~BEGINS[pairs[s + 3]]]
+    s = s[~(ENDS[pairs[s]] | BEGINS[pairs[s + 3]])]
+    del pairs
     mark = np.zeros(n + 1, bool)
     mark[s] = True
     if n:
@@ -159,13 +159,16 @@ class Encoder:
         which = found.indices.to_numpy()
         self.seen[k] += np.bincount(which, minlength=len(k)).astype(np.int32)
         k = k[which]
-        size = self.count[k]
-        before = np.zeros(len(k) + 1, np.int64)
+        size, begin = self.count[k], self.begin[k]
+        del found, which, k
+        before = np.zeros(len(size) + 1, np.int32)
         np.cumsum(size, out=before[1:])
-        shift = self.begin[k] - before[:-1].astype(np.int32)
-        ids = self.flat[np.repeat(shift, size) + np.arange(before[-1], dtype=np.int32)]
-        stop = before[np.searchsorted(edges, at[1:])]
-        per = np.diff(stop, prepend=0)
+        per = np.diff(before[np.searchsorted(edges, at[1:])], prepend=np.int32(0)).astype(np.int64)
+        place = np.repeat(begin - before[:-1], size)
+        place += np.arange(before[-1], dtype=np.int32)
+        del edges, size, begin, before
+        ids = self.flat[place]
+        del place
         out = np.full(len(ids) + len(per), END, np.int32)
         keep = np.ones(len(out), bool)
         keep[np.cumsum(per + 1) - 1] = False
@@ -206,11 +209,11 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, block: int = B
 
         def closed() -> pa.RecordBatch:
             nonlocal number, held
-            flat, per = np.concatenate(ids), np.concatenate(sizes)
-            row = [part, number, len(doc_ids), len(flat), _pack(doc_ids, per), range_coder.encode(flat, encoder.vocabulary)]
-            number, held = number + 1, 0
+            flat, docs = np.concatenate(ids), _pack(doc_ids, np.concatenate(sizes))
+            n, number, held = len(doc_ids), number + 1, 0
             for x in (doc_ids, sizes, ids):
                 x.clear()
+            row = [part, number - 1, n, len(flat), docs, range_coder.encode(flat, encoder.vocabulary)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "n_docs", "n_ids", "docs", "ids"])
 
         for rows, data, at in bytescan.slices(batches, most=SLICE_BYTES):
