@@ -5,14 +5,14 @@ share one model, which learns from every step before the next. The model predict
 the last id (order 1) and nothing (order 0). Orders 2 and 1 each name a candidate id with a confidence; a logistic
 mixer turns the hit rates at these confidences and the order-0 share of the candidate into its probability, with
 weights that follow the error. Whatever probability the candidates leave is spread by the order-0 frequencies, so
-that one interval codes one id. Each lane is an ordinary range coder (48-bit low and range, 16-bit words, carries
-avoided by cutting the range at a word's border). All arithmetic is on integers, so that any machine decodes alike.
+that one interval codes one id. Each lane is an ordinary range coder (64-bit low and range, 32-bit words, carries
+avoided by cutting the range at a word's border; a step ends with one word at most, and a lane with one word). All arithmetic is on integers, so that any machine decodes alike.
 
 Lanes learn from each other one step late, so a block should have some hundred steps: 3072 lanes of 342 ids each beat the
-order-0 entropy of their block. Candidates learn from every step; hit rates and weights from every one at first, then from each fourth.
+order-0 entropy of their block. Candidates learn from every step; hit rates and weights from every one at first, then from each eighth.
 
 A block is independent: its model starts anew, and its header holds the counts and a CRC-32 of the ids. Layout, little-endian:
-magic "LTB2", u32 ids, u32 vocabulary, u32 lanes, u32 crc32, then u32 words of each lane, then the words, lane by lane.
+magic "LTB3", u32 ids, u32 vocabulary, u32 lanes, u32 crc32, then u32 words of each lane, then the words, lane by lane.
 """
 
 from __future__ import annotations
@@ -23,24 +23,28 @@ import zlib
 
 import numpy as np
 
-MAGIC, HEAD = b"LTB2", struct.Struct("<4sIIIII")
+MAGIC, HEAD = b"LTB3", struct.Struct("<4sIIIII")
 LANES, LEAST_STEPS = 3072, 64
 TOTAL, ZERO = 28, 20  # bits of an interval's scale, and of the order-0 scale
 FLOOR = 1 << (TOTAL - 7)  # what candidates always leave to the others
-STATE, WORD = 48, 16
-LOW, BORDER = np.uint64((1 << STATE) - 1), np.uint64(1 << (STATE - WORD))
+WORD, BORDER = np.uint64(32), np.uint64(1 << 32)
+SCALE, FULL, BELOW = np.uint64(TOTAL), np.uint64((1 << 64) - 1), np.uint64((1 << 32) - 1)
 #: ln(p / (1 - p)) in 1/256 for p = (i + 0.5) / 4096, and its inverse on -2047..2047 in 1/65536
 STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int64)
 SQUASH = np.array([round(65536 / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)], np.int32)
+SIZE1 = np.minimum(SQUASH << (TOTAL - 16), (1 << TOTAL) - 2 * FLOOR)  # an interval of that share
+MOST = 1 << 19  # of a weight in 1/65536, so that products stay below 2**31
 TABLE = 18
-EVERY, EARLY = 4, 64  # rates and weights learn from every step up to EARLY, then from each EVERY-th
+EVERY, EARLY = 8, 64  # rates and weights learn from every step up to EARLY, then from each EVERY-th
 #: What candidates say in all: agreement, and the confidences of orders 2 and 1, as one number; confidence 0 is an empty place.
 SAYS = np.arange(512)
-AGREE, SURE2, SURE1 = SAYS >> 8 == 1, SAYS >> 4 & 15, SAYS & 15
+SURE2, SURE1 = SAYS >> 4 & 15, SAYS & 15
+AGREE = (SAYS >> 8 == 1) & (SURE2 > 0) & (SURE1 > 0)
 HAS2 = SURE2 > 0
 SECOND = HAS2 & (SURE1 > 0) & ~AGREE
 SET = HAS2 * 2 + AGREE
-OF_SET = (np.arange(4)[:, None] == SET).astype(np.int64)
+OF_SET = (np.arange(4)[:, None] == SET).astype(np.float64)
+BY_SURE = np.concatenate([SURE2[:, None] == np.arange(16), SURE1[:, None] == np.arange(16)], 1).astype(np.float64)
 #: The next confidence after a miss and, 16 places on, after a hit.
 NEXT = np.array([1 if n < 2 else n >> 1 for n in range(16)] + [min(n + 1, 15) for n in range(16)], np.int32)
 
@@ -80,7 +84,7 @@ class Mixer:
         freq[int(freq.argmax())] += (1 << ZERO) - int(freq.sum())
         self.freq = freq.astype(np.int32)
         self.start = (np.cumsum(freq) - freq).astype(np.int32)
-        self.share = STRETCH[np.minimum(freq >> (ZERO - 12), 4095)]
+        self.share = STRETCH[np.minimum(freq >> (ZERO - 12), 4095)].astype(np.int32)
         if self.slots:
             self.slot = np.repeat(np.arange(self.v, dtype=np.int32), freq)
 
@@ -89,48 +93,54 @@ class Mixer:
         self.s0 = np.where(HAS2, STRETCH[rates[0]][SURE2], 0)
         self.s1 = np.where(AGREE | ~HAS2, STRETCH[rates[1]][SURE1], STRETCH[40])
         w = self.weights[SET]
-        self.base, self.weight = w[:, 0] * self.s0 + w[:, 1] * self.s1, w[:, 2].copy()
+        self.base = ((w[:, 0] * self.s0 + w[:, 1] * self.s1) >> 16).astype(np.int32)
+        self.weight = w[:, 2].astype(np.int32)
         self.rate = np.where(SECOND, rates[2][SURE1], 0).astype(np.int32)
 
     def predict(self, h: np.ndarray, last: np.ndarray) -> None:
-        """h and last: each lane's place in the table of order 2, and its last id."""
+        """h and last: each lane's place in the table of order 2, and its last id, as indices."""
         self.h, self.last = h, last
         e2, e1 = self.two.take(h), self.one.take(last)
         self.n2, self.n1, self.c2, self.c1 = e2 & 15, e1 & 15, e2 >> 4, e1 >> 4
-        has = self.n2 > 0
-        self.first = np.where(has, self.c2, self.c1)
-        self.says = says = ((((has & (self.c1 == self.c2) & (self.n1 > 0)).astype(np.int32) << 4 | self.n2) << 4) | self.n1).astype(np.intp)
+        self.first = np.where(self.n2 > 0, self.c2, self.c1)
+        says = self.n2 << 4
+        says |= self.n1
+        self.says = says = says.astype(np.intp)
+        says += (self.c1 == self.c2) * 256
         self.s2 = self.share.take(self.first)
         x = self.weight.take(says)
         x *= self.s2
-        x += self.base.take(says)
         x >>= 16
-        np.clip(x, -2047, 2047, out=x)
+        x += self.base.take(says)
         x += 2047
-        self.p1 = SQUASH.take(x)
-        self.size1 = np.minimum(self.p1 << (TOTAL - 16), (1 << TOTAL) - 2 * FLOOR)
-        self.size2 = (((1 << TOTAL) - FLOOR - self.size1) >> 12) * self.rate.take(says)
+        self.x = x
+        self.size1 = SIZE1.take(x, mode="clip")
+        self.size2 = (1 << TOTAL) - FLOOR - self.size1
+        self.size2 >>= 12
+        self.size2 *= self.rate.take(says)
         self.both = self.size1 + self.size2
-        self.unit = ((1 << TOTAL) - self.both) >> ZERO
+        self.unit = (1 << TOTAL) - self.both
+        self.unit >>= ZERO
 
-    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of x, as uint64; what x hits is kept for learn()."""
+    def interval(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of x (as indices: at), as uint64; what x hits is kept for learn()."""
         self.hit, self.hit1 = x == self.first, x == self.c1
-        start = self.start.take(x)
+        start = self.start.take(at)
         start *= self.unit
         start += self.both
-        width = self.freq.take(x)
+        width = self.freq.take(at)
         width *= self.unit
-        two = np.flatnonzero(self.hit1 & (self.size2 > 0))
-        start[two], width[two] = self.size1[two], self.size2[two]
-        one = np.flatnonzero(self.hit)
-        start[one], width[one] = 0, self.size1[one]
+        two = self.size2 > 0
+        two &= self.hit1
+        np.putmask(start, two, self.size1)
+        np.putmask(width, two, self.size2)
+        np.putmask(start, self.hit, 0)
+        np.putmask(width, self.hit, self.size1)
         return start.astype(np.uint64), width.astype(np.uint64)
 
     def find(self, value: np.ndarray) -> np.ndarray:
         rest = value - self.both
-        slot = np.clip(rest // self.unit, 0, (1 << ZERO) - 1)
-        return np.where(value < self.size1, self.first, np.where(rest < 0, self.c1, self.slot.take(slot)))
+        return np.where(value < self.size1, self.first, np.where(rest < 0, self.c1, self.slot.take(rest // self.unit, mode="clip")))
 
     def learn(self, x: np.ndarray) -> None:
         if self.steps < EARLY or self.steps % EVERY == 0:
@@ -147,16 +157,21 @@ class Mixer:
             self._zero()
 
     def _learn_rates(self) -> None:
-        says, count = self.says, lambda which: np.bincount(self.says[which], minlength=512)
-        err = (self.hit.astype(np.int64) << 16) - self.p1
-        # sums of products below 2**53, which floats hold exactly
-        miss, far = (np.bincount(says, e, 512).astype(np.int64) for e in (err, err * self.s2))
-        seen, hit, hit1 = np.bincount(says, minlength=512), count(self.hit), count(self.hit1)
-        many = np.maximum(OF_SET @ seen, 1) << 8
-        self.weights += (OF_SET @ np.stack([miss * self.s0, miss * self.s1, far], 1)) // many[:, None]
-        by = lambda v, axis: v.reshape(2, 16, 16).sum((0, axis))
-        self.seen += np.stack([by(seen, 2), by(seen, 1), by((seen - hit) * SECOND, 1)])
-        self.hits += np.stack([by(hit, 2), by(hit1, 1), by(hit1 * SECOND, 1)])
+        says, hit = self.says, self.hit.astype(np.int32)
+        err = (hit << 16) - SQUASH.take(self.x, mode="clip")
+        # sums of whole numbers below 2**53, which floats hold exactly in any order
+        miss, far = np.bincount(says, err, 512), np.bincount(says, err * self.s2, 512)
+        hit += self.hit1.astype(np.int32) << 1
+        hit <<= 9
+        (none, only), (only1, both) = np.bincount(says + hit, minlength=2048).astype(np.float64).reshape(2, 2, 512)
+        hit, hit1 = only + both, only1 + both
+        seen = none + only + hit1
+        many = np.maximum((OF_SET @ seen).astype(np.int64), 1) << 8
+        self.weights += (OF_SET @ np.stack([miss * self.s0, miss * self.s1, far], 1)).astype(np.int64) // many[:, None]
+        np.clip(self.weights, -MOST, MOST, out=self.weights)
+        by = (np.stack([seen, hit, hit1, (seen - hit) * SECOND, hit1 * SECOND]) @ BY_SURE).astype(np.int64)
+        self.seen += np.stack([by[0, :16], by[0, 16:], by[3, 16:]])
+        self.hits += np.stack([by[1, :16], by[2, 16:], by[4, 16:]])
         self._mix()
 
 
@@ -165,6 +180,12 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _within(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Ranges below a word, cut where the word above changes."""
+    cut = (low ^ (low + size - np.uint64(1))) >= BORDER
+    return np.where(cut, BORDER - (low & BELOW), size)
+
+
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     """A block. ids are whole numbers from 0 and below vocabulary, which is at most 2**18."""
     ids = np.asarray(ids)
@@ -179,29 +200,28 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     x[:n] = ids
     x = np.ascontiguousarray(x.reshape(lanes, steps).T)
     model = Mixer(vocabulary, slots=False)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << STATE, np.uint64)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, FULL)
     whose, words = [], []
     last = before = np.full(lanes, vocabulary, np.int32)
+    at = last.astype(np.intp)
     for row in x:
-        model.predict(_hash(before.view(np.uint32), last.view(np.uint32)), last)
-        start, width = model.interval(row)
-        size >>= np.uint64(TOTAL)
+        model.predict(_hash(before.view(np.uint32), last.view(np.uint32)), at)
+        at = row.astype(np.intp)
+        start, width = model.interval(row, at)
+        size >>= SCALE
         start *= size
         low += start
         size *= width
-        while len(m := np.flatnonzero(size < BORDER)):
-            a, s = low[m], size[m]
-            cut = (a ^ (a + s - np.uint64(1))) >= BORDER
-            s = np.where(cut, BORDER - (a & (BORDER - np.uint64(1))), s)
-            whose.append(m.astype(np.int32))
-            words.append((a >> np.uint64(STATE - WORD)).astype(np.uint16))
-            low[m], size[m] = (a << np.uint64(WORD)) & LOW, s << np.uint64(WORD)
+        m = np.flatnonzero(size < BORDER)
+        a = low[m]
+        whose.append(m.astype(np.uint16))
+        words.append((a >> WORD).astype(np.uint32))
+        low[m], size[m] = a << WORD, _within(a, size[m]) << WORD
         model.learn(row)
         before, last = last, row
-    for _ in range(STATE // WORD):
-        whose.append(np.arange(lanes, dtype=np.int32))
-        words.append((low >> np.uint64(STATE - WORD)).astype(np.uint16))
-        low = (low << np.uint64(WORD)) & LOW
+    # a whole word lies in what is left of each lane
+    whose.append(np.arange(lanes, dtype=np.uint16))
+    words.append(((low + BELOW) >> WORD).astype(np.uint32))
     del x, model
     lane = np.concatenate(whose)
     whose.clear()
@@ -210,7 +230,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     del lane
     word = np.concatenate(words)
     words.clear()
-    return HEAD.pack(MAGIC, n, vocabulary, lanes, crc, steps) + lengths.tobytes() + word[order].astype("<u2").tobytes()
+    return HEAD.pack(MAGIC, n, vocabulary, lanes, crc, steps) + lengths.tobytes() + word[order].astype("<u4").tobytes()
 
 
 def decode(block: bytes) -> np.ndarray:
@@ -221,37 +241,36 @@ def decode(block: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     lengths = np.frombuffer(block, "<u4", lanes, HEAD.size).astype(np.int64)
-    word = np.frombuffer(block, "<u2", -1, HEAD.size + 4 * lanes).astype(np.uint64)
+    word = np.frombuffer(block, "<u4", -1, HEAD.size + 4 * lanes)
     if lengths.sum() != len(word):
         raise ValueError("torn block")
-    word = np.concatenate([word, np.zeros(4, np.uint64)])
-    at = np.cumsum(lengths) - lengths
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(STATE // WORD):
-        code = (code << np.uint64(WORD)) | word[at]
-        at += 1
+    # each lane's words, and a zero for the half of the state that its last word leaves open
+    wide = np.zeros(len(word) + 2 * lanes + 2, np.uint64)
+    wide[np.arange(len(word)) + np.repeat(2 * np.arange(lanes), lengths)] = word
+    at = np.cumsum(lengths + 2) - lengths - 2
+    code = wide[at] << WORD | wide[at + 1]
+    at += 2
     out = np.empty((steps, lanes), np.int32)
     model = Mixer(vocabulary, slots=True)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 1 << STATE, np.uint64)
-    end = len(word) - 1
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, FULL)
+    end = len(wide) - 1
     last = before = np.full(lanes, vocabulary, np.int32)
+    index = last.astype(np.intp)
     for k in range(steps):
-        model.predict(_hash(before.view(np.uint32), last.view(np.uint32)), last)
-        size >>= np.uint64(TOTAL)
+        model.predict(_hash(before.view(np.uint32), last.view(np.uint32)), index)
+        size >>= SCALE
         value = np.minimum((code - low) // size, np.uint64((1 << TOTAL) - 1)).astype(np.int32)
         out[k] = x = model.find(value)
-        start, width = model.interval(x)
+        index = x.astype(np.intp)
+        start, width = model.interval(x, index)
         start *= size
         low += start
         size *= width
-        while len(m := np.flatnonzero(size < BORDER)):
-            a, s = low[m], size[m]
-            cut = (a ^ (a + s - np.uint64(1))) >= BORDER
-            s = np.where(cut, BORDER - (a & (BORDER - np.uint64(1))), s)
-            t = at[m]
-            code[m] = ((code[m] << np.uint64(WORD)) & LOW) | word[np.minimum(t, end)]
-            at[m] = t + 1
-            low[m], size[m] = (a << np.uint64(WORD)) & LOW, s << np.uint64(WORD)
+        m = np.flatnonzero(size < BORDER)
+        a, t = low[m], at[m]
+        code[m] = code[m] << WORD | wide[np.minimum(t, end)]
+        at[m] = t + 1
+        low[m], size[m] = a << WORD, _within(a, size[m]) << WORD
         model.learn(x)
         before, last = last, x
     ids = out.T.ravel()[:n]

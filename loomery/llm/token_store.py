@@ -7,9 +7,11 @@ lengths, and the coded ids (range_coder.py). Spark's committer writes the rows a
 leaves nothing twice, and the store lies wherever Spark can write. Reading needs only the counts of blocks to know
 where each one starts (their prefix sum), then decodes every block by itself.
 
-A text is cut at single spaces between two other characters: there the tokenizer's own pattern always begins a new
-piece, so pieces have the same ids in any text, and each distinct piece (its very bytes) is encoded once per worker
-while the memory of pieces (bounded by PIECES) lasts. Pieces are cut, made distinct and looked up a slice of texts at a time.
+A text is cut at single spaces between two other characters, where letters, digits and signs meet, and around single
+line feeds: there the tokenizer's own pattern always begins a new piece, so pieces have the same ids in any text, and each
+distinct piece (its very bytes) is encoded once per worker while the memory of pieces (bounded by PIECES) lasts. Pieces are
+cut, made distinct and looked up a slice of texts at a time. A new piece of one kind of characters is one match of the
+pattern, so the library's model gets it without the pattern being run; all others go through the whole tokenizer.
 
 Defined results: null text is empty and gives the end id alone; null ids come first; rows that repeat an id are
 neighbours in the order of a hash of their texts; an empty table gives an empty store. Other columns are not read.
@@ -17,6 +19,7 @@ neighbours in the order of a hash of their texts; an empty table gives an empty
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -37,6 +40,10 @@ TOKENIZER, END, BLOCK, PIECES = "byte_bpe_50k.json", 0, 1 << 20, 200_000
 SCHEMA = "part int, block int, n_docs long, n_ids long, docs binary, ids binary"
 #: Text bytes that are cut into pieces at once.
 SLICE_BYTES = 4 << 20
+#: New pieces that the library gets as one text.
+RUN = 50
+#: How a tokenizer has to take its matches for cut() to be right.
+PATTERN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 def _blanks() -> tuple[np.ndarray, np.ndarray]:
@@ -58,20 +65,77 @@ def _blanks() -> tuple[np.ndarray, np.ndarray]:
 
 BEGINS, ENDS = _blanks()
 
+#: Kinds of characters, as bits: letters (ASCII and Latin of two bytes), ASCII digits, ASCII signs but the apostrophe, the apostrophe, the line feed, all else.
+LETTER, DIGIT, SIGN, APOSTROPHE, FEED, OTHER = 1, 2, 4, 8, 16, 32
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Kind of each byte alone, and whether two bytes (first * 256 + second) are one letter."""
+    kind, letter = np.full(256, OTHER, np.uint8), np.zeros((256, 256), bool)
+    for c in map(chr, range(33, 127)):
+        kind[ord(c)] = LETTER if c.isalpha() else DIGIT if c.isdigit() else APOSTROPHE if c == "'" else SIGN
+    kind[10] = FEED
+    for c in filter(str.isalpha, map(chr, range(0xC0, 0x180))):
+        letter[tuple(c.encode())] = True
+    return kind, letter.ravel()
+
+
+KIND, PAIR = _kinds()
+
+
+def _byte_level() -> np.ndarray:
+    """The character (code point) by which byte-level models know each byte."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return np.array([b if b in seen else next(hidden) for b in range(256)], "<u4")
+
+
+BYTE_LEVEL = _byte_level()
+
 
 def _pairs(data: np.ndarray) -> np.ndarray:
     """Two neighbouring bytes as one number, of every byte and its next."""
     return data[:-1].astype(np.uint16) << np.uint16(8) | data[1:]
 
 
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of the character that each byte belongs to."""
+    out = KIND[data]
+    first = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
+    first = first[PAIR[_pairs(np.append(data, np.uint8(0)))[first]]] if len(first) else first
+    out[first], out[first + 1] = LETTER, LETTER
+    return out
+
+
+def _borders() -> np.ndarray:
+    """For two neighbouring kinds (first * 64 + second), whether a match of the tokenizer's pattern surely ends between them."""
+    out = np.zeros((64, 64), bool)
+    for a in (LETTER, DIGIT, SIGN):
+        out[a, [b for b in (LETTER, DIGIT, SIGN) if b != a]] = True
+    out[[LETTER, DIGIT], APOSTROPHE] = True  # after a sign it belongs to the signs, before a letter it may be a contraction
+    out[[LETTER, DIGIT, SIGN, APOSTROPHE], FEED] = True
+    return out.ravel()
+
+
+BORDERS = _borders()
+#: Kinds that are surely not blank.
+SOLID = LETTER | DIGIT | SIGN | APOSTROPHE
+
+
 def cut(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where the pieces of texts begin, and the end of the last: at each text, and at single spaces between two characters that are surely not blank."""
+    """Where the pieces of texts begin, and the end of the last: at each text, at single spaces between two characters that are surely not blank, and between kinds."""
     n = len(data)
     pairs = _pairs(np.concatenate([np.zeros(2, np.uint8), data, np.zeros(2, np.uint8)]))  # pairs[i] holds bytes i - 2 and i - 1 of data
     s = np.flatnonzero(data == 32)
     s = s[~(ENDS[pairs[s]] | BEGINS[pairs[s + 3]])]
     del pairs
     mark = np.zeros(n + 1, bool)
+    if n > 1:
+        kind = kinds(data)
+        mark[1:n] = BORDERS[kind[:-1].astype(np.uint16) << np.uint16(6) | kind[1:]]
+        feeds = np.flatnonzero(kind[1:-1] == FEED) + 1
+        mark[feeds[(kind[feeds - 1] & SOLID > 0) & (kind[feeds + 1] & SOLID > 0)] + 1] = True
+        del kind
     mark[s] = True
     if n:
         closing = at[1:] - 1
@@ -91,13 +155,19 @@ class Encoder:
     def __init__(self, tokenizer: str):
         import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(tokenizer))
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        # ids that begin with a space, which inside a run of plain pieces only a piece's first id can
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.vocabulary)])
+        # the same model for pieces that are one match of the pattern, given in its own characters between line feeds
+        if self.tokenizer.normalizer is not None or json.loads(self.tokenizer.pre_tokenizer.__getstate__()) != PATTERN:
+            raise ValueError(f"{tokenizer}: pieces are cut for the pattern of byte-level models")
+        self.words, self.mark = Tokenizer(self.tokenizer.model), self.tokenizer.token_to_id(chr(BYTE_LEVEL[10]))
+        self.words.pre_tokenizer = CharDelimiterSplit("\n")
+        # ids that begin with a space, which inside a plain piece only the first id can
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(chr(BYTE_LEVEL[32])) for i in range(self.vocabulary)])
         self.known = pa.array([], pa.large_binary())
         self.flat, self.begin, self.count, self.seen = np.zeros(0, np.int32), *(np.zeros(0, np.int32) for _ in range(3))
 
@@ -111,32 +181,54 @@ class Encoder:
         self.flat = self.flat[np.repeat(begin - ends + size, size) + np.arange(size.sum(), dtype=np.int32)]
         self.begin, self.count, self.seen = ends - size, size, self.seen[keep] // 2
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts one after another, and their number by text."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int32, len(got))
         return np.fromiter(chain.from_iterable(got), np.int32, int(size.sum())), size
 
+    def _words(self, data: np.ndarray, at: np.ndarray, mark: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are one match of the pattern, and their number by piece; all begin with a space, or a mark that none holds follows each."""
+        n, add = len(at) - 1, 1 + 2 * len(mark)
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        chars = np.full(int(at[-1] - at[0]) + add * n, 10, "<u4")
+        chars[np.arange(at[-1] - at[0]) + np.repeat(add * np.arange(n), np.diff(at))] = BYTE_LEVEL[data[at[0] : at[-1]]]
+        edges = at - at[0] + add * np.arange(n + 1)
+        if mark:
+            chars[edges[1:] - 2] = ord(mark)
+        joined, edges = chars.tobytes().decode("utf-32-le"), [*edges[:n:RUN].tolist(), int(edges[-1])]
+        flat, _ = self._encode(self.words, [joined[i:k] for i, k in pairwise(edges)])
+        if mark:
+            last = flat == self.mark
+            sizes, flat = np.diff(np.flatnonzero(last), prepend=-1) - 1, flat[~last]
+        else:
+            sizes = np.diff(np.append(np.flatnonzero(self.opens[flat]), len(flat)))
+        if len(sizes) != n or sizes.sum() != len(flat):
+            raise ValueError("the model took pieces otherwise than one by one")
+        return flat, sizes.astype(np.int32)
+
     def _add(self, pieces: pa.Array) -> np.ndarray:
         """Learn pieces that are not known; their numbers."""
         data, at = bytescan.raw(pieces)
-        blank = BEGINS[_pairs(np.append(data, np.uint8(0)))]
-        plain = (np.add.reduceat(blank, at[:-1], dtype=np.int32) == 1) & (data[at[:-1]] == 32) if len(pieces) else np.zeros(0, bool)
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        pieces, n = pieces.take(pa.array(order)), int(plain.sum())
+        kind = kinds(data)
+        lead = at[:-1][(data[at[:-1]] == 32) & (np.diff(at) > 1)]
+        kind[lead] = 0
+        plain = np.isin(np.bitwise_or.reduceat(kind, at[:-1]), (LETTER, DIGIT, SIGN)) if len(pieces) else np.zeros(0, bool)
+        led = np.zeros(len(pieces), bool)
+        led[np.searchsorted(at, lead)] = True
+        order = np.concatenate([np.flatnonzero(plain & led), np.flatnonzero(plain & ~led), np.flatnonzero(~plain)])
+        pieces, n, spaced = pieces.take(pa.array(order)), int(plain.sum()), int((plain & led).sum())
         data, at = bytescan.raw(pieces)
+        first, firsts = self._words(data, at[: spaced + 1], "")
+        second, seconds = self._words(data, at[spaced : n + 1], chr(BYTE_LEVEL[10]))
         raw = data.tobytes()
-        edges = [*at[:n:500].tolist(), int(at[n])]
-        flat, _ = self._encode([raw[i:k].decode() for i, k in pairwise(edges)])
-        starts = np.flatnonzero(self.opens[flat])
-        if len(starts) != n:  # a tokenizer that joins pieces otherwise: one by one
-            n, flat, starts = 0, flat[:0], starts[:0]
-        rest, sizes = self._encode([raw[i:k].decode() for i, k in pairwise(at[n:].tolist())])
-        sizes = np.concatenate([np.diff(np.append(starts, len(flat))).astype(np.int32), sizes])
+        rest, more = self._encode(self.tokenizer, [raw[i:k].decode() for i, k in pairwise(at[n:].tolist())])
+        sizes = np.concatenate([firsts, seconds, more])
         out = np.empty(len(order), np.int32)
         out[order] = np.arange(len(self.begin), len(self.begin) + len(order), dtype=np.int32)
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes, dtype=np.int32) - sizes])
-        self.flat = np.concatenate([self.flat, flat, rest])
+        self.flat = np.concatenate([self.flat, first, second, rest])
         self.count = np.concatenate([self.count, sizes])
         self.seen = np.concatenate([self.seen, np.zeros(len(sizes), np.int32)])
         self.known = pa.concat_arrays([self.known, pieces])
