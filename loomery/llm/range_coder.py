@@ -9,7 +9,7 @@ that one interval codes one id. Each lane is an ordinary range coder (64-bit low
 avoided by cutting the range at a word's border; a step ends with one word at most, and a lane with one word). All arithmetic is on integers, so that any machine decodes alike.
 
 Lanes learn from each other one step late, so a block should have some hundred steps: 3072 lanes of 342 ids each beat the
-order-0 entropy of their block. Candidates learn from every step; hit rates and weights from every one at first, then from each eighth.
+order-0 entropy of their block. Candidates learn from every step; hit rates and weights from every one at first, then from each sixteenth.
 
 A block is independent: its model starts anew, and its header holds the counts and a CRC-32 of the ids. Layout, little-endian:
 magic "LTB3", u32 ids, u32 vocabulary, u32 lanes, u32 crc32, then u32 words of each lane, then the words, lane by lane.
@@ -34,8 +34,9 @@ STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in ran
 SQUASH = np.array([round(65536 / (1 + math.exp(-x / 256))) for x in range(-2047, 2048)], np.int32)
 SIZE1 = np.minimum(SQUASH << (TOTAL - 16), (1 << TOTAL) - 2 * FLOOR)  # an interval of that share
 MOST = 1 << 19  # of a weight in 1/65536, so that products stay below 2**31
-TABLE = 18
-EVERY, EARLY = 8, 64  # rates and weights learn from every step up to EARLY, then from each EVERY-th
+TABLE = 17
+CLIP = "clip"  # of all lookups: what they look up is in range, or meant to be cut to it, and this is the quickest mode
+EVERY, EARLY = 16, 32  # rates and weights learn from every step up to EARLY, then from each EVERY-th
 #: What candidates say in all: agreement, and the confidences of orders 2 and 1, as one number; confidence 0 is an empty place.
 SAYS = np.arange(512)
 SURE2, SURE1 = SAYS >> 4 & 15, SAYS & 15
@@ -100,24 +101,24 @@ class Mixer:
     def predict(self, h: np.ndarray, last: np.ndarray) -> None:
         """h and last: each lane's place in the table of order 2, and its last id, as indices."""
         self.h, self.last = h, last
-        e2, e1 = self.two.take(h), self.one.take(last)
+        e2, e1 = self.two.take(h, mode=CLIP), self.one.take(last, mode=CLIP)
         self.n2, self.n1, self.c2, self.c1 = e2 & 15, e1 & 15, e2 >> 4, e1 >> 4
         self.first = np.where(self.n2 > 0, self.c2, self.c1)
         says = self.n2 << 4
         says |= self.n1
         self.says = says = says.astype(np.intp)
         says += (self.c1 == self.c2) * 256
-        self.s2 = self.share.take(self.first)
-        x = self.weight.take(says)
+        self.s2 = self.share.take(self.first, mode=CLIP)
+        x = self.weight.take(says, mode=CLIP)
         x *= self.s2
         x >>= 16
-        x += self.base.take(says)
+        x += self.base.take(says, mode=CLIP)
         x += 2047
         self.x = x
-        self.size1 = SIZE1.take(x, mode="clip")
+        self.size1 = SIZE1.take(x, mode=CLIP)
         self.size2 = (1 << TOTAL) - FLOOR - self.size1
         self.size2 >>= 12
-        self.size2 *= self.rate.take(says)
+        self.size2 *= self.rate.take(says, mode=CLIP)
         self.both = self.size1 + self.size2
         self.unit = (1 << TOTAL) - self.both
         self.unit >>= ZERO
@@ -125,10 +126,10 @@ class Mixer:
     def interval(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of x (as indices: at), as uint64; what x hits is kept for learn()."""
         self.hit, self.hit1 = x == self.first, x == self.c1
-        start = self.start.take(at)
+        start = self.start.take(at, mode=CLIP)
         start *= self.unit
         start += self.both
-        width = self.freq.take(at)
+        width = self.freq.take(at, mode=CLIP)
         width *= self.unit
         two = self.size2 > 0
         two &= self.hit1
@@ -140,7 +141,7 @@ class Mixer:
 
     def find(self, value: np.ndarray) -> np.ndarray:
         rest = value - self.both
-        return np.where(value < self.size1, self.first, np.where(rest < 0, self.c1, self.slot.take(rest // self.unit, mode="clip")))
+        return np.where(value < self.size1, self.first, np.where(rest < 0, self.c1, self.slot.take(rest // self.unit, mode=CLIP)))
 
     def learn(self, x: np.ndarray) -> None:
         if self.steps < EARLY or self.steps % EVERY == 0:
@@ -150,7 +151,7 @@ class Mixer:
         for table, at, c, n, same in ((self.two, self.h, self.c2, self.n2, self.c2 == x), (self.one, self.last, self.c1, self.n1, self.hit1)):
             # an empty place holds id 0 with no confidence, which a hit and a miss turn into x alike
             keeps = same | (n > 1)
-            table[at] = np.where(keeps, c << 4, x16) | NEXT.take(n + (same.view(np.int8) << 4))
+            table[at] = np.where(keeps, c << 4, x16) | NEXT.take(n + (same.view(np.int8) << 4), mode=CLIP)
         self.steps += 1
         if self.steps == self.next:
             self.next = self.steps * 2 if self.steps < 64 else self.steps + 64
@@ -158,7 +159,7 @@ class Mixer:
 
     def _learn_rates(self) -> None:
         says, hit = self.says, self.hit.astype(np.int32)
-        err = (hit << 16) - SQUASH.take(self.x, mode="clip")
+        err = (hit << 16) - SQUASH.take(self.x, mode=CLIP)
         # sums of whole numbers below 2**53, which floats hold exactly in any order
         miss, far = np.bincount(says, err, 512), np.bincount(says, err * self.s2, 512)
         hit += self.hit1.astype(np.int32) << 1
